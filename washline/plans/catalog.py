@@ -11,9 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from washline.plans.common import round_doubles
+from washline.plans.common import materialize, round_doubles
 from washline.plans.screening import screening_report
 from washline.plans.sqltext import (
+    div,
+    md5_sql,
+    quota_sql,
     auc_sql,
     counts_sql,
     label_sql,
@@ -66,3 +69,158 @@ FROM counts c LEFT JOIN aucs a ON c.state = a.state
 @register("m5_screening_metrics", _SCREEN_SQL)
 def m5_screening_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(screening_report(segments(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Linear path: M-4, M-11 (fit), M-9 + P-6 + P-9a + G-* (apply), G-10 (ROC)
+# ---------------------------------------------------------------------------
+
+LINEAR_STATE = "AMERICA"      # stand-in for the state the linear model is fitted on
+
+_LIN_ROWS = f"""SELECT state, {label_sql()} AS y, TRY_CAST(Distance_to_Coast_m AS DOUBLE) AS x1,
+                TRY_CAST(Inundation_Duration_Min AS DOUBLE) AS x2 FROM segments"""
+_LIN_CTES = (
+    ("rows_all", f"SELECT * FROM ({_LIN_ROWS}) r WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL"),
+    ("stats", f"""SELECT avg(CAST(y AS DOUBLE)) AS my, avg(x1) AS m1, avg(x2) AS m2, covar_pop(x1, x1) AS c11,
+                 covar_pop(x1, x2) AS c12, covar_pop(x2, x2) AS c22, covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y
+                 FROM rows_all WHERE state = '{LINEAR_STATE}'"""),
+    ("coef", """SELECT (c22 * c1y - c12 * c2y) / (c11 * c22 - c12 * c12) AS b1,
+                (c11 * c2y - c12 * c1y) / (c11 * c22 - c12 * c12) AS b2, my, m1, m2 FROM stats"""),
+    ("coef2", "SELECT b1, b2, my - (b1 * m1 + b2 * m2) AS b0 FROM coef"),
+    ("scored", """SELECT r.state, r.y, b0 + b1 * x1 + b2 * x2 AS score,
+                  CAST(b0 + b1 * x1 + b2 * x2 >= 0.5 AS INT) AS y_pred FROM rows_all r CROSS JOIN coef2"""),
+)
+
+_LIN_FIT_SQL = with_segments(*_LIN_CTES[:4]) + """
+SELECT 'Distance_to_Coast_m' AS Feature, ROUND(b1, 6) AS Coefficient FROM coef2
+UNION ALL SELECT 'Inundation_Duration_Min', ROUND(b2, 6) FROM coef2
+UNION ALL SELECT 'Intercept', ROUND(b0, 6) FROM coef2
+"""
+
+_LIN_METRICS_SQL = with_segments(
+    *_LIN_CTES,
+    ("counts", counts_sql("scored", ["state"])),
+    ("aucs", auc_sql("scored", ["state"])),
+) + f"""
+SELECT c.state, tn, fp, fn, tp, {', '.join(metrics_select())}, ROUND(a.auc, 6) AS auc
+FROM counts c LEFT JOIN aucs a ON c.state = a.state
+"""
+
+_LIN_ROC_SQL = with_segments(
+    *_LIN_CTES,
+    ("sc", "SELECT state, score, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg FROM scored GROUP BY state, score"),
+    ("cum", """SELECT state, score, sum(n_pos) OVER (PARTITION BY state ORDER BY score DESC) AS tps,
+               sum(n_neg) OVER (PARTITION BY state ORDER BY score DESC) AS fps,
+               sum(n_pos) OVER (PARTITION BY state) AS P, sum(n_neg) OVER (PARTITION BY state) AS N FROM sc"""),
+) + f"""
+SELECT state, ROUND(score, 6) AS threshold, ROUND({div('fps', 'N')}, 6) AS fpr, ROUND({div('tps', 'P')}, 6) AS tpr FROM cum
+UNION ALL SELECT DISTINCT state, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM scored
+"""
+
+
+def _linear_model(spark: SparkSession, sf_dir: str):
+    from washline.plans.linear import fit_state
+    return fit_state(segments(spark, sf_dir), LINEAR_STATE)
+
+
+@register("m4_m11_linear_fit", _LIN_FIT_SQL)
+def m4_m11_linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(_linear_model(spark, sf_dir).coefficient_table(spark))
+
+
+@register("m9_linear_metrics", _LIN_METRICS_SQL)
+def m9_linear_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.plans.linear import linear_metrics
+    out = linear_metrics(segments(spark, sf_dir), _linear_model(spark, sf_dir))
+    return round_doubles(out)
+
+
+@register("g10_linear_roc_curve", _LIN_ROC_SQL)
+def g10_linear_roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.plans.linear import linear_roc
+    return round_doubles(linear_roc(segments(spark, sf_dir), _linear_model(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Sampling: D-1 holdout, D-2/D-3/D-6/W-4 balanced runs + split, D-5 bounded sample, D-7 folds
+# ---------------------------------------------------------------------------
+
+SAMPLE_RUNS = 5               # runs drawn by the registered sampling queries (the method uses 100)
+
+_LABELED = f"SELECT state, segment_id, {label_sql()} AS y FROM segments WHERE {label_sql()} IS NOT NULL"
+_HOLDOUT_CTES = (
+    ("lab", _LABELED),
+    ("hq", quota_sql("lab", ["state"], "y", 0.1)),
+    ("hr", f"""SELECT l.state, l.segment_id, l.y, row_number() OVER (PARTITION BY l.state, l.y
+              ORDER BY {md5_sql('l.segment_id', "'42'")}) AS rk FROM lab l"""),
+    ("holdout", """SELECT r.state, r.segment_id, r.y, CASE WHEN r.rk <= q.n_test THEN 'holdout' ELSE 'pool' END AS split
+                  FROM hr r JOIN hq q ON r.state = q.state AND r.y = q.y"""),
+    ("pool", "SELECT state, segment_id, y FROM holdout WHERE split = 'pool'"),
+)
+
+_HOLDOUT_SQL = with_segments(*_HOLDOUT_CTES) + "SELECT state, segment_id, y, split FROM holdout"
+
+_BAL_CTES = _HOLDOUT_CTES + (
+    ("runs", f"SELECT CAST(range AS INTEGER) AS run FROM range(0, {SAMPLE_RUNS})"),
+    ("npos", "SELECT state, count(*) AS n_pos FROM pool WHERE y = 1 GROUP BY state"),
+    ("negr", f"""SELECT p.state, p.segment_id, p.y, r.run, row_number() OVER (PARTITION BY p.state, r.run
+                ORDER BY {md5_sql('p.segment_id', 'CAST(r.run AS VARCHAR)')}) AS rk
+                FROM pool p CROSS JOIN runs r WHERE p.y = 0"""),
+    ("bal", """SELECT p.state, p.segment_id, p.y, r.run FROM pool p CROSS JOIN runs r WHERE p.y = 1
+              UNION ALL SELECT n.state, n.segment_id, n.y, n.run FROM negr n JOIN npos c ON n.state = c.state WHERE n.rk <= c.n_pos"""),
+    ("bq", quota_sql("bal", ["state", "run"], "y", 0.2)),
+    ("br", f"""SELECT b.*, row_number() OVER (PARTITION BY b.state, b.run, b.y
+              ORDER BY {md5_sql('b.segment_id', "'split|' || CAST(b.run AS VARCHAR)")}) AS rk FROM bal b"""),
+)
+
+_BAL_SQL = with_segments(*_BAL_CTES) + """
+SELECT r.state, r.segment_id, r.y, r.run, CASE WHEN r.rk <= q.n_test THEN 'test' ELSE 'train' END AS split
+FROM br r JOIN bq q ON r.state = q.state AND r.run = q.run AND r.y = q.y
+"""
+
+_SAMPLE_SQL = with_segments() + f"""
+SELECT state, segment_id FROM (
+  SELECT state, segment_id, row_number() OVER (PARTITION BY state ORDER BY {md5_sql('segment_id', "'0'")}) AS rk FROM segments
+) s WHERE rk <= 50
+"""
+
+_FOLDS_SQL = with_segments(*_HOLDOUT_CTES) + f"""
+SELECT state, segment_id, y, CAST((row_number() OVER (PARTITION BY state, y ORDER BY {md5_sql('segment_id', "'42'")}) - 1) % 5 AS INTEGER) AS fold
+FROM pool
+"""
+
+
+def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.functions import label_to_binary
+    seg = segments(spark, sf_dir)
+    return seg.select("state", "segment_id", label_to_binary("Damage_Status").alias("y")).where("y IS NOT NULL")
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.sampling import holdout_split
+    return materialize(holdout_split(_labeled(spark, sf_dir), ["state"]).where("split = 'pool'").drop("split"))
+
+
+@register("d1_holdout_split", _HOLDOUT_SQL)
+def d1_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.sampling import holdout_split
+    return holdout_split(_labeled(spark, sf_dir), ["state"]).select("state", "segment_id", "y", "split")
+
+
+@register("d2_d3_balanced_run_splits", _BAL_SQL)
+def d2_d3_balanced_run_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.sampling import balanced_runs, run_splits
+    bal = materialize(balanced_runs(_pool(spark, sf_dir), ["state"], SAMPLE_RUNS))
+    return run_splits(bal, ["state"]).select("state", "segment_id", "y", "run", "split")
+
+
+@register("d5_bounded_sample", _SAMPLE_SQL)
+def d5_bounded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.sampling import bounded_sample
+    return bounded_sample(segments(spark, sf_dir).select("state", "segment_id"), ["state"], 50, seed=0)
+
+
+@register("d7_stratified_folds", _FOLDS_SQL)
+def d7_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.sampling import stratified_folds
+    return stratified_folds(_pool(spark, sf_dir), ["state"], 5).select("state", "segment_id", "y", "fold")

@@ -11,3 +11,15 @@ def round_doubles(df: DataFrame, decimals: int = 6) -> DataFrame:
     kinds = dict(df.dtypes)
     return df.select(*[F.round(F.col(c), decimals).alias(c) if kinds[c] in ("double", "float") else F.col(c)
                        for c in df.columns])
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the frame to the shared checkpoint folder and read it back.
+
+    Used between stages of multi-stage plans (holdout -> runs -> splits -> fits)
+    so that later stages neither re-plan nor recompute the upstream joins, and a
+    lost executor only recomputes from the checkpoint.
+    """
+    from washline.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

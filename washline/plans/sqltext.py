@@ -80,3 +80,22 @@ def with_segments(*ctes: tuple[str, str]) -> str:
     """``WITH segments AS (...), name AS (...), ...``"""
     parts = [f"segments AS ({SEGMENTS_SQL})"] + [f"{name} AS ({body})" for name, body in ctes]
     return "WITH " + ",\n".join(parts)
+
+
+def quota_sql(source: str, keys: list[str], label: str, frac: float) -> str:
+    """Per (keys, class) test counts of the exact stratified split (same rule as class_quotas)."""
+    k = ", ".join(keys)
+    part = f"PARTITION BY {k}"
+    return f"""
+    SELECT {k}, {label}, n_class - (fl + CASE WHEN row_number() OVER ({part} ORDER BY rem DESC, n_class DESC, {label} ASC) <= need THEN 1 ELSE 0 END) AS n_test
+    FROM (
+      SELECT *, n_train_all - sum(fl) OVER ({part}) AS need FROM (
+        SELECT *, CAST(floor(cont) AS BIGINT) AS fl, cont - floor(cont) AS rem FROM (
+          SELECT *, n_class / n * n_train_all AS cont FROM (
+            SELECT *, n - CAST(ceil(CAST({float(frac)!r} AS DOUBLE) * n) AS BIGINT) AS n_train_all FROM (
+              SELECT {k}, {label}, n_class, sum(n_class) OVER ({part}) AS n FROM (
+                SELECT {k}, {label}, count(*) AS n_class FROM {source} GROUP BY {k}, {label}) c) a) b) d) e) f"""
+
+
+def md5_sql(id_col: str, salt_sql: str) -> str:
+    return f"md5({id_col} || '|' || {salt_sql})"

@@ -31,6 +31,8 @@ def get_session(master: str | None = None, app_name: str = "washline",
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        settings["spark.driver.memory"] = os.environ.get("WASHLINE_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
