@@ -81,3 +81,18 @@ def _join_no_keys(left: DataFrame, right: DataFrame) -> DataFrame:
     return (left.withColumn("_const_k", F.lit(1))
             .join(F.broadcast(right.withColumn("_const_k", F.lit(1))), "_const_k")
             .drop("_const_k"))
+
+
+def next_value(df: DataFrame, keys: list[str], value: str, bucket: Column | str, out: str = "next_value") -> DataFrame:
+    """Attach the next larger value within ``keys`` (rows must hold distinct values per key).
+
+    Inside a bucket it is a ``lead``; the last row of a bucket takes the smallest
+    value of the next non-empty bucket, read from the small bucket table.
+    """
+    bucket_col = F.col(bucket) if isinstance(bucket, str) else bucket
+    d = df.withColumn("_nv_b", bucket_col)
+    mins = d.groupBy(*keys, "_nv_b").agg(F.min(value).alias("_nv_min"))
+    nxt = mins.select(*keys, "_nv_b", F.lead("_nv_min").over(Window.partitionBy(*keys).orderBy("_nv_b")).alias("_nv_next"))
+    d = _join_keys(d, nxt, [*keys, "_nv_b"])
+    inner = F.lead(value).over(Window.partitionBy(*keys, "_nv_b").orderBy(value))
+    return d.withColumn(out, F.coalesce(inner, F.col("_nv_next"))).drop("_nv_b", "_nv_next")

@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from washline.plans.common import materialize, round_doubles
 from washline.plans.screening import screening_report
 from washline.plans.sqltext import (
+    cart_ctes,
     div,
+    expit_sql,
+    logit_sql,
     md5_sql,
+    tree_score_ctes,
     quota_sql,
     auc_sql,
     counts_sql,
@@ -224,3 +228,146 @@ def d5_bounded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d7_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from washline.operators.sampling import stratified_folds
     return stratified_folds(_pool(spark, sf_dir), ["state"], 5).select("state", "segment_id", "y", "fold")
+
+
+# ---------------------------------------------------------------------------
+# Ensemble path: M-3 exact trees per run, J-5/M-8 scoring, A-1..A-3, C-2..C-5,
+# per-run metrics and their summaries G-11..G-15, K-8 report, M-6/C-1 Platt
+# ---------------------------------------------------------------------------
+
+ENSEMBLE_STATE = "EUROPE"     # stand-in for the training state of the ensembles
+ENSEMBLE_RUNS = 5             # runs of the registered ensemble queries (the method uses 100)
+PRIORS = {"AMERICA": 59 / 75}  # state-specific population prior (the method's TX rule), default 1/6
+_FEATS = ["Z_Min", "Distance_to_Coast_m", "Rel_Elev_Min"]
+_TREES: dict = {}
+
+
+def _ensemble_parts(spark: SparkSession, sf_dir: str):
+    """(segments, holdout, trees) for the registered ensemble queries, fitted once per session."""
+    from washline.plans.ensemble import fit_tree_runs, training_splits
+    key = (id(spark), sf_dir)
+    if key not in _TREES:
+        seg = segments(spark, sf_dir)
+        holdout, runs = training_splits(seg, ENSEMBLE_STATE, _FEATS, ENSEMBLE_RUNS)
+        _TREES[key] = (seg, holdout, fit_tree_runs(runs, _FEATS, 2, 10))
+    return _TREES[key]
+
+
+def _ens_split_ctes() -> list[tuple[str, str]]:
+    fcols = ", ".join(_FEATS)
+    lab = (f"SELECT state, segment_id, {label_sql()} AS y, {fcols} FROM segments "
+           f"WHERE state = '{ENSEMBLE_STATE}' AND {label_sql()} IS NOT NULL")
+    return [
+        ("elab", lab),
+        ("ehq", quota_sql("elab", ["state"], "y", 0.1)),
+        ("ehr", f"SELECT l.*, row_number() OVER (PARTITION BY l.state, l.y ORDER BY {md5_sql('l.segment_id', chr(39) + '42' + chr(39))}) AS rk FROM elab l"),
+        ("eho", "SELECT r.*, CASE WHEN r.rk <= q.n_test THEN 'holdout' ELSE 'pool' END AS split FROM ehr r JOIN ehq q ON r.state = q.state AND r.y = q.y"),
+        ("epool", f"SELECT state, segment_id, y, {fcols} FROM eho WHERE split = 'pool'"),
+        ("eruns", f"SELECT CAST(range AS INTEGER) AS run FROM range(0, {ENSEMBLE_RUNS})"),
+        ("enpos", "SELECT state, count(*) AS n_pos FROM epool WHERE y = 1 GROUP BY state"),
+        ("enegr", f"""SELECT p.*, r.run, row_number() OVER (PARTITION BY p.state, r.run
+                     ORDER BY {md5_sql('p.segment_id', 'CAST(r.run AS VARCHAR)')}) AS rk FROM epool p CROSS JOIN eruns r WHERE p.y = 0"""),
+        ("ebal", f"""SELECT p.*, r.run FROM epool p CROSS JOIN eruns r WHERE p.y = 1
+                    UNION ALL SELECT n.state, n.segment_id, n.y, {', '.join('n.' + f for f in _FEATS)}, n.run
+                    FROM enegr n JOIN enpos c ON n.state = c.state WHERE n.rk <= c.n_pos"""),
+        ("ebq", quota_sql("ebal", ["state", "run"], "y", 0.2)),
+        ("ebr", f"""SELECT b.*, row_number() OVER (PARTITION BY b.state, b.run, b.y
+                   ORDER BY {md5_sql('b.segment_id', "'split|' || CAST(b.run AS VARCHAR)")}) AS rk FROM ebal b"""),
+        ("etrain", "SELECT r.* FROM ebr r JOIN ebq q ON r.state = q.state AND r.run = q.run AND r.y = q.y WHERE r.rk > q.n_test"),
+    ] + cart_ctes("etrain", _FEATS, 2, 10)
+
+
+_ENS_SCORE_CTES = _ens_split_ctes() + [
+    ("allrows", f"SELECT state, segment_id, {label_sql()} AS y, {', '.join(_FEATS)} FROM segments WHERE {label_sql()} IS NOT NULL"),
+] + tree_score_ctes("allrows", "trees", _FEATS, ["state", "segment_id", "y"], 2)
+
+_TREES_SQL = with_segments(*_ens_split_ctes()) + """
+SELECT run, node, depth, is_leaf, feature, ROUND(threshold, 6) AS threshold, n, n_pos, ROUND(prob, 6) AS prob FROM trees
+"""
+
+_PRIOR = "CASE " + " ".join(f"WHEN state = '{s}' THEN {float(p)!r}" for s, p in PRIORS.items()) + " ELSE 0.16666666666666666 END"
+_ENS_PRED_SQL = with_segments(*_ENS_SCORE_CTES, (
+    "red", """SELECT state, segment_id, y, avg(p) AS p_mean_raw, stddev_pop(p) AS p_std,
+              avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END) AS p_vote FROM scored_long GROUP BY state, segment_id, y"""),
+) + f"""
+SELECT state, segment_id, y, ROUND(p_mean_raw, 6) AS p_mean_raw, ROUND(p_std, 6) AS p_std, ROUND(p_vote, 6) AS p_vote,
+  ROUND({expit_sql(logit_sql('p_mean_raw') + ' + (' + logit_sql('(' + _PRIOR + ')') + ' - 0.0)')}, 6) AS p_mean_adj
+FROM red
+"""
+
+_RUN_METRIC_CTES = [
+    ("lp", "SELECT state, run, y, p AS score, CAST(p >= 0.5 AS INT) AS y_pred FROM scored_long"),
+    ("rc", counts_sql("lp", ["state", "run"])),
+    ("ra", auc_sql("lp", ["state", "run"])),
+    ("rm", f"""SELECT c.state, c.run, tn, fp, fn, tp, {', '.join(metrics_select(False)[:-1])}, a.auc
+              FROM rc c LEFT JOIN ra a ON c.state = a.state AND c.run = a.run"""),
+]
+_METRICS = ["accuracy", "balanced_accuracy", "kappa", "auc", "precision_0", "recall_0", "f1_0",
+            "precision_1", "recall_1", "f1_1"]
+
+_RUN_SUMMARY_SQL = with_segments(*_ENS_SCORE_CTES, *_RUN_METRIC_CTES) + "SELECT state, " + ", ".join(
+    [f"ROUND(avg({m}), 6) AS {m}_mean, ROUND(stddev_pop({m}), 6) AS {m}_std" for m in _METRICS]
+    + [f"ROUND(avg({c}), 2) AS {c}_mean_cm, ROUND(stddev_pop({c}), 2) AS {c}_std_cm" for c in ("tn", "fp", "fn", "tp")]
+) + " FROM rm GROUP BY state"
+
+_LONG_SUMMARY_SQL = with_segments(*_ENS_SCORE_CTES, *_RUN_METRIC_CTES) + " UNION ALL ".join(
+    f"SELECT state, '{m}' AS metric, ROUND(avg({m}), 6) AS mean, ROUND(stddev_samp({m}), 6) AS std FROM rm GROUP BY state"
+    for m in _METRICS)
+
+_CLASS_SUMMARY_SQL = with_segments(*_ENS_SCORE_CTES, *_RUN_METRIC_CTES) + " UNION ALL ".join(
+    f"""SELECT state, {c} AS class, ROUND(avg(precision_{c}), 6) AS precision_mean, ROUND(stddev_pop(precision_{c}), 6) AS precision_std,
+        ROUND(avg(recall_{c}), 6) AS recall_mean, ROUND(stddev_pop(recall_{c}), 6) AS recall_std,
+        ROUND(avg(f1_{c}), 6) AS f1_mean, ROUND(stddev_pop(f1_{c}), 6) AS f1_std FROM rm GROUP BY state""" for c in (0, 1))
+
+
+def _run_metrics(spark: SparkSession, sf_dir: str):
+    from washline.plans.ensemble import evaluate_states
+    seg, _, trees = _ensemble_parts(spark, sf_dir)
+    pred, metrics = evaluate_states(seg, trees, _FEATS, priors=PRIORS)
+    return pred, metrics
+
+
+@register("m3_cart_tree_table", _TREES_SQL)
+def m3_cart_tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(_ensemble_parts(spark, sf_dir)[2])
+
+
+@register("j5_a1_a3_c4_ensemble_predictions", _ENS_PRED_SQL)
+def j5_a1_a3_c4_ensemble_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred, _ = _run_metrics(spark, sf_dir)
+    return round_doubles(pred.select("state", "segment_id", "y", "p_mean_raw", "p_std", "p_vote", "p_mean_adj"))
+
+
+@register("g11_g12_g14_run_summary", _RUN_SUMMARY_SQL)
+def g11_g12_g14_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from washline.operators.metrics import confusion_summary, summarize_over_runs
+    _, metrics = _run_metrics(spark, sf_dir)
+    summ = summarize_over_runs(metrics, ["state"], std="pop")
+    cm = confusion_summary(metrics, ["state"]).select("state", *[F.col(c).alias(f"{c}_cm") for c in
+                                                               confusion_summary(metrics, ["state"]).columns if c != "state"])
+    return round_doubles(summ.join(cm, "state"))
+
+
+@register("g13_metric_long_summary", _LONG_SUMMARY_SQL)
+def g13_metric_long_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.metrics import long_summary
+    _, metrics = _run_metrics(spark, sf_dir)
+    return round_doubles(long_summary(metrics, ["state"], std="samp"))
+
+
+@register("g15_per_class_summary", _CLASS_SUMMARY_SQL)
+def g15_per_class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.metrics import per_class_summary
+    _, metrics = _run_metrics(spark, sf_dir)
+    return round_doubles(per_class_summary(metrics, ["state"]))
+
+
+@register("m6_c1_platt_calibrated_predictions")
+def m6_c1_platt_calibrated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows-only: the Platt fit is an iterative solve (Newton steps, one aggregation each)."""
+    from washline.plans.ensemble import evaluate_states, fit_calibration
+    seg, holdout, trees = _ensemble_parts(spark, sf_dir)
+    platt = fit_calibration(holdout, trees)
+    pred, _ = evaluate_states(seg, trees, _FEATS, priors=PRIORS, platt=platt)
+    return round_doubles(pred.select("state", "segment_id", "p_mean_raw", "p_mean_calib", "p_mean_adj"))

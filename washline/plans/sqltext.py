@@ -99,3 +99,74 @@ def quota_sql(source: str, keys: list[str], label: str, frac: float) -> str:
 
 def md5_sql(id_col: str, salt_sql: str) -> str:
     return f"md5({id_col} || '|' || {salt_sql})"
+
+
+def _feature_case(features: list[str], fi: str, prefix: str = "") -> str:
+    whens = " ".join(f"WHEN {i} THEN {prefix}{f}" for i, f in enumerate(features))
+    return f"(CASE {fi} {whens} END)"
+
+
+def cart_ctes(train: str, features: list[str], max_depth: int, min_leaf: int, key: str = "run") -> list[tuple[str, str]]:
+    """CTEs growing one CART tree per ``key`` (same rule as operators.trees.fit_cart); last CTE: ``trees``."""
+    fcols = ", ".join(features)
+    names = "CASE fi " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(features)) + " END"
+    ctes = [("cur0", f"SELECT {key}, 0 AS node, y, {fcols} FROM {train}")]
+    levels = []
+    for d in range(max_depth + 1):
+        cur = f"cur{d}"
+        ctes.append((f"stats{d}", f"SELECT {key}, node, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_pos FROM {cur} GROUP BY {key}, node"))
+        if d < max_depth:
+            longs = " UNION ALL ".join(
+                f"SELECT c.{key}, c.node, c.y, {i} AS fi, CAST(c.{f} AS DOUBLE) AS v FROM {cur} c JOIN stats{d} s "
+                f"ON c.{key} = s.{key} AND c.node = s.node WHERE s.n_pos > 0 AND s.n_pos < s.n AND s.n >= {2 * min_leaf} AND c.{f} IS NOT NULL"
+                for i, f in enumerate(features))
+            ctes.append((f"long{d}", longs))
+            ctes.append((f"vc{d}", f"SELECT {key}, node, fi, v, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM long{d} GROUP BY {key}, node, fi, v"))
+            w = f"PARTITION BY {key}, node, fi"
+            ctes.append((f"cum{d}", f"""SELECT *, sum(pos) OVER ({w} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+                sum(neg) OVER ({w} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn,
+                lead(v) OVER ({w} ORDER BY v) AS v_next, sum(pos) OVER ({w}) AS P, sum(neg) OVER ({w}) AS N FROM vc{d}"""))
+            score = ("(CAST(cp AS DOUBLE) * CAST(cp AS DOUBLE) + CAST(cn AS DOUBLE) * CAST(cn AS DOUBLE)) / CAST(cp + cn AS DOUBLE)"
+                     " + (CAST(P - cp AS DOUBLE) * CAST(P - cp AS DOUBLE) + CAST(N - cn AS DOUBLE) * CAST(N - cn AS DOUBLE))"
+                     " / CAST(P + N - cp - cn AS DOUBLE)")
+            ctes.append((f"cand{d}", f"""SELECT {key}, node, fi, v, CASE WHEN v / 2.0 + v_next / 2.0 = v_next THEN v ELSE v / 2.0 + v_next / 2.0 END AS thr,
+                {score} AS score FROM cum{d} WHERE cp + cn >= {min_leaf} AND P + N - cp - cn >= {min_leaf} AND v_next IS NOT NULL"""))
+            ctes.append((f"best{d}", f"""SELECT {key}, node, fi, thr AS threshold FROM (
+                SELECT *, row_number() OVER (PARTITION BY {key}, node ORDER BY score DESC, fi ASC, v ASC) AS rn FROM cand{d}) x WHERE rn = 1"""))
+            ctes.append((f"level{d}", f"""SELECT s.{key}, s.node, {d} AS depth, b.fi IS NULL AS is_leaf, {names.replace('fi', 'b.fi', 1)} AS feature,
+                b.threshold, s.n, s.n_pos, CAST(s.n_pos AS DOUBLE) / CAST(s.n AS DOUBLE) AS prob
+                FROM stats{d} s LEFT JOIN best{d} b ON s.{key} = b.{key} AND s.node = b.node"""))
+            ctes.append((f"cur{d + 1}", f"""SELECT c.{key}, CASE WHEN {_feature_case(features, 'b.fi', 'c.')} <= b.threshold
+                THEN 2 * c.node + 1 ELSE 2 * c.node + 2 END AS node, c.y, {', '.join('c.' + f for f in features)}
+                FROM {cur} c JOIN best{d} b ON c.{key} = b.{key} AND c.node = b.node"""))
+        else:
+            ctes.append((f"level{d}", f"""SELECT {key}, node, {d} AS depth, TRUE AS is_leaf, CAST(NULL AS VARCHAR) AS feature,
+                CAST(NULL AS DOUBLE) AS threshold, n, n_pos, CAST(n_pos AS DOUBLE) / CAST(n AS DOUBLE) AS prob FROM stats{d}"""))
+        levels.append(f"SELECT * FROM level{d}")
+    ctes.append(("trees", " UNION ALL ".join(levels)))
+    return ctes
+
+
+def tree_score_ctes(rows: str, trees: str, features: list[str], keep: list[str], depth: int,
+                    key: str = "run") -> list[tuple[str, str]]:
+    """CTEs scoring every row with every tree (walk by joins); last CTE: ``scored_long``."""
+    k = ", ".join(f"r.{c}" for c in keep)
+    f = ", ".join(f"r.{c}" for c in features)
+    fmap = "CASE t.feature " + " ".join(f"WHEN '{c}' THEN r.{c}" for c in features) + " END"
+    ctes = [("walk0", f"SELECT {k}, {f}, g.{key}, 0 AS node FROM {rows} r CROSS JOIN (SELECT DISTINCT {key} FROM {trees}) g")]
+    for d in range(depth):
+        ctes.append((f"walk{d + 1}", f"""SELECT {k}, {f}, r.{key}, CASE WHEN t.is_leaf THEN r.node
+            WHEN {fmap} <= t.threshold THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node
+            FROM walk{d} r JOIN {trees} t ON r.{key} = t.{key} AND r.node = t.node"""))
+    ctes.append(("scored_long", f"""SELECT {k}, r.{key}, t.prob AS p FROM walk{depth} r
+        JOIN {trees} t ON r.{key} = t.{key} AND r.node = t.node"""))
+    return ctes
+
+
+def logit_sql(p: str) -> str:
+    return (f"(CASE WHEN {p} <= 0 THEN CAST('-inf' AS DOUBLE) WHEN {p} >= 1 THEN CAST('inf' AS DOUBLE) "
+            f"ELSE ln({p} / (1.0 - {p})) END)")
+
+
+def expit_sql(x: str) -> str:
+    return f"(1.0 / (1.0 + exp(-({x}))))"
