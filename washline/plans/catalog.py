@@ -10,25 +10,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from washline.plans.common import materialize, round_doubles
 from washline.plans.screening import screening_report
 from washline.plans.sqltext import (
+    auc_sql,
     cart_ctes,
+    counts_sql,
+    crossing_sql,
     div,
     expit_sql,
+    label_sql,
     logit_sql,
     md5_sql,
-    tree_score_ctes,
-    quota_sql,
-    auc_sql,
-    counts_sql,
-    label_sql,
     metrics_select,
+    quota_sql,
     screening_sql,
+    seg_dist_sql,
+    tree_score_ctes,
     with_segments,
 )
-from washline.sources.fixtures import segments
+from washline.sources.fixtures import inundation_edges_sql, segments
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
@@ -371,3 +374,140 @@ def m6_c1_platt_calibrated_predictions(spark: SparkSession, sf_dir: str) -> Data
     platt = fit_calibration(holdout, trees)
     pred, _ = evaluate_states(seg, trees, _FEATS, priors=PRIORS, platt=platt)
     return round_doubles(pred.select("state", "segment_id", "p_mean_raw", "p_mean_calib", "p_mean_adj"))
+
+
+# ---------------------------------------------------------------------------
+# Spatial + SLR scenarios: F-8, F-10, J-1, J-2, J-3, P-10, P-11, P-12, P-18, P-19a,
+# A-4, K-5 shape, R-1..R-8, P-16
+# ---------------------------------------------------------------------------
+
+SLR_SCENARIOS = [0.0, 1.2, 1.6, 3.9, 6.1, 8.8, 10.9]
+_WET = [s for s in SLR_SCENARIOS if s > 0]
+
+_SPATIAL_CTES = [
+    ("pts", "SELECT segment_id, state, x, y, Z_Min, Distance_to_Coast_m, Rel_Elev_Min FROM segments"),
+    ("edges", inundation_edges_sql(_WET)),
+    ("xing", f"""SELECT e.scenario_ft, p.segment_id, e.poly_id, count(*) FILTER (WHERE {crossing_sql('p.x', 'p.y')}) AS cnt,
+                min({seg_dist_sql('p.x', 'p.y')}) AS d
+                FROM pts p CROSS JOIN edges e GROUP BY e.scenario_ft, p.segment_id, e.poly_id"""),
+    ("wet", "SELECT scenario_ft, segment_id, bool_or(cnt % 2 = 1) AS inside, min(d) AS d FROM xing GROUP BY scenario_ft, segment_id"),
+]
+
+_J2_SQL = with_segments(*_SPATIAL_CTES) + "SELECT scenario_ft, segment_id FROM wet WHERE inside"
+_J3_SQL = with_segments(*_SPATIAL_CTES) + "SELECT scenario_ft, segment_id, ROUND(d, 6) AS distance FROM wet WHERE NOT inside"
+
+_SC_VALUES = ", ".join(f"(CAST({s!r} AS DOUBLE))" for s in SLR_SCENARIOS)
+_SLR_CTES = _ens_split_ctes() + _SPATIAL_CTES + [
+    ("fan", f"""SELECT s.scenario_ft, p.segment_id, p.Z_Min,
+                CASE WHEN s.scenario_ft > 0 THEN COALESCE(w.inside, FALSE) ELSE FALSE END AS Inundated,
+                CASE WHEN s.scenario_ft > 0 THEN (CASE WHEN w.inside THEN NULL ELSE w.d END) ELSE p.Distance_to_Coast_m END AS dist_out,
+                p.Rel_Elev_Min AS Rel_Elev_Min_original, p.Rel_Elev_Min - s.scenario_ft * CAST(0.3048 AS DOUBLE) AS Rel_Elev_Min
+                FROM pts p CROSS JOIN (VALUES {_SC_VALUES}) s(scenario_ft)
+                LEFT JOIN wet w ON w.scenario_ft = s.scenario_ft AND w.segment_id = p.segment_id"""),
+    ("model_in", """SELECT *, COALESCE(dist_out, max(dist_out) OVER (PARTITION BY scenario_ft)) AS Distance_to_Coast_m FROM fan"""),
+] + tree_score_ctes("model_in", "trees", _FEATS,
+                    ["scenario_ft", "segment_id", "Inundated", "dist_out", "Rel_Elev_Min_original", "Rel_Elev_Min", "Z_Min"], 2)
+_SLR_CTES = [(n, b) for n, b in _SLR_CTES if n not in ("walk0",)] + [(n, b) for n, b in _SLR_CTES if n == "walk0"]
+_SLR_RESULT = """SELECT scenario_ft, segment_id, Inundated, dist_out AS Distance_to_Coast_m, Rel_Elev_Min_original, Rel_Elev_Min, Z_Min,
+        CASE WHEN Inundated THEN -0.1 ELSE avg(p) END AS Washout_Probability
+        FROM scored_long GROUP BY scenario_ft, segment_id, Inundated, dist_out, Rel_Elev_Min_original, Rel_Elev_Min, Z_Min"""
+
+
+def _slr_sql(final: str) -> str:
+    ctes = list(_SLR_CTES)
+    order = [n for n, _ in ctes]
+    # walk0 must follow model_in; tree_score_ctes already emits it first among its CTEs
+    ctes.sort(key=lambda nb: order.index(nb[0]) if nb[0] != "walk0" else order.index("model_in") + 0.5)
+    return with_segments(*ctes, ("slr", _SLR_RESULT)) + final
+
+
+_SLR_PRED_SQL = _slr_sql("""
+SELECT scenario_ft, segment_id, Inundated, ROUND(Distance_to_Coast_m, 6) AS Distance_to_Coast_m,
+  ROUND(Rel_Elev_Min_original, 6) AS Rel_Elev_Min_original, ROUND(Rel_Elev_Min, 6) AS Rel_Elev_Min,
+  ROUND(Washout_Probability, 6) AS Washout_Probability FROM slr""")
+
+_RISK_CASE = ("CASE WHEN Washout_Probability = -1.0 THEN 'Inundated' WHEN Washout_Probability < 0.33 THEN 'Low' "
+              "WHEN Washout_Probability < 0.66 THEN 'Medium' ELSE 'High' END")
+_R1_SQL = _slr_sql(f"""
+SELECT scenario_ft AS Scenario_ft, {', '.join(f"ROUND(CAST(count(*) FILTER (WHERE {_RISK_CASE} = '{c}') AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0, 6) AS {c}" for c in ['Low', 'Medium', 'High', 'Inundated'])}
+FROM slr GROUP BY scenario_ft""")
+
+_BINS = {"Low": (0.0, 0.33), "Medium": (0.34, 0.66), "High": (0.67, 1.0), "Inundated": (-0.11, -0.09)}
+_R2_INNER = ", ".join(f"CAST(count(*) FILTER (WHERE Washout_Probability >= {lo} AND Washout_Probability <= {hi}) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0 AS {c}"
+                      for c, (lo, hi) in _BINS.items())
+_R2_SQL = _slr_sql(f"""
+SELECT Scenario_ft, {', '.join(f'ROUND({c} / NULLIF(Low + Medium + High + Inundated, 0) * 100.0, 6) AS {c}' for c in _BINS)},
+  ROUND(Scenario_m, 6) AS Scenario_m,
+  {', '.join(f'ROUND({c}, 6) AS {c}_raw' for c in _BINS)}
+FROM (SELECT scenario_ft AS Scenario_ft, {_R2_INNER}, scenario_ft * CAST(0.3048 AS DOUBLE) AS Scenario_m FROM slr GROUP BY scenario_ft) b""")
+
+_R7_SQL = _slr_sql("""
+SELECT scenario_ft, Z_Min, ROUND(avg(Washout_Probability), 6) AS mean_probability FROM slr
+WHERE Washout_Probability >= 0 GROUP BY scenario_ft, Z_Min""")
+
+
+def _slr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(spark, sf_dir).select("segment_id", "state", "x", "y", "Z_Min", "Distance_to_Coast_m", "Rel_Elev_Min")
+
+
+def _slr_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.plans.slr import scenario_features, scenario_predictions
+    from washline.sources.fixtures import inundation_edges
+    key = ("slr", id(spark), sf_dir)
+    if key not in _TREES:
+        _, _, trees = _ensemble_parts(spark, sf_dir)
+        edges = materialize(inundation_edges(spark, sf_dir, _WET))
+        feats = scenario_features(_slr_points(spark, sf_dir), edges, SLR_SCENARIOS)
+        _TREES[key] = materialize(scenario_predictions(feats, trees, _FEATS))
+    return _TREES[key]
+
+
+@register("j2_point_in_polygon", _J2_SQL)
+def j2_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.spatial import point_in_polygons
+    from washline.sources.fixtures import inundation_edges
+    pts = _slr_points(spark, sf_dir).withColumn("scenario_ft", F.explode(F.array(*[F.lit(s) for s in _WET])))
+    flagged = point_in_polygons(pts, inundation_edges(spark, sf_dir, _WET), ["scenario_ft"], "segment_id")
+    return flagged.where("Inundated").select("scenario_ft", "segment_id")
+
+
+@register("j3_distance_to_polygons", _J3_SQL)
+def j3_distance_to_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.spatial import distance_to_polygons, point_in_polygons
+    from washline.sources.fixtures import inundation_edges
+    edges = materialize(inundation_edges(spark, sf_dir, _WET))
+    pts = _slr_points(spark, sf_dir).withColumn("scenario_ft", F.explode(F.array(*[F.lit(s) for s in _WET])))
+    dry = point_in_polygons(pts, edges, ["scenario_ft"], "segment_id").where(~F.col("Inundated"))
+    d = distance_to_polygons(dry.select("scenario_ft", "segment_id", "x", "y"), edges, ["scenario_ft"], "segment_id")
+    return round_doubles(d.select("scenario_ft", "segment_id", "distance"))
+
+
+@register("slr_scenario_predictions", _SLR_PRED_SQL)
+def slr_scenario_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _slr_predictions(spark, sf_dir)
+    return round_doubles(out.select("scenario_ft", "segment_id", "Inundated", "Distance_to_Coast_m",
+                                    "Rel_Elev_Min_original", "Rel_Elev_Min", "Washout_Probability"))
+
+
+@register("r1_r5_risk_share_summary", _R1_SQL)
+def r1_r5_risk_share_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.scenario import risk_share_summary
+    out = _slr_predictions(spark, sf_dir).withColumnRenamed("scenario_ft", "Scenario_ft")
+    return round_doubles(risk_share_summary(out))
+
+
+@register("r2_r6_r8_binned_summary", _R2_SQL)
+def r2_r6_r8_binned_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.scenario import renormalise, risk_bin_summary
+    out = _slr_predictions(spark, sf_dir).withColumnRenamed("scenario_ft", "Scenario_ft")
+    raw = risk_bin_summary(out)
+    classes = list(_BINS)
+    norm = renormalise(raw, classes)
+    both = norm.join(raw.select("Scenario_ft", *[F.col(c).alias(f"{c}_raw") for c in classes]), "Scenario_ft")
+    return round_doubles(both)
+
+
+@register("r7_p16_probability_trend", _R7_SQL)
+def r7_p16_probability_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.scenario import probability_trend
+    return round_doubles(probability_trend(_slr_predictions(spark, sf_dir), keys=["scenario_ft"]))

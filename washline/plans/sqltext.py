@@ -170,3 +170,17 @@ def logit_sql(p: str) -> str:
 
 def expit_sql(x: str) -> str:
     return f"(1.0 / (1.0 + exp(-({x}))))"
+
+
+def seg_dist_sql(px: str, py: str, x1="x1", y1="y1", x2="x2", y2="y2") -> str:
+    """Point-to-segment distance with the same operation order as functions.point_segment_distance."""
+    dx, dy = f"({x2} - {x1})", f"({y2} - {y1})"
+    len2 = f"({dx} * {dx} + {dy} * {dy})"
+    t = (f"(CASE WHEN {len2} = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (({px} - {x1}) * {dx} + ({py} - {y1}) * {dy})"
+         f" / (CASE WHEN {len2} = 0 THEN 1.0 ELSE {len2} END))) END)")
+    qx, qy = f"({x1} + {t} * {dx})", f"({y1} + {t} * {dy})"
+    return f"sqrt(({px} - {qx}) * ({px} - {qx}) + ({py} - {qy}) * ({py} - {qy}))"
+
+
+def crossing_sql(px: str, py: str) -> str:
+    return (f"(CASE WHEN (y1 > {py}) <> (y2 > {py}) THEN {px} < x1 + ({py} - y1) * (x2 - x1) / (y2 - y1) ELSE FALSE END)")

@@ -78,3 +78,49 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments_cte() -> str:
     """``WITH segments AS (...)`` prefix for oracle SQL."""
     return f"WITH segments AS ({SEGMENTS_SQL})"
+
+
+# --- inundation polygons derived from the nation table ----------------------------
+
+# FIXED VALUES of the fixture polygons: an eight-point star (offsets from the
+# centre, in order around the ring); centres and sizes come from the nation key.
+STAR_OFFSETS = [(0, 60), (15, 15), (60, 0), (15, -15), (0, -60), (-15, -15), (-60, 0), (-15, 15)]
+
+
+def inundation_edges(spark: SparkSession, sf_dir: str, scenarios: list[float]) -> DataFrame:
+    """One star polygon per nation and scenario, growing with the scenario's rise in feet.
+
+    centre = (100 + 137k mod 800, 100 + 251k mod 800), size = (0.5 + 0.25 (k mod 4)) * (1 + ft / 4).
+    Output is the edge table (scenario_ft, poly_id, ring_id, edge_id, x1, y1, x2, y2).
+    """
+    nat = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("poly_id"))
+    tmpl = F.array(*[F.struct(F.lit(i).alias("edge_id"), F.lit(float(a[0])).alias("ox1"), F.lit(float(a[1])).alias("oy1"),
+                              F.lit(float(b[0])).alias("ox2"), F.lit(float(b[1])).alias("oy2"))
+                     for i, (a, b) in enumerate(zip(STAR_OFFSETS, STAR_OFFSETS[1:] + STAR_OFFSETS[:1]))])
+    k = F.col("poly_id")
+    d = (nat.withColumn("scenario_ft", F.explode(F.array(*[F.lit(float(s)) for s in scenarios])))
+         .withColumn("_e", F.explode(tmpl))
+         .withColumn("_cx", (F.lit(100) + (k * 137) % 800).cast("double"))
+         .withColumn("_cy", (F.lit(100) + (k * 251) % 800).cast("double"))
+         .withColumn("_r", (F.lit(0.5) + (k % 4).cast("double") * F.lit(0.25)) * (F.lit(1.0) + F.col("scenario_ft") / F.lit(4.0))))
+    return d.select("scenario_ft", "poly_id", F.lit(0).alias("ring_id"), F.col("_e.edge_id").alias("edge_id"),
+                    (F.col("_cx") + F.col("_e.ox1") * F.col("_r")).alias("x1"),
+                    (F.col("_cy") + F.col("_e.oy1") * F.col("_r")).alias("y1"),
+                    (F.col("_cx") + F.col("_e.ox2") * F.col("_r")).alias("x2"),
+                    (F.col("_cy") + F.col("_e.oy2") * F.col("_r")).alias("y2"))
+
+
+def inundation_edges_sql(scenarios: list[float]) -> str:
+    """The same edge table as SQL (for the oracle)."""
+    tmpl = ", ".join(f"({i}, {float(a[0])}, {float(a[1])}, {float(b[0])}, {float(b[1])})"
+                     for i, (a, b) in enumerate(zip(STAR_OFFSETS, STAR_OFFSETS[1:] + STAR_OFFSETS[:1])))
+    sc = ", ".join(f"({float(s)!r})" for s in scenarios)
+    return f"""
+    SELECT scenario_ft, poly_id, 0 AS ring_id, edge_id, cx + ox1 * r AS x1, cy + oy1 * r AS y1, cx + ox2 * r AS x2, cy + oy2 * r AS y2
+    FROM (
+      SELECT s.scenario_ft, n.n_nationkey AS poly_id, t.edge_id, t.ox1, t.oy1, t.ox2, t.oy2,
+             CAST(100 + (n.n_nationkey * 137) % 800 AS DOUBLE) AS cx, CAST(100 + (n.n_nationkey * 251) % 800 AS DOUBLE) AS cy,
+             (0.5 + CAST(n.n_nationkey % 4 AS DOUBLE) * 0.25) * (1.0 + s.scenario_ft / 4.0) AS r
+      FROM nation n CROSS JOIN (VALUES {sc}) s(scenario_ft)
+      CROSS JOIN (VALUES {tmpl}) t(edge_id, ox1, oy1, ox2, oy2)
+    ) g"""
