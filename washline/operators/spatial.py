@@ -103,7 +103,12 @@ def nearest_edge_candidates(cells: DataFrame, edges: DataFrame, layer: list[str]
         dmax = F.greatest(*[point_segment_distance(cx, cy, "x1", "y1", "x2", "y2") for cx, cy in corners])
         bound = materialize(cand.groupBy(*layer, "_cx", "_cy").agg(F.min(dmax).alias("_u")))
         resolved = bound.where(F.col("_u") <= F.lit(k * cell)).select(*layer, "_cx", "_cy")
-        found.append(cand.join(resolved, [*layer, "_cx", "_cy"], "left_semi"))
+        # keep only edges whose bounding box can come closer to the cell than U
+        gap_x = F.greatest(F.lit(0.0), F.least("x1", "x2") - (x0 + cell), x0 - F.greatest("x1", "x2"))
+        gap_y = F.greatest(F.lit(0.0), F.least("y1", "y2") - (y0 + cell), y0 - F.greatest("y1", "y2"))
+        ok = bound.where(F.col("_u") <= F.lit(k * cell))
+        found.append(cand.join(ok, [*layer, "_cx", "_cy"]).where(F.sqrt(gap_x * gap_x + gap_y * gap_y) <= F.col("_u"))
+                     .drop("_u"))
         todo = todo.join(resolved, [*layer, "_cx", "_cy"], "left_anti")
         if bound.where(F.col("_u") > F.lit(k * cell)).count() == 0 and todo.count() == 0:
             break
@@ -124,8 +129,11 @@ def distance_to_polygons(points: DataFrame, edges: DataFrame, layer: list[str],
     Points of a layer without polygons get NULL. Callers set 0 for points that
     are inside (``inundated_distance='zero'``) or NULL (``'max'`` then P-11).
     """
+    from washline.plans.common import materialize
+
     p = points.select(*layer, id_col, "x", "y").withColumn("_cx", _cell("x", cell)).withColumn("_cy", _cell("y", cell))
-    cand = nearest_edge_candidates(p, edges, layer, cell)
+    cells = materialize(p.select(*layer, "_cx", "_cy").distinct())
+    cand = nearest_edge_candidates(cells, edges, layer, cell)
     cand = _maybe_broadcast(cand)
     pairs = p.join(cand, [*layer, "_cx", "_cy"])
     dist = pairs.groupBy(*layer, id_col).agg(F.min(point_segment_distance("x", "y", "x1", "y1", "x2", "y2")).alias(out))

@@ -447,7 +447,11 @@ WHERE Washout_Probability >= 0 GROUP BY scenario_ft, Z_Min""")
 
 
 def _slr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).select("segment_id", "state", "x", "y", "Z_Min", "Distance_to_Coast_m", "Rel_Elev_Min")
+    key = ("pts", id(spark), sf_dir)
+    if key not in _TREES:
+        _TREES[key] = materialize(segments(spark, sf_dir).select(
+            "segment_id", "state", "x", "y", "Z_Min", "Distance_to_Coast_m", "Rel_Elev_Min"))
+    return _TREES[key]
 
 
 def _slr_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
