@@ -515,3 +515,106 @@ def r2_r6_r8_binned_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r7_p16_probability_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     from washline.operators.scenario import probability_trend
     return round_doubles(probability_trend(_slr_predictions(spark, sf_dir), keys=["scenario_ft"]))
+
+
+# ---------------------------------------------------------------------------
+# Shapley attribution: X-1 background sample, X-2 exact values (M-5, M-9), X-3 mean over runs,
+# X-4 feature ranking, X-5 top-k
+# ---------------------------------------------------------------------------
+
+SHAP_RUNS = 5
+_SCREEN_F = ["Distance_to_Coast_m", "Rel_Elev_Min", "Z_Min"]
+_PATTERN_SQL = ("(CASE WHEN Distance_to_Coast_m <= 48.06 THEN 1 ELSE 0 END + CASE WHEN Rel_Elev_Min <= 1.71 THEN 2 ELSE 0 END"
+                " + CASE WHEN Z_Min <= 3.03 THEN 4 ELSE 0 END)")
+
+
+def _phi_sql() -> str:
+    from itertools import combinations
+    from math import factorial
+    parts = []
+    for j in range(3):
+        others = [i for i in range(3) if i != j]
+        terms = []
+        for size in range(3):
+            for subset in combinations(others, size):
+                s = sum(1 << i for i in subset)
+                w = factorial(size) * factorial(3 - size - 1) / factorial(3)
+                terms.append(f"{w!r} * (v{s | (1 << j)} - v{s})")
+        parts.append(f"SELECT run, xp AS pattern, {j} AS feature_index, {' + '.join(terms)} AS shap FROM vw")
+    return " UNION ALL ".join(parts)
+
+
+_SHAP_CTES = [
+    ("complete", f"""SELECT state, segment_id, {_PATTERN_SQL} AS pattern FROM segments
+                   WHERE Distance_to_Coast_m IS NOT NULL AND Rel_Elev_Min IS NOT NULL AND Z_Min IS NOT NULL
+                   AND Damage_Status IN ('Damage', 'No Damage')"""),
+    ("sruns", f"SELECT CAST(range AS INTEGER) AS run FROM range(0, {SHAP_RUNS})"),
+    ("bg", f"""SELECT run, pattern FROM (SELECT c.pattern, r.run, row_number() OVER (PARTITION BY r.run
+              ORDER BY {md5_sql('c.segment_id', "'bg|' || CAST(r.run AS VARCHAR)")}) AS rk
+              FROM complete c CROSS JOIN sruns r WHERE c.state = '{ENSEMBLE_STATE}') x WHERE rk <= 50"""),
+    ("bw", "SELECT run, pattern, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY run) AS DOUBLE) AS w FROM bg GROUP BY run, pattern"),
+    ("vv", """SELECT b.run, x.xp, c.coal, sum(b.w * CASE WHEN bit_count(CAST(((x.xp & c.coal) | (b.pattern & (7 - c.coal))) AS INTEGER)) >= 2
+              THEN 1.0 ELSE 0.0 END) AS v FROM bw b CROSS JOIN (SELECT CAST(range AS INTEGER) AS xp FROM range(8)) x
+              CROSS JOIN (SELECT CAST(range AS INTEGER) AS coal FROM range(8)) c GROUP BY b.run, x.xp, c.coal"""),
+    ("vw", "SELECT run, xp, " + ", ".join(f"sum(CASE WHEN coal = {s} THEN v END) AS v{s}" for s in range(8)) + " FROM vv GROUP BY run, xp"),
+    ("phi", _phi_sql()),
+    ("mphi", "SELECT pattern, feature_index, avg(shap) AS shap FROM phi GROUP BY pattern, feature_index"),
+    ("rowshap", """SELECT c.state, c.segment_id, CASE m.feature_index WHEN 0 THEN 'Distance_to_Coast_m' WHEN 1 THEN 'Rel_Elev_Min'
+                  ELSE 'Z_Min' END AS feature, m.shap FROM complete c JOIN mphi m ON c.pattern = m.pattern"""),
+]
+
+_SHAP_SQL = with_segments(*_SHAP_CTES) + "SELECT state, segment_id, feature, ROUND(shap, 6) AS shap FROM rowshap"
+_RANK_SQL = with_segments(*_SHAP_CTES) + """
+SELECT feature, ROUND(avg(abs(shap)), 6) AS mean_abs_shap FROM rowshap GROUP BY feature"""
+
+_LIN_SHAP_SQL = with_segments(*_LIN_CTES, (
+    "lbg", f"""SELECT avg(x1) AS b1m, avg(x2) AS b2m FROM (SELECT x1, x2, row_number() OVER (ORDER BY
+               {md5_sql('segment_id', "'bg|0'")}) AS rk FROM (SELECT r.*, s.segment_id FROM (SELECT state, segment_id, {label_sql()} AS y,
+               TRY_CAST(Distance_to_Coast_m AS DOUBLE) AS x1, TRY_CAST(Inundation_Duration_Min AS DOUBLE) AS x2 FROM segments) r
+               JOIN (SELECT segment_id FROM segments) s USING (segment_id)
+               WHERE r.state = '{LINEAR_STATE}' AND r.y IS NOT NULL AND r.x1 IS NOT NULL AND r.x2 IS NOT NULL) q) z WHERE rk <= 50"""),
+    ("lrows", f"""SELECT state, segment_id, TRY_CAST(Distance_to_Coast_m AS DOUBLE) AS x1, TRY_CAST(Inundation_Duration_Min AS DOUBLE) AS x2
+                 FROM segments WHERE {label_sql()} IS NOT NULL AND Distance_to_Coast_m IS NOT NULL AND Inundation_Duration_Min IS NOT NULL"""),
+) + """
+SELECT state, segment_id, 'Distance_to_Coast_m' AS feature, ROUND(b1 * (x1 - b1m), 6) AS shap FROM lrows CROSS JOIN coef2 CROSS JOIN lbg
+UNION ALL
+SELECT state, segment_id, 'Inundation_Duration_Min' AS feature, ROUND(b2 * (x2 - b2m), 6) AS shap FROM lrows CROSS JOIN coef2 CROSS JOIN lbg
+"""
+
+
+def _screening_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.explain import attach_shapley, screening_pattern, screening_shapley_table
+    from washline.operators.sampling import fan_out_runs, first_n, md5_key
+    from washline.plans.screening import SCREEN_REQUIRED
+    from washline.operators.prep import require_complete
+    rows = require_complete(segments(spark, sf_dir), SCREEN_REQUIRED)
+    src = rows.where(F.col("state") == ENSEMBLE_STATE).select("segment_id", screening_pattern().alias("pattern"))
+    fan = fan_out_runs(src, SHAP_RUNS).withColumn("_mk", md5_key("segment_id", F.concat(F.lit("bg|"), F.col("run").cast("string"))))
+    bg = first_n(fan.withColumn("_k", F.lit(50)), ["run"], "_mk", "_k")
+    table = screening_shapley_table(bg, ["run"]).groupBy("pattern", "feature_index").agg(F.avg("shap").alias("shap"))
+    return attach_shapley(rows, table, _SCREEN_F, ["state", "segment_id"])
+
+
+@register("x2_x3_screening_shapley", _SHAP_SQL)
+def x2_x3_screening_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(_screening_shap(spark, sf_dir))
+
+
+@register("x4_feature_ranking", _RANK_SQL)
+def x4_feature_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.explain import feature_ranking
+    return round_doubles(feature_ranking(_screening_shap(spark, sf_dir)))
+
+
+@register("x2_linear_shapley", _LIN_SHAP_SQL)
+def x2_linear_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.explain import linear_shapley
+    from washline.operators.sampling import bounded_sample
+    from washline.plans.linear import linear_rows
+    model = _linear_model(spark, sf_dir)
+    seg = segments(spark, sf_dir)
+    train_rows = linear_rows(seg.where(F.col("state") == LINEAR_STATE), model.features, keep=["segment_id"])
+    bg = bounded_sample(train_rows, [], 50, seed="bg|0")
+    means = bg.agg(*[F.avg(f).alias(f) for f in model.features]).first().asDict()
+    rows = linear_rows(seg, model.features, keep=["state", "segment_id"])
+    return round_doubles(linear_shapley(rows, model, means, ["state", "segment_id"]))
