@@ -618,3 +618,92 @@ def x2_linear_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = bg.agg(*[F.avg(f).alias(f) for f in model.features]).first().asDict()
     rows = linear_rows(seg, model.features, keep=["state", "segment_id"])
     return round_doubles(linear_shapley(rows, model, means, ["state", "segment_id"]))
+
+
+# ---------------------------------------------------------------------------
+# Preparation: S-2/P-13 per-state tables with missing columns, P-5 align, E-1/E-2 training
+# imputation, E-3 category index, P-17 derived elevation, P-15 preview, K-8 report
+# ---------------------------------------------------------------------------
+
+SPARSE_STATE = "ASIA"         # this state's table lacks two columns (like the smaller state tables)
+_ALIGN_COLS = ["Distance_to_Coast_m", "Z_Min", "Inundation_Duration_Min", "surfc_type", "priority"]
+
+_PREP_SQL = with_segments(
+    ("st", f"""SELECT state, segment_id, Distance_to_Coast_m, Z_Min,
+              CASE WHEN state = '{SPARSE_STATE}' THEN NULL ELSE Inundation_Duration_Min END AS Inundation_Duration_Min,
+              CASE WHEN state = '{SPARSE_STATE}' THEN NULL ELSE surfc_type END AS surfc_type,
+              CAST(NULL AS DOUBLE) AS priority FROM segments WHERE {label_sql()} IS NOT NULL"""),
+    ("tr", f"SELECT * FROM st WHERE state = '{ENSEMBLE_STATE}'"),
+    ("means", "SELECT avg(Distance_to_Coast_m) AS m1, avg(Z_Min) AS m2, avg(Inundation_Duration_Min) AS m3, avg(priority) AS m4 FROM tr"),
+    ("modev", "SELECT surfc_type AS md FROM (SELECT surfc_type, count(*) AS c FROM tr WHERE surfc_type IS NOT NULL GROUP BY 1) x ORDER BY c DESC, surfc_type ASC LIMIT 1"),
+    ("cats", "SELECT surfc_type AS cat, CAST(row_number() OVER (ORDER BY surfc_type) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT surfc_type FROM tr WHERE surfc_type IS NOT NULL) d"),
+    ("imp", """SELECT state, segment_id, COALESCE(Distance_to_Coast_m, m1) AS Distance_to_Coast_m, COALESCE(Z_Min, m2) AS Z_Min,
+              COALESCE(Inundation_Duration_Min, m3) AS Inundation_Duration_Min, COALESCE(surfc_type, md) AS surfc_type,
+              COALESCE(priority, m4) AS priority FROM st CROSS JOIN means CROSS JOIN modev"""),
+) + """
+SELECT i.state, i.segment_id, ROUND(i.Distance_to_Coast_m, 6) AS Distance_to_Coast_m, ROUND(i.Z_Min, 6) AS Z_Min,
+  ROUND(i.Inundation_Duration_Min, 6) AS Inundation_Duration_Min, i.surfc_type, ROUND(i.priority, 6) AS priority, c.idx AS surfc_type_index
+FROM imp i LEFT JOIN cats c ON i.surfc_type = c.cat
+"""
+
+
+@register("p5_e1_e2_e3_align_impute_encode", _PREP_SQL)
+def p5_e1_e2_e3_align_impute_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from functools import reduce
+    from washline.functions import label_to_binary
+    from washline.operators.prep import align_schema, apply_imputer, category_index, fit_categories, fit_imputer
+    seg = segments(spark, sf_dir).where(label_to_binary("Damage_Status").isNotNull())
+    states = [r[0] for r in seg.select("state").distinct().collect()]   # the state list (S-2 paths)
+    full = ["state", "segment_id", "Distance_to_Coast_m", "Z_Min", "Inundation_Duration_Min", "surfc_type"]
+    per_state = [seg.where(F.col("state") == s).select(*(full[:4] if s == SPARSE_STATE else full)) for s in states]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), per_state)       # S-2
+    aligned = align_schema(union, _ALIGN_COLS, keep=["state", "segment_id"])                 # P-5
+    train = aligned.where(F.col("state") == ENSEMBLE_STATE)
+    fills = fit_imputer(train, [c for c in _ALIGN_COLS if c != "surfc_type"], ["surfc_type"])  # E-1, E-2
+    cats = fit_categories(train, "surfc_type")                                               # E-3
+    out = apply_imputer(aligned, fills).withColumn("surfc_type_index", category_index("surfc_type", cats))
+    return round_doubles(out)
+
+
+_P17_SQL = with_segments() + """
+SELECT segment_id, ROUND(Z_Min - Max_Height, 6) AS Rel_Elev_Min, ROUND(Z_Max - Max_Height, 6) AS Rel_Elev_Max,
+  ROUND(Z_Min - 2.0 * CAST(0.3048 AS DOUBLE), 6) AS Z_Min_2ft, ROUND(TRY_CAST(Inundation_Duration_Min AS DOUBLE), 6) AS Inundation_Duration_Min
+FROM segments
+"""
+
+
+@register("p17_p19b_derived_features", _P17_SQL)
+def p17_p19b_derived_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.functions import feet_to_m, to_number
+    from washline.operators.prep import derive_relative_elevation
+    seg = segments(spark, sf_dir).select("segment_id", "Z_Min", "Z_Max", "Max_Height", "Inundation_Duration_Min")
+    d = derive_relative_elevation(seg)
+    return round_doubles(d.select("segment_id", "Rel_Elev_Min", "Rel_Elev_Max",
+                                  (F.col("Z_Min") - feet_to_m(F.lit(2.0))).alias("Z_Min_2ft"),
+                                  to_number("Inundation_Duration_Min").alias("Inundation_Duration_Min")))
+
+
+_P15_SQL = _slr_sql("""
+SELECT segment_id, Inundated, ROUND(Distance_to_Coast_m, 6) AS Distance_to_Coast_m, ROUND(Washout_Probability, 6) AS Washout_Probability
+FROM slr WHERE scenario_ft = 1.2 ORDER BY segment_id LIMIT 5""")
+
+
+@register("p15_scenario_preview", _P15_SQL)
+def p15_scenario_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.prep import preview
+    out = _slr_predictions(spark, sf_dir).where(F.col("scenario_ft") == 1.2)
+    return round_doubles(preview(out, ["segment_id", "Inundated", "Distance_to_Coast_m", "Washout_Probability"], ["segment_id"]))
+
+
+_K8_SQL = with_segments(*_ENS_SCORE_CTES, *_RUN_METRIC_CTES) + "SELECT state, " + ", ".join(
+    f"printf('%.3f ± %.3f', avg({m}), stddev_pop({m})) AS {m}" for m in ["accuracy", "balanced_accuracy", "kappa", "auc"]
+) + " FROM rm GROUP BY state"
+
+
+@register("k8_mean_std_report", _K8_SQL)
+def k8_mean_std_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.operators.metrics import summarize_over_runs
+    from washline.sources.sinks import report_mean_std
+    _, metrics = _run_metrics(spark, sf_dir)
+    ms = ["accuracy", "balanced_accuracy", "kappa", "auc"]
+    return report_mean_std(summarize_over_runs(metrics, ["state"], ms, std="pop"), ms, ["state"])
