@@ -707,3 +707,75 @@ def k8_mean_std_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, metrics = _run_metrics(spark, sf_dir)
     ms = ["accuracy", "balanced_accuracy", "kappa", "auc"]
     return report_mean_std(summarize_over_runs(metrics, ["state"], ms, std="pop"), ms, ["state"])
+
+
+# ---------------------------------------------------------------------------
+# pyspark.ml model families (rows-only checks): M-1/M-2 forests, M-3 tree, M-7, M-8, M-10 grid search,
+# E-4/E-5 pipelines, K-7 persistence
+# ---------------------------------------------------------------------------
+
+ML_RUNS = 2
+_ML_NUM = ["Distance_to_Coast_m", "Z_Min", "Z_Max", "Max_Height", "Rel_Elev_Min", "Inundation_Duration_Min"]
+_ML_STR = ["surfc_type"]
+
+
+def _ml_runs(spark: SparkSession, sf_dir: str):
+    from washline.plans.ensemble import training_splits
+    key = ("ml", id(spark), sf_dir)
+    if key not in _TREES:
+        seg = segments(spark, sf_dir)
+        rows = seg.select("state", "segment_id", "Damage_Status", *_ML_NUM, *_ML_STR)
+        _, runs = training_splits(rows, ENSEMBLE_STATE, _ML_NUM, ML_RUNS)
+        # the split helper keeps numeric features; bring the string feature back by id
+        runs = runs.join(seg.select("state", "segment_id", *_ML_STR), ["state", "segment_id"])
+        _TREES[key] = (seg, runs)
+    return _TREES[key]
+
+
+def _ml_family_metrics(spark: SparkSession, sf_dir: str, spec, numeric, strings) -> DataFrame:
+    from washline.operators.metrics import per_group_metrics
+    from washline.operators.models import fit_runs, predict_class, score_runs
+    from washline.plans.ensemble import labeled
+    seg, runs = _ml_runs(spark, sf_dir)
+    models = fit_runs(runs.where("split = 'train'"), list(range(ML_RUNS)), numeric, strings, spec, "y")
+    rows = labeled(seg, numeric).join(seg.select("state", "segment_id", *strings), ["state", "segment_id"])
+    long = score_runs(rows, models, ["state", "segment_id", "y"])
+    long = long.withColumn("y_pred", (F.col("p") >= 0.5).cast("int")).withColumn("argmax", predict_class("p"))
+    return round_doubles(per_group_metrics(long, ["state", "run"], "y", "y_pred", "p"))
+
+
+@register("m1_full_forest_run_metrics")
+def m1_full_forest_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows-only: 400-tree depth-3 forests (sqrt features, bootstrap) on all fixture features."""
+    from washline.operators.models import FitSpec
+    return _ml_family_metrics(spark, sf_dir, FitSpec("forest", 400, 3), _ML_NUM, _ML_STR)
+
+
+@register("m2_three_feature_forest_run_metrics")
+def m2_three_feature_forest_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows-only: the same forest on the three-feature set."""
+    from washline.operators.models import FitSpec
+    return _ml_family_metrics(spark, sf_dir, FitSpec("forest", 400, 3), _FEATS, [])
+
+
+@register("m3_ml_decision_tree_run_metrics")
+def m3_ml_decision_tree_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows-only: pyspark.ml decision tree, depth 2, at least 10 rows per child."""
+    from washline.operators.models import FitSpec
+    return _ml_family_metrics(spark, sf_dir, FitSpec("tree", 1, 2, min_leaf=10), _FEATS, [])
+
+
+@register("m10_grid_search")
+def m10_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows-only: grid x 5 folds (D-7 fold column), F1 of the damage class per grid point."""
+    from washline.operators.models import grid_search
+    from washline.operators.sampling import stratified_folds
+    _, runs = _ml_runs(spark, sf_dir)
+    train = stratified_folds(runs.where("run = 0 AND split = 'train'"), [], 5)
+    grid = {"maxDepth": [2, 3], "numTrees": [10, 50]}
+    cv = grid_search(train, _FEATS, [], grid, folds=5)
+    rows = []
+    for pm, score in zip(cv.getEstimatorParamMaps(), cv.avgMetrics):
+        named = {p.name: v for p, v in pm.items()}
+        rows.append((int(named["maxDepth"]), int(named["numTrees"]), float(score)))
+    return spark.createDataFrame(rows, "maxDepth int, numTrees int, f1_mean double")
