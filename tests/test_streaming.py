@@ -1,0 +1,32 @@
+"""The streaming screening path equals the batch one on the same files."""
+
+import tempfile
+
+from tests.conftest import SF
+from washline.plans.screening import screen
+from washline.operators.metrics import confusion_counts
+from washline.sources.fixtures import segments
+from washline.streaming import screening_count_stream, start_count_query, start_prediction_sink, stream_metrics
+
+
+def test_stream_counts_equal_batch(spark):
+    seg = segments(spark, SF)
+    src = tempfile.mkdtemp(prefix="wl-stream-src-")
+    seg.repartition(3).write.mode("overwrite").parquet(src)
+    counts = screening_count_stream(spark, src, seg.schema, max_files_per_trigger=1)
+    q = start_count_query(counts, "wl_counts", tempfile.mkdtemp(prefix="wl-stream-ck-"))
+    q.awaitTermination()
+    got = {r.state: (r.tn, r.fp, r.fn, r.tp) for r in spark.table("wl_counts").collect()}
+    want = {r.state: (r.tn, r.fp, r.fn, r.tp) for r in confusion_counts(screen(seg, keep=["state"]), ["state"]).collect()}
+    assert got == want
+    assert stream_metrics(spark, "wl_counts").count() == len(want)
+
+
+def test_stream_prediction_sink(spark):
+    seg = segments(spark, SF)
+    src = tempfile.mkdtemp(prefix="wl-stream-src-")
+    seg.write.mode("overwrite").parquet(src)
+    out = tempfile.mkdtemp(prefix="wl-stream-out-")
+    q = start_prediction_sink(spark, src, seg.schema, out, tempfile.mkdtemp(prefix="wl-stream-ck-"))
+    q.awaitTermination()
+    assert spark.read.parquet(out).count() == screen(seg).count()

@@ -54,8 +54,13 @@ def point_in_polygons(points: DataFrame, edges: DataFrame, layer: list[str], id_
     crosses = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
     x_at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     hit = F.when(crosses, F.col("x") < x_at).otherwise(F.lit(False))
-    per_poly = pairs.groupBy(*layer, id_col, "poly_id").agg(F.count_if(hit).alias("_cross"))
-    inside = per_poly.groupBy(*layer, id_col).agg(F.bool_or(F.col("_cross") % 2 == 1).alias("_inside"))
+    # Parity per polygon without grouping by polygon: polygons are packed 64 to a
+    # word (bit = id mod 64), each crossing flips its polygon's bit (bit_xor, combined
+    # map-side), and a point is inside some polygon when any word is non-zero.
+    flips = pairs.where(hit).select(*layer, id_col, F.floor(F.col("poly_id") / F.lit(64)).alias("_chunk"),
+                                    F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pmod(poly_id, 64) AS INT))").alias("_bit"))
+    words = flips.groupBy(*layer, id_col, "_chunk").agg(F.bit_xor("_bit").alias("_w"))
+    inside = words.groupBy(*layer, id_col).agg(F.bool_or(F.col("_w") != 0).alias("_inside"))
     return points.join(inside, [*layer, id_col], "left").withColumn(
         out, F.coalesce(F.col("_inside"), F.lit(False))).drop("_inside")
 

@@ -1,0 +1,14 @@
+"""The screening operator on a Structured Streaming source.
+
+The method itself is batch-only; this package applies the same DataFrame
+operators to road tables that arrive as files, keeping running confusion counts
+per state (a streaming aggregation) and writing per-road predictions per
+micro-batch.
+"""
+
+from washline.streaming.scoring import (  # noqa: F401
+    screening_count_stream,
+    start_count_query,
+    start_prediction_sink,
+    stream_metrics,
+)

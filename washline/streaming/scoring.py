@@ -1,0 +1,45 @@
+"""Streaming screening: file source -> M-5 -> running confusion counts / prediction files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from washline.operators.metrics import add_count_metrics, confusion_counts
+from washline.plans.screening import screen
+
+
+def screening_count_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
+                           state_col: str = "state", max_files_per_trigger: int | None = None) -> DataFrame:
+    """Running (tn, fp, fn, tp) per state over every road file that lands in ``source_dir``."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    roads = reader.parquet(source_dir)
+    return confusion_counts(screen(roads, keep=[state_col]), [state_col])
+
+
+def start_count_query(counts: DataFrame, name: str, checkpoint_dir: str, available_now: bool = True):
+    """Complete-mode memory sink named ``name`` (query it with ``spark.table(name)``)."""
+    writer = (counts.writeStream.outputMode("complete").format("memory").queryName(name)
+              .option("checkpointLocation", checkpoint_dir))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
+
+
+def stream_metrics(spark: SparkSession, name: str) -> DataFrame:
+    """The ten hard-label metrics over the current running counts."""
+    return add_count_metrics(spark.table(name))
+
+
+def start_prediction_sink(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str,
+                          checkpoint_dir: str, id_col: str = "segment_id", state_col: str = "state",
+                          available_now: bool = True):
+    """K-3 for streams: per-road screening predictions appended as parquet, partitioned by state."""
+    roads = spark.readStream.schema(schema).parquet(source_dir)
+    scored = screen(roads, keep=[state_col, id_col]).withColumn("score", F.col("y_pred").cast("double"))
+    writer = (scored.writeStream.outputMode("append").format("parquet").partitionBy(state_col)
+              .option("path", out_dir).option("checkpointLocation", checkpoint_dir))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
