@@ -31,11 +31,25 @@ from washline.plans.sqltext import (
     tree_score_ctes,
     with_segments,
 )
-from washline.sources.fixtures import inundation_edges_sql, segments
+from washline.sources.fixtures import inundation_edges_sql
+from washline.sources.fixtures import segments as _segments_view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
 _ORACLES: dict[str, str] = {}
+_CACHE: dict = {}
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment view, written once per session to the checkpoint folder.
+
+    It stands in for a stored road table: later queries scan it instead of
+    re-running the five-way join of the driver tables.
+    """
+    key = ("segments", id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = materialize(_segments_view(spark, sf_dir))
+    return _CACHE[key]
 
 
 def register(name: str, sql: str | None = None):
@@ -242,18 +256,17 @@ ENSEMBLE_STATE = "EUROPE"     # stand-in for the training state of the ensembles
 ENSEMBLE_RUNS = 5             # runs of the registered ensemble queries (the method uses 100)
 PRIORS = {"AMERICA": 59 / 75}  # state-specific population prior (the method's TX rule), default 1/6
 _FEATS = ["Z_Min", "Distance_to_Coast_m", "Rel_Elev_Min"]
-_TREES: dict = {}
 
 
 def _ensemble_parts(spark: SparkSession, sf_dir: str):
     """(segments, holdout, trees) for the registered ensemble queries, fitted once per session."""
     from washline.plans.ensemble import fit_tree_runs, training_splits
     key = (id(spark), sf_dir)
-    if key not in _TREES:
+    if key not in _CACHE:
         seg = segments(spark, sf_dir)
         holdout, runs = training_splits(seg, ENSEMBLE_STATE, _FEATS, ENSEMBLE_RUNS)
-        _TREES[key] = (seg, holdout, fit_tree_runs(runs, _FEATS, 2, 10))
-    return _TREES[key]
+        _CACHE[key] = (seg, holdout, fit_tree_runs(runs, _FEATS, 2, 10))
+    return _CACHE[key]
 
 
 def _ens_split_ctes() -> list[tuple[str, str]]:
@@ -284,7 +297,7 @@ _ENS_SCORE_CTES = _ens_split_ctes() + [
     ("allrows", f"SELECT state, segment_id, {label_sql()} AS y, {', '.join(_FEATS)} FROM segments WHERE {label_sql()} IS NOT NULL"),
 ] + tree_score_ctes("allrows", "trees", _FEATS, ["state", "segment_id", "y"], 2)
 
-_TREES_SQL = with_segments(*_ens_split_ctes()) + """
+_CACHE_SQL = with_segments(*_ens_split_ctes()) + """
 SELECT run, node, depth, is_leaf, feature, ROUND(threshold, 6) AS threshold, n, n_pos, ROUND(prob, 6) AS prob FROM trees
 """
 
@@ -330,7 +343,7 @@ def _run_metrics(spark: SparkSession, sf_dir: str):
     return pred, metrics
 
 
-@register("m3_cart_tree_table", _TREES_SQL)
+@register("m3_cart_tree_table", _CACHE_SQL)
 def m3_cart_tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(_ensemble_parts(spark, sf_dir)[2])
 
@@ -448,42 +461,43 @@ WHERE Washout_Probability >= 0 GROUP BY scenario_ft, Z_Min""")
 
 def _slr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ("pts", id(spark), sf_dir)
-    if key not in _TREES:
-        _TREES[key] = materialize(segments(spark, sf_dir).select(
+    if key not in _CACHE:
+        _CACHE[key] = materialize(segments(spark, sf_dir).select(
             "segment_id", "state", "x", "y", "Z_Min", "Distance_to_Coast_m", "Rel_Elev_Min"))
-    return _TREES[key]
+    return _CACHE[key]
 
 
-def _slr_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from washline.plans.slr import scenario_features, scenario_predictions
+def _slr_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-2 + J-3 + P-18/P-19a for every scenario (one spatial pass shared by the queries below)."""
+    from washline.plans.slr import scenario_features
     from washline.sources.fixtures import inundation_edges
+    key = ("slr_feats", id(spark), sf_dir)
+    if key not in _CACHE:
+        edges = materialize(inundation_edges(spark, sf_dir, _WET))
+        _CACHE[key] = materialize(scenario_features(_slr_points(spark, sf_dir), edges, SLR_SCENARIOS))
+    return _CACHE[key]
+
+
+def _slr_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from washline.plans.slr import scenario_predictions
     key = ("slr", id(spark), sf_dir)
-    if key not in _TREES:
+    if key not in _CACHE:
         _, _, trees = _ensemble_parts(spark, sf_dir)
-        edges = materialize(inundation_edges(spark, sf_dir, _WET))
-        feats = scenario_features(_slr_points(spark, sf_dir), edges, SLR_SCENARIOS)
-        _TREES[key] = materialize(scenario_predictions(feats, trees, _FEATS))
-    return _TREES[key]
+        _CACHE[key] = materialize(scenario_predictions(_slr_features(spark, sf_dir), trees, _FEATS))
+    return _CACHE[key]
 
 
 @register("j2_point_in_polygon", _J2_SQL)
 def j2_point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from washline.operators.spatial import point_in_polygons
-    from washline.sources.fixtures import inundation_edges
-    pts = _slr_points(spark, sf_dir).withColumn("scenario_ft", F.explode(F.array(*[F.lit(s) for s in _WET])))
-    flagged = point_in_polygons(pts, inundation_edges(spark, sf_dir, _WET), ["scenario_ft"], "segment_id")
-    return flagged.where("Inundated").select("scenario_ft", "segment_id")
+    feats = _slr_features(spark, sf_dir)
+    return feats.where((F.col("scenario_ft") > 0) & F.col("Inundated")).select("scenario_ft", "segment_id")
 
 
 @register("j3_distance_to_polygons", _J3_SQL)
 def j3_distance_to_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from washline.operators.spatial import distance_to_polygons, point_in_polygons
-    from washline.sources.fixtures import inundation_edges
-    edges = materialize(inundation_edges(spark, sf_dir, _WET))
-    pts = _slr_points(spark, sf_dir).withColumn("scenario_ft", F.explode(F.array(*[F.lit(s) for s in _WET])))
-    dry = point_in_polygons(pts, edges, ["scenario_ft"], "segment_id").where(~F.col("Inundated"))
-    d = distance_to_polygons(dry.select("scenario_ft", "segment_id", "x", "y"), edges, ["scenario_ft"], "segment_id")
-    return round_doubles(d.select("scenario_ft", "segment_id", "distance"))
+    feats = _slr_features(spark, sf_dir)
+    dry = feats.where((F.col("scenario_ft") > 0) & ~F.col("Inundated"))
+    return round_doubles(dry.select("scenario_ft", "segment_id", F.col("Distance_to_Coast_m").alias("distance")))
 
 
 @register("slr_scenario_predictions", _SLR_PRED_SQL)
@@ -722,14 +736,14 @@ _ML_STR = ["surfc_type"]
 def _ml_runs(spark: SparkSession, sf_dir: str):
     from washline.plans.ensemble import training_splits
     key = ("ml", id(spark), sf_dir)
-    if key not in _TREES:
+    if key not in _CACHE:
         seg = segments(spark, sf_dir)
         rows = seg.select("state", "segment_id", "Damage_Status", *_ML_NUM, *_ML_STR)
         _, runs = training_splits(rows, ENSEMBLE_STATE, _ML_NUM, ML_RUNS)
         # the split helper keeps numeric features; bring the string feature back by id
         runs = runs.join(seg.select("state", "segment_id", *_ML_STR), ["state", "segment_id"])
-        _TREES[key] = (seg, runs)
-    return _TREES[key]
+        _CACHE[key] = (seg, runs)
+    return _CACHE[key]
 
 
 def _ml_family_metrics(spark: SparkSession, sf_dir: str, spec, numeric, strings) -> DataFrame:
