@@ -26,37 +26,68 @@ def md5_key(id_col: str, salt) -> Column:
     return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), s))
 
 
-def _bucket_offsets(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """Attach md5 bucket (_fb), its row count (_ft) and the rows before it (_fo)."""
+GROUP_TABLE_LIMIT = 1_000_000
+
+
+def _threshold_buckets(d: DataFrame, keys: list[str], quota: str) -> DataFrame:
+    """Per group: the md5 bucket holding the quota-th row (``_bstar``) and the rows before it (``_ostar``).
+
+    Built from bucket counts (combined map-side); one row per group. A group
+    with fewer rows than its quota gets no row (every row is selected).
+    """
+    totals = d.groupBy(*keys, "_fb").agg(F.count(F.lit(1)).alias("_ft"), F.first(quota).alias("_q"))
+    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = part.orderBy("_fb").rowsBetween(Window.unboundedPreceding, -1)
+    cum = totals.withColumn("_fo", F.coalesce(F.sum("_ft").over(before), F.lit(0)))
+    return cum.where((F.col("_fo") < F.col("_q")) & (F.col("_fo") + F.col("_ft") >= F.col("_q"))).select(
+        *keys, F.col("_fb").alias("_bstar"), F.col("_fo").alias("_ostar"))
+
+
+def _attach_threshold(df: DataFrame, keys: list[str], order_col: str, quota: str) -> DataFrame:
+    from washline.plans.common import materialize
+
     d = df.withColumn("_fb", md5_bucket(order_col))
-    totals = d.groupBy(*keys, "_fb").agg(F.count(F.lit(1)).alias("_ft"))
-    before = Window.partitionBy(*keys).orderBy("_fb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_fb", "_ft", F.coalesce(F.sum("_ft").over(before), F.lit(0)).alias("_fo"))
-    return _join_keys(d, offsets, [*keys, "_fb"])
+    thr = materialize(_threshold_buckets(d, keys, quota))   # one row per group
+    n_groups = thr.count()
+    if not keys:
+        if n_groups == 0:
+            return d.withColumn("_bstar", F.lit(None).cast("int")).withColumn("_ostar", F.lit(None).cast("long"))
+        return _join_keys(d, thr, [])
+    if n_groups <= GROUP_TABLE_LIMIT:       # size-checked: broadcast, the rows do not move
+        thr = F.broadcast(thr)
+    return d.join(thr, keys, "left")
 
 
 def first_n_flag(df: DataFrame, keys: list[str], order_col: str, quota: str, out: str = "selected") -> DataFrame:
     """Flag the first ``quota`` rows of every ``keys`` group in md5 ``order_col`` order.
 
-    ``quota`` is a column already on ``df`` (constant within a group). The row
-    rank is the bucket offset plus the rank inside the bucket, so the window
-    sorts one md5 bucket per task, never a whole group.
+    ``quota`` is a column already on ``df`` (constant within a group). Rows in md5
+    buckets before the group's threshold bucket are selected, rows after it are
+    not; only the threshold bucket is ranked with a window (partitioned by group
+    and bucket), so no task ever sorts a whole group.
     """
-    d = _bucket_offsets(df, keys, order_col)
+    d = _attach_threshold(df, keys, order_col, quota)
+    bstar = F.col("_bstar")
+    decided = d.where(bstar.isNull() | (F.col("_fb") != bstar)).withColumn(
+        out, bstar.isNull() | (F.col("_fb") < bstar))
     w = Window.partitionBy(*keys, "_fb").orderBy(order_col)
-    return d.withColumn(out, F.col("_fo") + F.row_number().over(w) <= F.col(quota)).drop("_fb", "_ft", "_fo")
+    boundary = d.where(F.col("_fb") == bstar).withColumn(out, F.col("_ostar") + F.row_number().over(w) <= F.col(quota))
+    return decided.unionByName(boundary).drop("_fb", "_bstar", "_ostar")
 
 
 def first_n(df: DataFrame, keys: list[str], order_col: str, quota: str) -> DataFrame:
     """Keep only the first ``quota`` rows per group (md5 order).
 
-    Rows in buckets that start at or after the quota are dropped before the
-    in-bucket window, so only about ``quota`` rows per group reach that shuffle.
+    Rows past the threshold bucket are dropped map-side; only the threshold
+    bucket of each group reaches a window.
     """
-    d = _bucket_offsets(df, keys, order_col).where(F.col("_fo") < F.col(quota))
+    d = _attach_threshold(df, keys, order_col, quota)
+    bstar = F.col("_bstar")
+    direct = d.where(bstar.isNull() | (F.col("_fb") < bstar))
     w = Window.partitionBy(*keys, "_fb").orderBy(order_col)
-    ranked = d.withColumn("_rk", F.col("_fo") + F.row_number().over(w))
-    return ranked.where(F.col("_rk") <= F.col(quota)).drop("_fb", "_ft", "_fo", "_rk")
+    edge = d.where(F.col("_fb") == bstar).withColumn("_rk", F.col("_ostar") + F.row_number().over(w))
+    edge = edge.where(F.col("_rk") <= F.col(quota)).drop("_rk")
+    return direct.unionByName(edge).drop("_fb", "_bstar", "_ostar")
 
 
 def class_quotas(df: DataFrame, keys: list[str], label: str, frac: float) -> DataFrame:
