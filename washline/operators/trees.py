@@ -33,8 +33,9 @@ def _best_splits(cur: DataFrame, keys: list[str], features: list[str], label: st
     long = cur.select(*k_node, F.col(label).alias("_y"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("fi"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)])).alias("_fv"))
     long = long.select(*k_node, "_y", F.col("_fv.fi").alias("fi"), F.col("_fv.v").alias("v")).where(F.col("v").isNotNull())
-    vc = long.groupBy(*k_node, "fi", "v").agg(F.count_if(F.col("_y") == 1).alias("pos"),
-                                             F.count_if(F.col("_y") == 0).alias("neg"))
+    from washline.plans.common import materialize
+    vc = materialize(long.groupBy(*k_node, "fi", "v").agg(F.count_if(F.col("_y") == 1).alias("pos"),
+                                                         F.count_if(F.col("_y") == 0).alias("neg")))
     gk = [*k_node, "fi"]
     b = range_bucket(vc, gk, "v", n_buckets)
     cum = running_totals(b, gk, ["v"], {"cp": "pos", "cn": "neg"}, "_bucket")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from washline.plans.common import materialize, round_doubles
+from washline.plans.common import materialize, round_doubles, write_table
 from washline.plans.screening import screening_report
 from washline.plans.sqltext import (
     auc_sql,
@@ -48,7 +48,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = ("segments", id(spark), sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = materialize(_segments_view(spark, sf_dir))
+        _CACHE[key] = write_table(_segments_view(spark, sf_dir), "segments")
     return _CACHE[key]
 
 

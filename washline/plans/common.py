@@ -23,3 +23,17 @@ def materialize(df: DataFrame) -> DataFrame:
     from washline.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as parquet under the shared checkpoint folder and scan it back.
+
+    Unlike ``checkpoint()`` the result is columnar: later queries get column
+    pruning and filter pushdown on it, as on any stored table.
+    """
+    import uuid
+
+    from washline.session import shared_dir
+    path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
