@@ -43,10 +43,12 @@ def edge_bands(edges: DataFrame, band: float) -> DataFrame:
 
 
 def point_in_polygons(points: DataFrame, edges: DataFrame, layer: list[str], id_col: str = "id",
-                      band: float = 10.0, out: str = "Inundated") -> DataFrame:
+                      band: float = 10.0, out: str = "Inundated", keep_all: bool = True) -> DataFrame:
     """J-2: ``out`` = point lies inside any polygon of its layer (boundary excluded up to ray-rule ties).
 
-    Returns ``points`` with the flag added; points meeting no edge get False.
+    Returns ``points`` with the flag added (points meeting no edge get False), or,
+    with ``keep_all=False``, only the (layer, id) keys of points that are inside,
+    which saves the join back when the caller joins anyway.
     """
     eb = _maybe_broadcast(edge_bands(edges, band).select(*layer, "poly_id", "_band", "x1", "y1", "x2", "y2"))
     p = points.select(*layer, id_col, "x", "y").withColumn("_band", F.floor(F.col("y") / F.lit(band)))
@@ -61,6 +63,8 @@ def point_in_polygons(points: DataFrame, edges: DataFrame, layer: list[str], id_
                                     F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pmod(poly_id, 64) AS INT))").alias("_bit"))
     words = flips.groupBy(*layer, id_col, "_chunk").agg(F.bit_xor("_bit").alias("_w"))
     inside = words.groupBy(*layer, id_col).agg(F.bool_or(F.col("_w") != 0).alias("_inside"))
+    if not keep_all:
+        return inside.where("_inside").select(*layer, id_col, F.lit(True).alias(out))
     return points.join(inside, [*layer, id_col], "left").withColumn(
         out, F.coalesce(F.col("_inside"), F.lit(False))).drop("_inside")
 
@@ -124,11 +128,11 @@ def nearest_edge_candidates(cells: DataFrame, edges: DataFrame, layer: list[str]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return materialize(out)
 
 
 def distance_to_polygons(points: DataFrame, edges: DataFrame, layer: list[str], id_col: str = "id",
-                         cell: float = 50.0, out: str = "distance") -> DataFrame:
+                         cell: float = 25.0, out: str = "distance", keep_all: bool = True) -> DataFrame:
     """J-3: distance from each point to the nearest polygon edge of its layer (exact).
 
     Points of a layer without polygons get NULL. Callers set 0 for points that
@@ -142,6 +146,8 @@ def distance_to_polygons(points: DataFrame, edges: DataFrame, layer: list[str],
     cand = _maybe_broadcast(cand)
     pairs = p.join(cand, [*layer, "_cx", "_cy"])
     dist = pairs.groupBy(*layer, id_col).agg(F.min(point_segment_distance("x", "y", "x1", "y1", "x2", "y2")).alias(out))
+    if not keep_all:
+        return dist
     return points.join(dist, [*layer, id_col], "left")
 
 
