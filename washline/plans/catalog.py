@@ -217,15 +217,22 @@ def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.select("state", "segment_id", label_to_binary("Damage_Status").alias("y")).where("y IS NOT NULL")
 
 
-def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-1 per state, written once per session (the pool feeds several queries)."""
     from washline.operators.sampling import holdout_split
-    return materialize(holdout_split(_labeled(spark, sf_dir), ["state"]).where("split = 'pool'").drop("split"))
+    key = ("holdout", id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = materialize(holdout_split(_labeled(spark, sf_dir), ["state"]))
+    return _CACHE[key]
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _holdout(spark, sf_dir).where("split = 'pool'").drop("split")
 
 
 @register("d1_holdout_split", _HOLDOUT_SQL)
 def d1_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from washline.operators.sampling import holdout_split
-    return holdout_split(_labeled(spark, sf_dir), ["state"]).select("state", "segment_id", "y", "split")
+    return _holdout(spark, sf_dir).select("state", "segment_id", "y", "split")
 
 
 @register("d2_d3_balanced_run_splits", _BAL_SQL)

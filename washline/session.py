@@ -44,14 +44,17 @@ def get_session(master: str | None = None, app_name: str = "washline",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
     Only when the setting is absent (local runs and tests) a private folder is
     created under the system temp dir. On a cluster the setting must point to
     shared storage.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # pragma: no cover - sessions without a local SparkContext
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -64,5 +67,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for tables written to cut lineage."""
-    base = ensure_checkpoint_dir(spark)
+    base = ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="washline-tables-")
     return os.path.join(base, name)
