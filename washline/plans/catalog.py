@@ -40,13 +40,21 @@ _ORACLES: dict[str, str] = {}
 _CACHE: dict = {}
 
 
+def _sid(spark: SparkSession) -> str:
+    """Cache key of a live session (application id; object id as a fallback)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # pragma: no cover
+        return str(id(spark))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segment view, written once per session to the checkpoint folder.
 
     It stands in for a stored road table: later queries scan it instead of
     re-running the five-way join of the driver tables.
     """
-    key = ("segments", id(spark), sf_dir)
+    key = ("segments", _sid(spark), sf_dir)
     if key not in _CACHE:
         _CACHE[key] = write_table(_segments_view(spark, sf_dir), "segments")
     return _CACHE[key]
@@ -220,7 +228,7 @@ def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-1 per state, written once per session (the pool feeds several queries)."""
     from washline.operators.sampling import holdout_split
-    key = ("holdout", id(spark), sf_dir)
+    key = ("holdout", _sid(spark), sf_dir)
     if key not in _CACHE:
         _CACHE[key] = materialize(holdout_split(_labeled(spark, sf_dir), ["state"]))
     return _CACHE[key]
@@ -268,7 +276,7 @@ _FEATS = ["Z_Min", "Distance_to_Coast_m", "Rel_Elev_Min"]
 def _ensemble_parts(spark: SparkSession, sf_dir: str):
     """(segments, holdout, trees) for the registered ensemble queries, fitted once per session."""
     from washline.plans.ensemble import fit_tree_runs, training_splits
-    key = (id(spark), sf_dir)
+    key = (_sid(spark), sf_dir)
     if key not in _CACHE:
         seg = segments(spark, sf_dir)
         holdout, runs = training_splits(seg, ENSEMBLE_STATE, _FEATS, ENSEMBLE_RUNS)
@@ -467,7 +475,7 @@ WHERE Washout_Probability >= 0 GROUP BY scenario_ft, Z_Min""")
 
 
 def _slr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = ("pts", id(spark), sf_dir)
+    key = ("pts", _sid(spark), sf_dir)
     if key not in _CACHE:
         _CACHE[key] = materialize(segments(spark, sf_dir).select(
             "segment_id", "state", "x", "y", "Z_Min", "Distance_to_Coast_m", "Rel_Elev_Min"))
@@ -478,7 +486,7 @@ def _slr_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-2 + J-3 + P-18/P-19a for every scenario (one spatial pass shared by the queries below)."""
     from washline.plans.slr import scenario_features
     from washline.sources.fixtures import inundation_edges
-    key = ("slr_feats", id(spark), sf_dir)
+    key = ("slr_feats", _sid(spark), sf_dir)
     if key not in _CACHE:
         edges = materialize(inundation_edges(spark, sf_dir, _WET))
         _CACHE[key] = materialize(scenario_features(_slr_points(spark, sf_dir), edges, SLR_SCENARIOS))
@@ -487,7 +495,7 @@ def _slr_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _slr_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from washline.plans.slr import scenario_predictions
-    key = ("slr", id(spark), sf_dir)
+    key = ("slr", _sid(spark), sf_dir)
     if key not in _CACHE:
         _, _, trees = _ensemble_parts(spark, sf_dir)
         _CACHE[key] = materialize(scenario_predictions(_slr_features(spark, sf_dir), trees, _FEATS))
@@ -742,7 +750,7 @@ _ML_STR = ["surfc_type"]
 
 def _ml_runs(spark: SparkSession, sf_dir: str):
     from washline.plans.ensemble import training_splits
-    key = ("ml", id(spark), sf_dir)
+    key = ("ml", _sid(spark), sf_dir)
     if key not in _CACHE:
         seg = segments(spark, sf_dir)
         rows = seg.select("state", "segment_id", "Damage_Status", *_ML_NUM, *_ML_STR)
