@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from washline import schema as S
-from washline.operators.windows import _join_keys, exact_rank, md5_bucket
+from washline.operators.windows import _join_keys, exact_rank, md5_bucket, small_side
 
 
 def md5_key(id_col: str, salt) -> Column:
@@ -110,7 +110,7 @@ def class_quotas(df: DataFrame, keys: list[str], label: str, frac: float) -> Dat
 def stratified_split(df: DataFrame, keys: list[str], label: str, id_col: str, frac: float, salt,
                      test_value: str = "test", train_value: str = "train", out: str = "split") -> DataFrame:
     """D-1 / D-3 / D-4: exact stratified split; the first n_test rows of each class (md5 order) are test."""
-    quotas = class_quotas(df, keys, label, frac).select(*keys, label, "n_test")
+    quotas = small_side(class_quotas(df, keys, label, frac).select(*keys, label, "n_test"))
     d = _join_keys(df, quotas, [*keys, label]).withColumn("_mk", md5_key(id_col, salt))
     flagged = first_n_flag(d, [*keys, label], "_mk", "n_test", "_is_test")
     return flagged.withColumn(out, F.when(F.col("_is_test"), F.lit(test_value)).otherwise(F.lit(train_value))).drop(
@@ -137,7 +137,7 @@ def balanced_runs(pool: DataFrame, keys: list[str], n_runs: int, label: str = "y
     """
     n_pos = pool.where(F.col(label) == 1).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_pos"))
     pos = fan_out_runs(pool.where(F.col(label) == 1), n_runs)
-    neg = _join_keys(fan_out_runs(pool.where(F.col(label) == 0), n_runs), n_pos, keys)
+    neg = _join_keys(fan_out_runs(pool.where(F.col(label) == 0), n_runs), small_side(n_pos), keys)
     neg = neg.withColumn("_mk", md5_key(id_col, F.col("run")))
     picked = first_n(neg, [*keys, "run"], "_mk", "_n_pos").drop("_mk", "_n_pos")
     return pos.unionByName(picked)

@@ -16,6 +16,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 4096
+SMALL_TABLE_LIMIT = 1_000_000
+
+
+def small_side(df: DataFrame, limit: int = SMALL_TABLE_LIMIT) -> DataFrame:
+    """Write a statistics table once and broadcast it when its row count is within ``limit``.
+
+    Joining rows with per-group statistics then never shuffles the rows: the
+    statistics (one row per group, or per group and bucket) travel instead.
+    """
+    from washline.plans.common import materialize
+    m = materialize(df)
+    return F.broadcast(m) if m.count() <= limit else m
 
 
 def md5_bucket(md5_col) -> Column:
@@ -27,7 +39,7 @@ def md5_bucket(md5_col) -> Column:
 def range_bucket(df: DataFrame, keys: list[str], value: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add ``_bucket``: equal-width buckets between the per-key min and max of ``value``."""
     stats = df.groupBy(*keys).agg(F.min(value).alias("_vmin"), F.max(value).alias("_vmax"))
-    out = _join_keys(df, stats, keys)
+    out = _join_keys(df, small_side(stats), keys)
     width = F.col("_vmax") - F.col("_vmin")
     scaled = F.when(width > 0, (F.col(value) - F.col("_vmin")) / F.when(width > 0, width).otherwise(F.lit(1.0)) * n_buckets).otherwise(F.lit(0.0))
     bucket = F.least(F.floor(scaled), F.lit(n_buckets - 1)).cast("int")
@@ -48,7 +60,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list, sums: dict[str,
     before = Window.partitionBy(*keys).orderBy("_rt_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_rt_b", *[
         F.coalesce(F.sum(f"_rt_t_{out}").over(before), F.lit(0)).alias(f"_rt_o_{out}") for out in sums])
-    d = _join_keys(d, offsets, [*keys, "_rt_b"])
+    d = _join_keys(d, small_side(offsets), [*keys, "_rt_b"])
     inner = Window.partitionBy(*keys, "_rt_b").orderBy(*order)
     inner = (inner.rowsBetween(Window.unboundedPreceding, Window.currentRow) if frame == "rows"
              else inner.rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -93,6 +105,6 @@ def next_value(df: DataFrame, keys: list[str], value: str, bucket: Column | str,
     d = df.withColumn("_nv_b", bucket_col)
     mins = d.groupBy(*keys, "_nv_b").agg(F.min(value).alias("_nv_min"))
     nxt = mins.select(*keys, "_nv_b", F.lead("_nv_min").over(Window.partitionBy(*keys).orderBy("_nv_b")).alias("_nv_next"))
-    d = _join_keys(d, nxt, [*keys, "_nv_b"])
+    d = _join_keys(d, small_side(nxt), [*keys, "_nv_b"])
     inner = F.lead(value).over(Window.partitionBy(*keys, "_nv_b").orderBy(value))
     return d.withColumn(out, F.coalesce(inner, F.col("_nv_next"))).drop("_nv_b", "_nv_next")

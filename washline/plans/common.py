@@ -20,9 +20,16 @@ def materialize(df: DataFrame) -> DataFrame:
     so that later stages neither re-plan nor recompute the upstream joins, and a
     lost executor only recomputes from the checkpoint.
     """
+    from pyspark import StorageLevel
+
     from washline.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Persist first: the eager checkpoint runs one job to count and one to write
+    # the files; with the rows cached the second job does not recompute the plan.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
