@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from washline.functions import point_segment_distance
 
-BROADCAST_EDGE_LIMIT = 200_000
+BROADCAST_EDGE_LIMIT = 500_000
 
 
 def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_EDGE_LIMIT) -> DataFrame:
@@ -35,24 +35,45 @@ def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_EDGE_LIMIT) -> DataFr
 
 # --- J-2 -----------------------------------------------------------------------
 
-def edge_bands(edges: DataFrame, band: float) -> DataFrame:
-    """Every non-horizontal edge once per horizontal band it spans."""
+def edge_bands(edges: DataFrame, band: float, layer: list[str] | None = None, xcell: float | None = None) -> DataFrame:
+    """Every non-horizontal edge once per horizontal band it spans.
+
+    With ``xcell`` the edge is also registered per x cell, from the cell of its
+    polygon's smallest x to the cell of its own largest x: a point left of that
+    range either lies left of the whole polygon (zero crossings, even) or cannot
+    reach the edge with its +x ray, so the point meets exactly the edges that can
+    change its parity.
+    """
     lo = F.floor(F.least("y1", "y2") / F.lit(band))
     hi = F.floor(F.greatest("y1", "y2") / F.lit(band))
-    return edges.where(F.col("y1") != F.col("y2")).withColumn("_band", F.explode(F.sequence(lo, hi)))
+    out = edges.where(F.col("y1") != F.col("y2")).withColumn("_band", F.explode(F.sequence(lo, hi)))
+    if xcell is None:
+        return out
+    keys = [*(layer or []), "poly_id"]
+    pmin = edges.groupBy(*keys).agg(F.min(F.least("x1", "x2")).alias("_pminx"))
+    out = out.join(F.broadcast(pmin), keys)   # one row per polygon
+    xs = F.sequence(F.floor(F.col("_pminx") / F.lit(xcell)), F.floor(F.greatest("x1", "x2") / F.lit(xcell)))
+    return out.withColumn("_xc", F.explode(xs)).drop("_pminx")
 
 
 def point_in_polygons(points: DataFrame, edges: DataFrame, layer: list[str], id_col: str = "id",
-                      band: float = 10.0, out: str = "Inundated", keep_all: bool = True) -> DataFrame:
+                      band: float = 20.0, out: str = "Inundated", keep_all: bool = True,
+                      xcell: float | None = 50.0) -> DataFrame:
     """J-2: ``out`` = point lies inside any polygon of its layer (boundary excluded up to ray-rule ties).
 
     Returns ``points`` with the flag added (points meeting no edge get False), or,
     with ``keep_all=False``, only the (layer, id) keys of points that are inside,
     which saves the join back when the caller joins anyway.
     """
-    eb = _maybe_broadcast(edge_bands(edges, band).select(*layer, "poly_id", "_band", "x1", "y1", "x2", "y2"))
+    from washline.plans.common import materialize
+
+    cell_keys = ["_band"] if xcell is None else ["_band", "_xc"]
+    eb = edge_bands(edges, band, layer, xcell).select(*layer, "poly_id", *cell_keys, "x1", "y1", "x2", "y2")
+    eb = _maybe_broadcast(materialize(eb))
     p = points.select(*layer, id_col, "x", "y").withColumn("_band", F.floor(F.col("y") / F.lit(band)))
-    pairs = p.join(eb, [*layer, "_band"])
+    if xcell is not None:
+        p = p.withColumn("_xc", F.floor(F.col("x") / F.lit(xcell)))
+    pairs = p.join(eb, [*layer, *cell_keys])
     crosses = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
     x_at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     hit = F.when(crosses, F.col("x") < x_at).otherwise(F.lit(False))
