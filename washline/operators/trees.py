@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from washline.operators.windows import DEFAULT_BUCKETS, _join_keys, next_value, range_bucket, running_totals
+from washline.operators.windows import DEFAULT_BUCKETS, _join_keys, next_value, range_bucket, running_totals, small_side
 
 NODE_COLUMNS = ["node", "depth", "is_leaf", "feature", "threshold", "n", "n_pos", "prob"]
 INLINE_NODE_LIMIT = 5000
@@ -61,21 +61,19 @@ def fit_cart(train: DataFrame, keys: list[str], features: list[str], label: str
              max_depth: int = 2, min_leaf: int = 10, n_buckets: int = DEFAULT_BUCKETS,
              checkpoint_levels: bool = True) -> DataFrame:
     """Grow one exact CART tree per ``keys`` group (e.g. per run) with gini impurity."""
-    from washline.plans.common import materialize
-
     feat_name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("fi") + 1)
     cur = train.select(*keys, F.col(label).cast("int").alias(label), *features).withColumn("node", F.lit(0))
     levels = []
     for depth in range(max_depth + 1):
         stats = cur.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n"),
                                                F.count_if(F.col(label) == 1).alias("n_pos"))
+        stats = small_side(stats)          # one row per (group, node): broadcast, training rows stay put
         splittable = stats.where((F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n")) & (F.col("n") >= 2 * min_leaf))
         if depth < max_depth:
             best = _best_splits(cur.join(splittable.select(*keys, "node"), [*keys, "node"], "left_semi"),
                                 keys, features, label, min_leaf, n_buckets)
             best = best.withColumn("feature", feat_name).drop("fi")
-            if checkpoint_levels:
-                best = materialize(best)
+            best = small_side(best) if checkpoint_levels else best
         else:
             best = stats.limit(0).select(*keys, "node", F.lit(None).cast("string").alias("feature"),
                                          F.lit(None).cast("double").alias("threshold"))
