@@ -41,7 +41,7 @@ def _best_splits(cur: DataFrame, keys: list[str], features: list[str], label: st
     cum = running_totals(b, gk, ["v"], {"cp": "pos", "cn": "neg"}, "_bucket")
     cum = next_value(cum, gk, "v", "_bucket", "v_next")
     tot = vc.groupBy(*gk).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cand = _join_keys(cum, tot, gk)
+    cand = _join_keys(cum, small_side(tot), gk)
     nl = F.col("cp") + F.col("cn")
     nr = F.col("P") + F.col("N") - nl
     cp, cn = F.col("cp").cast("double"), F.col("cn").cast("double")
