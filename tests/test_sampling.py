@@ -36,3 +36,21 @@ def test_folds_are_balanced_and_complete(spark):
     assert f.count() == 660
     sizes = [r["count"] for r in f.groupBy("fold").count().collect()]
     assert sorted(sizes) == [132] * 5
+
+
+def test_first_n_on_a_hot_group_matches_sorting(spark):
+    """One group holds almost every row; groups smaller than the quota keep all rows."""
+    import hashlib
+
+    from washline.operators.sampling import first_n, first_n_flag, md5_key
+    rows = [("hot", f"h{i}") for i in range(5000)] + [("small", f"s{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, segment_id string").withColumn(
+        "q", F.when(F.col("g") == "hot", F.lit(1234)).otherwise(F.lit(10))).withColumn("_mk", md5_key("segment_id", 7))
+    got = {(r.g, r.segment_id) for r in first_n(df, ["g"], "_mk", "q").collect()}
+    want = set()
+    for g, quota in (("hot", 1234), ("small", 10)):
+        ids = sorted((hashlib.md5(f"{s}|7".encode()).hexdigest(), s) for gg, s in rows if gg == g)
+        want |= {(g, s) for _, s in ids[:quota]}
+    assert got == want
+    flags = first_n_flag(df, ["g"], "_mk", "q", "sel")
+    assert flags.count() == len(rows) and {(r.g, r.segment_id) for r in flags.where("sel").collect()} == want
