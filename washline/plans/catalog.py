@@ -25,6 +25,7 @@ from washline.plans.sqltext import (
     logit_sql,
     md5_sql,
     metrics_select,
+    platt_ctes,
     quota_sql,
     screening_sql,
     seg_dist_sql,
@@ -394,9 +395,24 @@ def g15_per_class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(per_class_summary(metrics, ["state"]))
 
 
-@register("m6_c1_platt_calibrated_predictions")
+_CALIB = "(1.0 / (1.0 + exp(-(pl.w * r.p_mean_raw + pl.b))))"
+_PLATT_SQL = with_segments(
+    *_ENS_SCORE_CTES,
+    ("hold_rows", f"SELECT segment_id, y, {', '.join(_FEATS)} FROM eho WHERE split = 'holdout'"),
+    *tree_score_ctes("hold_rows", "trees", _FEATS, ["segment_id", "y"], 2, prefix="h"),
+    ("hmean", "SELECT segment_id, CAST(y AS DOUBLE) AS y, avg(p) AS x FROM hscored_long GROUP BY segment_id, y"),
+    *platt_ctes("hmean"),
+    ("red", "SELECT state, segment_id, avg(p) AS p_mean_raw FROM scored_long GROUP BY state, segment_id"),
+) + f"""
+SELECT r.state, r.segment_id, ROUND(r.p_mean_raw, 6) AS p_mean_raw, ROUND({_CALIB}, 6) AS p_mean_calib,
+  ROUND({expit_sql(logit_sql(_CALIB) + ' + (' + logit_sql('(' + _PRIOR + ')') + ' - 0.0)')}, 6) AS p_mean_adj
+FROM red r CROSS JOIN platt pl
+"""
+
+
+@register("m6_c1_platt_calibrated_predictions", _PLATT_SQL)
 def m6_c1_platt_calibrated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows-only: the Platt fit is an iterative solve (Newton steps, one aggregation each)."""
+    """M-6 (Newton steps, one aggregation each; the oracle unrolls 30 steps), C-1, C-4, C-5."""
     from washline.plans.ensemble import evaluate_states, fit_calibration
     seg, holdout, trees = _ensemble_parts(spark, sf_dir)
     platt = fit_calibration(holdout, trees)

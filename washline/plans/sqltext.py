@@ -148,17 +148,17 @@ def cart_ctes(train: str, features: list[str], max_depth: int, min_leaf: int, ke
 
 
 def tree_score_ctes(rows: str, trees: str, features: list[str], keep: list[str], depth: int,
-                    key: str = "run") -> list[tuple[str, str]]:
-    """CTEs scoring every row with every tree (walk by joins); last CTE: ``scored_long``."""
+                    key: str = "run", prefix: str = "") -> list[tuple[str, str]]:
+    """CTEs scoring every row with every tree (walk by joins); last CTE: ``<prefix>scored_long``."""
     k = ", ".join(f"r.{c}" for c in keep)
     f = ", ".join(f"r.{c}" for c in features)
     fmap = "CASE t.feature " + " ".join(f"WHEN '{c}' THEN r.{c}" for c in features) + " END"
-    ctes = [("walk0", f"SELECT {k}, {f}, g.{key}, 0 AS node FROM {rows} r CROSS JOIN (SELECT DISTINCT {key} FROM {trees}) g")]
+    ctes = [(f"{prefix}walk0", f"SELECT {k}, {f}, g.{key}, 0 AS node FROM {rows} r CROSS JOIN (SELECT DISTINCT {key} FROM {trees}) g")]
     for d in range(depth):
-        ctes.append((f"walk{d + 1}", f"""SELECT {k}, {f}, r.{key}, CASE WHEN t.is_leaf THEN r.node
+        ctes.append((f"{prefix}walk{d + 1}", f"""SELECT {k}, {f}, r.{key}, CASE WHEN t.is_leaf THEN r.node
             WHEN {fmap} <= t.threshold THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node
-            FROM walk{d} r JOIN {trees} t ON r.{key} = t.{key} AND r.node = t.node"""))
-    ctes.append(("scored_long", f"""SELECT {k}, r.{key}, t.prob AS p FROM walk{depth} r
+            FROM {prefix}walk{d} r JOIN {trees} t ON r.{key} = t.{key} AND r.node = t.node"""))
+    ctes.append((f"{prefix}scored_long", f"""SELECT {k}, r.{key}, t.prob AS p FROM {prefix}walk{depth} r
         JOIN {trees} t ON r.{key} = t.{key} AND r.node = t.node"""))
     return ctes
 
@@ -184,3 +184,21 @@ def seg_dist_sql(px: str, py: str, x1="x1", y1="y1", x2="x2", y2="y2") -> str:
 
 def crossing_sql(px: str, py: str) -> str:
     return (f"(CASE WHEN (y1 > {py}) <> (y2 > {py}) THEN {px} < x1 + ({py} - y1) * (x2 - x1) / (y2 - y1) ELSE FALSE END)")
+
+
+def platt_ctes(source: str, x: str = "x", y: str = "y", C: float = 1.0, iterations: int = 30) -> list[tuple[str, str]]:
+    """Newton steps of the one-feature L2 logistic fit (same update as models.fit_platt); last CTE: ``platt``."""
+    ctes = [("platt_it0", "SELECT CAST(0.0 AS DOUBLE) AS w, CAST(0.0 AS DOUBLE) AS b")]
+    for k in range(iterations):
+        p = f"(1.0 / (1.0 + exp(-(it.w * s.{x} + it.b))))"
+        sums = (f"SELECT it.w, it.b, sum(({p} - s.{y}) * s.{x}) AS gw, sum({p} - s.{y}) AS gb, "
+                f"sum({p} * (1.0 - {p}) * s.{x} * s.{x}) AS hww, sum({p} * (1.0 - {p}) * s.{x}) AS hwb, "
+                f"sum({p} * (1.0 - {p})) AS hbb FROM platt_it{k} it CROSS JOIN {source} s GROUP BY it.w, it.b")
+        c = repr(float(C))
+        g_w, g_b = f"(w + {c} * gw)", f"({c} * gb)"
+        h_ww, h_wb, h_bb = f"(1.0 + {c} * hww)", f"({c} * hwb)", f"({c} * hbb + 1e-300)"
+        det = f"({h_ww} * {h_bb} - {h_wb} * {h_wb})"
+        ctes.append((f"platt_it{k + 1}", f"""SELECT w - ({h_bb} * {g_w} - {h_wb} * {g_b}) / {det} AS w,
+            b - ({h_ww} * {g_b} - {h_wb} * {g_w}) / {det} AS b FROM ({sums}) t"""))
+    ctes.append(("platt", f"SELECT w, b FROM platt_it{iterations}"))
+    return ctes
