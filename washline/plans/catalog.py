@@ -370,6 +370,23 @@ def j5_a1_a3_c4_ensemble_predictions(spark: SparkSession, sf_dir: str) -> DataFr
     return round_doubles(pred.select("state", "segment_id", "y", "p_mean_raw", "p_std", "p_vote", "p_mean_adj"))
 
 
+_ENS_LONG_SQL = with_segments(*_ENS_SCORE_CTES) + """
+SELECT state, segment_id, ROUND(avg(p), 6) AS p_mean_raw, ROUND(stddev_pop(p), 6) AS p_std,
+  ROUND(avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS p_vote FROM scored_long GROUP BY state, segment_id
+"""
+
+
+@register("j5_a1_a3_tree_walk_long", _ENS_LONG_SQL)
+def j5_a1_a3_tree_walk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path for tree tables too large to inline: equi-join walk, long layout, grouped reduce."""
+    from washline.operators.ensemble import reduce_long
+    from washline.operators.trees import score_long
+    from washline.plans.ensemble import labeled
+    seg, _, trees = _ensemble_parts(spark, sf_dir)
+    long = score_long(labeled(seg, _FEATS), trees, ["state", "segment_id"], _FEATS)
+    return round_doubles(reduce_long(long, ["state", "segment_id"]))
+
+
 @register("g11_g12_g14_run_summary", _RUN_SUMMARY_SQL)
 def g11_g12_g14_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
