@@ -54,3 +54,14 @@ def test_first_n_on_a_hot_group_matches_sorting(spark):
     assert got == want
     flags = first_n_flag(df, ["g"], "_mk", "q", "sel")
     assert flags.count() == len(rows) and {(r.g, r.segment_id) for r in flags.where("sel").collect()} == want
+
+
+def test_unstratified_exact_split(spark):
+    """D-4: ceil(frac * n) test rows per group, classes not balanced on purpose."""
+    from washline.operators.sampling import exact_split
+    df = _me_like(spark)
+    s = exact_split(df, ["state"], "segment_id", 0.3, 42)
+    sizes = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
+    assert sizes == {"test": 198, "train": 462}
+    again = exact_split(df, ["state"], "segment_id", 0.3, 42)
+    assert s.where("split = 'test'").select("segment_id").subtract(again.where("split = 'test'").select("segment_id")).count() == 0

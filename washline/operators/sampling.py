@@ -117,6 +117,18 @@ def stratified_split(df: DataFrame, keys: list[str], label: str, id_col: str, fr
         "_is_test", "_mk", "n_test")
 
 
+def exact_split(df: DataFrame, keys: list[str], id_col: str, frac: float, salt,
+                test_value: str = "test", train_value: str = "train", out: str = "split") -> DataFrame:
+    """D-4: exact-size split without stratification: the first ceil(frac * n) rows of each group
+    (md5 order) are test, whatever their class."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    quota = small_side(counts.select(*keys, F.ceil(F.lit(float(frac)) * F.col("_n")).cast("bigint").alias("_n_test")))
+    d = _join_keys(df, quota, keys).withColumn("_mk", md5_key(id_col, salt))
+    flagged = first_n_flag(d, keys, "_mk", "_n_test", "_is_test")
+    return flagged.withColumn(out, F.when(F.col("_is_test"), F.lit(test_value)).otherwise(F.lit(train_value))).drop(
+        "_is_test", "_mk", "_n_test")
+
+
 def holdout_split(df: DataFrame, keys: list[str], label: str = "y", id_col: str = "segment_id",
                   frac: float = S.HOLDOUT_FRACTION, seed: int = S.HOLDOUT_SEED) -> DataFrame:
     """D-1: calibration holdout (``split`` = holdout | pool)."""

@@ -257,6 +257,20 @@ def d5_bounded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_sample(segments(spark, sf_dir).select("state", "segment_id"), ["state"], 50, seed=0)
 
 
+_D4_SQL = with_segments(("lab", _LABELED)) + f"""
+SELECT state, segment_id, y, CASE WHEN rk <= CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT l.*, row_number() OVER (PARTITION BY state ORDER BY {md5_sql('segment_id', "'42'")}) AS rk,
+             count(*) OVER (PARTITION BY state) AS n FROM lab l) x
+"""
+
+
+@register("d4_calibration_split", _D4_SQL)
+def d4_calibration_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-4: the notebook's unstratified 20 % calibration split of each state's labelled rows."""
+    from washline.operators.sampling import exact_split
+    return exact_split(_labeled(spark, sf_dir), ["state"], "segment_id", 0.2, 42).select("state", "segment_id", "y", "split")
+
+
 @register("d7_stratified_folds", _FOLDS_SQL)
 def d7_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from washline.operators.sampling import stratified_folds
