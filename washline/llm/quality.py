@@ -1,8 +1,10 @@
 """Quality classifier: hashed word n-gram logistic regression, trained with FTRL-proximal updates.
 
 Tokens are runs of letters, of digits and of other signs (white space separates);
-their 1- and 2-grams are hashed into ``2**bits`` weights. A text is scored as one
-sparse dot product, the mean weight of its n-grams, through the logistic link.
+their 1- and 2-grams are hashed into ``2**bits`` weights; a 2-gram of a word with
+itself, and a 3-gram that returns to its first word, share a slot for all words, so
+stuttering text is seen whatever it repeats. A text is scored as one sparse dot
+product, the mean weight of its n-grams, through the logistic link.
 
 Training rows are a bounded sample: the ``max_train`` labelled documents with the
 smallest hash of their id. Everything else reads all rows and whole texts.
@@ -34,8 +36,11 @@ _KIND[48:58] = 2
 _KIND[C.SPACE] = 0
 
 
+_AGAIN, _ECHO = C.mix(np.array([101, 102], C.U64))
+
+
 def features(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, text row) of every 1- and 2-gram of the texts; rows ascend within each gram size."""
+    """(slot, text row) of every n-gram of the texts."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -54,9 +59,11 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     rows = np.repeat(np.arange(len(counts)), counts)
     with np.errstate(over="ignore"):
         two = C.mix(h[:-1] * C.U64(0x2545F4914F6CDD1D) + h[1:])
+    two[h[1:] == h[:-1]] = _AGAIN       # "w w", whatever the word
     same = rows[1:] == rows[:-1]
-    slots = np.concatenate([h, two[same]]) >> C.U64(64 - bits)
-    return slots.astype(np.int64), np.concatenate([rows, rows[:-1][same]])
+    echo = (h[2:] == h[:-2]) & (rows[2:] == rows[:-2])      # "w x w"
+    slots = np.concatenate([h, two[same], np.full(int(echo.sum()), _ECHO)]) >> C.U64(64 - bits)
+    return slots.astype(np.int64), np.concatenate([rows, rows[:-1][same], rows[:-2][echo]])
 
 
 def _examples(batches, bits):
@@ -154,8 +161,7 @@ class HashedNgramClassifier:
                     [b.column(c) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                     names=[*keep, "score", "predicted"])
 
-        cols = docs if text in keep else docs
-        return cols.mapInArrow(run, schema)
+        return docs.mapInArrow(run, schema)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> HashedNgramClassifier:
