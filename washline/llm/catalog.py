@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from washline.llm.jaccard import op6_ngram_jaccard
+from washline.llm.packing import op10_packing
 from washline.llm.quality import op9_quality
+from washline.llm.repeats import op4_suffix_dedup
+from washline.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict:
     return {
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_toxicity": op5_toxicity,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op9_quality": op9_quality,
+        "op10_packing": op10_packing,
     }
 
 
