@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from washline.llm import common as C
+from washline.llm.jaccard import small
 
 GRAM, SEGMENT, STEP, BUDGET = 8, 100, 20, 10
 BLOCK_BYTES = 8 << 20
@@ -195,7 +196,7 @@ def _blocks(benchmark: DataFrame) -> list[list]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, begin, end (bytes of the document), segments, edits (of the best segment): one row per pair."""
+    """doc_id, item_id, begin, end (bytes of the document), segments, edits (of the best segment): one row per region."""
     spark = docs.sparkSession
     C.ship(spark)
     found = []
@@ -211,14 +212,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     row, item, begin, end, edits = items.align(piece, o, *items.bands(piece, o))
                     if not len(row):
                         continue
-                    order = np.lexsort((item, row))
+                    order = np.lexsort((begin, item, row))
                     row, item, begin, end, edits = (x[order] for x in (row, item, begin, end, edits))
                     new = np.ones(len(row), bool)
                     new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+                    reach = end + np.cumsum(new) * (int(o[-1]) + 1)       # running end within the pair
+                    new[1:] |= begin[1:] + np.cumsum(new)[1:] * (int(o[-1]) + 1) > np.maximum.accumulate(reach)[:-1]
                     s = np.flatnonzero(new)
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(pa.array(row[s] + lo)), pa.array([items.ids[i] for i in item[s]], pa.int64()),
-                         pa.array(np.minimum.reduceat(begin, s)), pa.array(np.maximum.reduceat(end, s)),
+                         pa.array(begin[s]), pa.array(np.maximum.reduceat(end, s)),
                          pa.array(np.diff(np.append(s, len(row)))), pa.array(np.minimum.reduceat(edits, s))],
                         names=["doc_id", "item_id", "begin", "end", "segments", "edits"])
 
@@ -229,10 +232,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark passage."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = small(C.store(matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
-    """The contaminated documents, one row per document and benchmark item."""
+    """The contaminated regions of the documents: one row per document, benchmark item and stretch."""
     return matches(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
