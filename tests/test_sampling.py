@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from washline.operators.sampling import balanced_runs, class_quotas, holdout_split, run_splits, stratified_folds
+from washline.operators.sampling import (balanced_runs, bounded_sample, class_quotas, exact_split, holdout_split, run_splits,
+                                         stratified_folds, stratified_split)
 
 
 def _me_like(spark):
@@ -65,3 +66,32 @@ def test_unstratified_exact_split(spark):
     assert sizes == {"test": 198, "train": 462}
     again = exact_split(df, ["state"], "segment_id", 0.3, 42)
     assert s.where("split = 'test'").select("segment_id").subtract(again.where("split = 'test'").select("segment_id")).count() == 0
+
+
+def _classes(spark, *sizes, state="S"):
+    rows = [(f"{state}{c}-{i}", state, c) for c, n in enumerate(sizes) for i in range(n)]
+    return spark.createDataFrame(rows, "segment_id string, state string, y int")
+
+
+def test_tiny_classes_keep_their_quota(spark):
+    for sizes, frac, want in (((18, 2), 0.1, {0: 2}), ((9, 1), 0.1, {0: 1}), ((2, 2), 0.2, {0: 1}), ((1,), 0.1, {0: 1})):
+        df = _classes(spark, *sizes)
+        got = {r.y: r["count"] for r in stratified_split(df, ["state"], "y", "segment_id", frac, 42).where("split = 'test'").groupBy("y").count().collect()}
+        quotas = {r.y: r.n_test for r in class_quotas(df, ["state"], "y", frac).collect() if r.n_test}
+        assert got == quotas and sum(got.values()) == -(-frac * sum(sizes) // 1), (sizes, got)
+        if len(sizes) == 2 and sizes[0] != sizes[1]:
+            assert got == want
+
+
+def test_null_groups_and_edge_quotas(spark):
+    df = _classes(spark, 60, 40, state="A").unionByName(_classes(spark, 60, 40, state="B").withColumn("state", F.lit(None).cast("string")))
+    flags = exact_split(df, ["state"], "segment_id", 0.2, 1).where("split = 'test'").groupBy("state").count().collect()
+    assert {r.state: r["count"] for r in flags} == {"A": 20, None: 20}
+    for k, n in ((0, 0), (5, 10), (100, 200), (1000, 200), (-3, 0)):
+        assert bounded_sample(df, ["state"], k).count() == n
+    assert bounded_sample(df, [], 7).count() == 7
+    pool = stratified_split(df, ["state"], "y", "segment_id", 0.1, 42)
+    assert {r.state: r["count"] for r in pool.where("split = 'test'").groupBy("state").count().collect()} == {"A": 10, None: 10}
+    runs = balanced_runs(df, ["state"], 2)
+    assert {(r.state, r.run, r.y): r["count"] for r in runs.groupBy("state", "run", "y").count().collect()} == {
+        (s, k, y): 40 for s in ("A", None) for k in (0, 1) for y in (0, 1)}

@@ -6,7 +6,6 @@ sources    scans and sinks (road tables, splits, scenario sets, driver fixtures)
 functions  Column -> Column helpers (labels, log-odds, projection, geometry, risk)
 operators  DataFrame -> DataFrame operators (prep, sampling, models, metrics, ...)
 plans      end-to-end jobs and the query catalog used by ``__spark_entry__``
-streaming  the screening operator on a Structured Streaming source
 """
 
 __version__ = "0.1.0"

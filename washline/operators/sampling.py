@@ -26,36 +26,33 @@ def md5_key(id_col: str, salt) -> Column:
     return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), s))
 
 
-GROUP_TABLE_LIMIT = 1_000_000
+ALL_BUCKETS = 65_536          # one past the largest md5 bucket: every row lies before it
 
 
 def _threshold_buckets(d: DataFrame, keys: list[str], quota: str) -> DataFrame:
-    """Per group: the md5 bucket holding the quota-th row (``_bstar``) and the rows before it (``_ostar``).
+    """Exactly one row per group: the md5 bucket holding the quota-th row (``_bstar``) and the rows before it (``_ostar``).
 
-    Built from bucket counts (combined map-side); one row per group. A group
-    with fewer rows than its quota gets no row (every row is selected).
+    Built from bucket counts (combined map-side). A quota of zero or less (or NULL)
+    puts the threshold before the first bucket, a quota of at least the group's size
+    after the last one.
     """
     totals = d.groupBy(*keys, "_fb").agg(F.count(F.lit(1)).alias("_ft"), F.first(quota).alias("_q"))
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = part.orderBy("_fb").rowsBetween(Window.unboundedPreceding, -1)
     cum = totals.withColumn("_fo", F.coalesce(F.sum("_ft").over(before), F.lit(0)))
-    return cum.where((F.col("_fo") < F.col("_q")) & (F.col("_fo") + F.col("_ft") >= F.col("_q"))).select(
-        *keys, F.col("_fb").alias("_bstar"), F.col("_fo").alias("_ostar"))
+    hit = (F.col("_fo") < F.col("_q")) & (F.col("_fo") + F.col("_ft") >= F.col("_q"))
+    grouped = cum.groupBy(*keys).agg(F.sum("_ft").alias("_n"), F.first("_q").alias("_q"),
+                                     F.max(F.when(hit, F.col("_fb"))).alias("_b"), F.max(F.when(hit, F.col("_fo"))).alias("_o"))
+    quota_col = F.coalesce(F.col("_q"), F.lit(0))
+    return grouped.select(
+        *keys, F.when(quota_col <= 0, -1).when(quota_col >= F.col("_n"), ALL_BUCKETS).otherwise(F.col("_b")).cast("int").alias("_bstar"),
+        F.coalesce("_o", F.lit(0)).cast("long").alias("_ostar"))
 
 
 def _attach_threshold(df: DataFrame, keys: list[str], order_col: str, quota: str) -> DataFrame:
-    from washline.plans.common import materialize
-
+    """Every row with its group's threshold; NULL keys are a group like any other."""
     d = df.withColumn("_fb", md5_bucket(order_col))
-    thr = materialize(_threshold_buckets(d, keys, quota))   # one row per group
-    n_groups = thr.count()
-    if not keys:
-        if n_groups == 0:
-            return d.withColumn("_bstar", F.lit(None).cast("int")).withColumn("_ostar", F.lit(None).cast("long"))
-        return _join_keys(d, thr, [])
-    if n_groups <= GROUP_TABLE_LIMIT:       # size-checked: broadcast, the rows do not move
-        thr = F.broadcast(thr)
-    return d.join(thr, keys, "left")
+    return _join_keys(d, small_side(_threshold_buckets(d, keys, quota)), keys)
 
 
 def first_n_flag(df: DataFrame, keys: list[str], order_col: str, quota: str, out: str = "selected") -> DataFrame:
@@ -68,8 +65,7 @@ def first_n_flag(df: DataFrame, keys: list[str], order_col: str, quota: str, out
     """
     d = _attach_threshold(df, keys, order_col, quota)
     bstar = F.col("_bstar")
-    decided = d.where(bstar.isNull() | (F.col("_fb") != bstar)).withColumn(
-        out, bstar.isNull() | (F.col("_fb") < bstar))
+    decided = d.where(F.col("_fb") != bstar).withColumn(out, F.col("_fb") < bstar)
     w = Window.partitionBy(*keys, "_fb").orderBy(order_col)
     boundary = d.where(F.col("_fb") == bstar).withColumn(out, F.col("_ostar") + F.row_number().over(w) <= F.col(quota))
     return decided.unionByName(boundary).drop("_fb", "_bstar", "_ostar")
@@ -83,7 +79,7 @@ def first_n(df: DataFrame, keys: list[str], order_col: str, quota: str) -> DataF
     """
     d = _attach_threshold(df, keys, order_col, quota)
     bstar = F.col("_bstar")
-    direct = d.where(bstar.isNull() | (F.col("_fb") < bstar))
+    direct = d.where(F.col("_fb") < bstar)
     w = Window.partitionBy(*keys, "_fb").orderBy(order_col)
     edge = d.where(F.col("_fb") == bstar).withColumn("_rk", F.col("_ostar") + F.row_number().over(w))
     edge = edge.where(F.col("_rk") <= F.col(quota)).drop("_rk")

@@ -70,14 +70,14 @@ def fit_cart(train: DataFrame, keys: list[str], features: list[str], label: str
         stats = small_side(stats)          # one row per (group, node): broadcast, training rows stay put
         splittable = stats.where((F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n")) & (F.col("n") >= 2 * min_leaf))
         if depth < max_depth:
-            best = _best_splits(cur.join(splittable.select(*keys, "node"), [*keys, "node"], "left_semi"),
+            best = _best_splits(_join_keys(cur, splittable.select(*keys, "node"), [*keys, "node"]),
                                 keys, features, label, min_leaf, n_buckets)
             best = best.withColumn("feature", feat_name).drop("fi")
             best = small_side(best) if checkpoint_levels else best
         else:
             best = stats.limit(0).select(*keys, "node", F.lit(None).cast("string").alias("feature"),
                                          F.lit(None).cast("double").alias("threshold"))
-        level = stats.join(best, [*keys, "node"], "left")
+        level = _join_keys(stats, best, [*keys, "node"], "left")
         level = level.select(*keys, "node", F.lit(depth).alias("depth"), F.col("feature").isNull().alias("is_leaf"),
                              "feature", "threshold", F.col("n").cast("bigint").alias("n"),
                              F.col("n_pos").cast("bigint").alias("n_pos"),
@@ -86,7 +86,7 @@ def fit_cart(train: DataFrame, keys: list[str], features: list[str], label: str
         if depth == max_depth:
             break
         value = F.element_at(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))]), F.col("feature"))
-        nxt = cur.join(best, [*keys, "node"], "inner")
+        nxt = _join_keys(cur, best, [*keys, "node"])
         cur = nxt.select(*keys, label, *features, F.when(value <= F.col("threshold"), 2 * F.col("node") + 1)
                          .otherwise(2 * F.col("node") + 2).alias("node"))
     return reduce(DataFrame.unionByName, levels)

@@ -2,7 +2,7 @@
 
 A plain ``Window.partitionBy(key).orderBy(v)`` sorts every row of a key in a
 single task; when one key holds a third of the data that task is the job. Here
-every key is cut into ordered buckets first: bucket totals (a small table, at
+every key is cut into ordered buckets of similar row counts first: bucket totals (a small table, at
 most ``n_buckets`` rows per key) give each bucket its offset, and the in-bucket
 running sum is a window partitioned by ``(key, bucket)``. The result is exact and
 the widest task holds one bucket.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 4096
+DEFAULT_BUCKETS = 64
 SMALL_TABLE_LIMIT = 1_000_000
 
 
@@ -37,13 +37,17 @@ def md5_bucket(md5_col) -> Column:
 
 
 def range_bucket(df: DataFrame, keys: list[str], value: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add ``_bucket``: equal-width buckets between the per-key min and max of ``value``."""
-    stats = df.groupBy(*keys).agg(F.min(value).alias("_vmin"), F.max(value).alias("_vmax"))
-    out = _join_keys(df, small_side(stats), keys)
-    width = F.col("_vmax") - F.col("_vmin")
-    scaled = F.when(width > 0, (F.col(value) - F.col("_vmin")) / F.when(width > 0, width).otherwise(F.lit(1.0)) * n_buckets).otherwise(F.lit(0.0))
-    bucket = F.least(F.floor(scaled), F.lit(n_buckets - 1)).cast("int")
-    return out.withColumn("_bucket", bucket).drop("_vmin", "_vmax")
+    """Add ``_bucket``: the number of the key's (approximate) percentiles below the value.
+
+    Percentiles follow the rows, so a few far-off values cannot push all others into
+    one bucket. Any cut points give exact results downstream, since the bucket never
+    decreases with the value and equal values share one.
+    """
+    at = [i / n_buckets for i in range(1, n_buckets)]
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), at, 100 * n_buckets)).alias("_cuts"))
+    out = _join_keys(df, small_side(cuts), keys)
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))
+    return out.withColumn("_bucket", F.coalesce(below, F.lit(0)).cast("int")).drop("_cuts")
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list, sums: dict[str, str],
@@ -74,7 +78,7 @@ def exact_rank(df: DataFrame, keys: list[str], order: list, bucket: Column | str
     return running_totals(df.withColumn("_one", F.lit(1)), keys, order, {out: "_one"}, bucket).drop("_one")
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on shared key names, keeping one copy of each key."""
     if not keys:
         return _join_no_keys(left, right)
@@ -85,7 +89,7 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     for i, k in enumerate(keys):
         c = left[k].eqNullSafe(renamed[f"_jk_{i}"])
         cond = c if cond is None else cond & c
-    return left.join(renamed, cond, "inner").drop(*[f"_jk_{i}" for i in range(len(keys))])
+    return left.join(renamed, cond, how).drop(*[f"_jk_{i}" for i in range(len(keys))])
 
 
 def _join_no_keys(left: DataFrame, right: DataFrame) -> DataFrame:

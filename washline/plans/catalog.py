@@ -725,22 +725,68 @@ FROM imp i LEFT JOIN cats c ON i.surfc_type = c.cat
 
 @register("p5_e1_e2_e3_align_impute_encode", _PREP_SQL)
 def p5_e1_e2_e3_align_impute_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from functools import reduce
     from washline.functions import label_to_binary
-    from washline.operators.prep import align_schema, apply_imputer, category_index, fit_categories, fit_imputer
+    from washline.operators.prep import align_schema, apply_imputer, category_table, encode_with_table, fit_imputer
     seg = segments(spark, sf_dir).where(label_to_binary("Damage_Status").isNotNull())
-    states = [r[0] for r in seg.select("state").distinct().collect()]   # the state list (S-2 paths)
-    full = ["state", "segment_id", "Distance_to_Coast_m", "Z_Min", "Inundation_Duration_Min", "surfc_type"]
-    per_state = [seg.where(F.col("state") == s).select(*(full[:4] if s == SPARSE_STATE else full)) for s in states]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), per_state)       # S-2
+    # S-2: one state's table lacks two columns; in the union of the states they are NULL there
+    lacks = F.col("state").eqNullSafe(F.lit(SPARSE_STATE))
+    union = seg.select("state", "segment_id", "Distance_to_Coast_m", "Z_Min",
+                       *[F.when(~lacks, F.col(c)).alias(c) for c in ("Inundation_Duration_Min", "surfc_type")])
     aligned = align_schema(union, _ALIGN_COLS, keep=["state", "segment_id"])                 # P-5
     train = aligned.where(F.col("state") == ENSEMBLE_STATE)
     fills = fit_imputer(train, [c for c in _ALIGN_COLS if c != "surfc_type"], ["surfc_type"])  # E-1, E-2
-    cats = fit_categories(train, "surfc_type")                                               # E-3
-    out = apply_imputer(aligned, fills).withColumn("surfc_type_index", category_index("surfc_type", cats))
+    out = encode_with_table(apply_imputer(aligned, fills), "surfc_type", category_table(train, "surfc_type"))  # E-3
     return round_doubles(out)
 
 
+_E3_SQL = """
+WITH cats AS (SELECT c_name AS cat, CAST(row_number() OVER (ORDER BY c_name) - 1 AS INTEGER) AS idx
+              FROM (SELECT DISTINCT c_name FROM customer WHERE c_custkey % 2 = 0) d)
+SELECT o_orderkey, c_name, idx AS c_name_index FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN cats ON c_name = cat
+"""
+
+
+@register("e3_large_domain_index", _E3_SQL)
+def e3_large_domain_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-3 over a domain that grows with the data: the training domain is every other customer name."""
+    from washline.operators.prep import category_table, encode_with_table
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    named = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select("o_orderkey", "c_name")
+    return encode_with_table(named, "c_name", category_table(customers.where(F.col("c_custkey") % 2 == 0), "c_name"))
+
+
+_SPLIT_KEYS = "nation, segment, priority"
+_SMALL_GROUPS = f"""
+WITH rows AS (SELECT o_orderkey AS id, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS nation, c_mktsegment AS segment,
+    o_orderpriority AS priority, CAST(o_orderkey % 10 = 3 AS INTEGER) AS y
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+counts AS (SELECT {_SPLIT_KEYS}, y, count(*) AS nc FROM rows GROUP BY ALL),
+total AS (SELECT *, sum(nc) OVER (PARTITION BY {_SPLIT_KEYS}) AS n FROM counts),
+share AS (SELECT *, n - CAST(ceil(0.1 * n) AS BIGINT) AS n_train, CAST(nc AS DOUBLE) / n * (n - CAST(ceil(0.1 * n) AS BIGINT)) AS cont FROM total),
+floors AS (SELECT *, CAST(floor(cont) AS BIGINT) AS fl, cont - CAST(floor(cont) AS BIGINT) AS rem FROM share),
+quota AS (SELECT {_SPLIT_KEYS}, y, nc - fl - CASE WHEN row_number() OVER (PARTITION BY {_SPLIT_KEYS} ORDER BY rem DESC, nc DESC, y)
+    <= n_train - sum(fl) OVER (PARTITION BY {_SPLIT_KEYS}) THEN 1 ELSE 0 END AS n_test FROM floors),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {_SPLIT_KEYS}, y ORDER BY md5(CAST(id AS VARCHAR) || '|42')) AS rk FROM rows)
+SELECT r.id, r.nation, r.segment, r.priority, r.y, CASE WHEN rk <= n_test THEN 'holdout' ELSE 'pool' END AS split
+FROM ranked r JOIN quota q ON r.nation IS NOT DISTINCT FROM q.nation AND r.segment = q.segment AND r.priority = q.priority AND r.y = q.y
+"""
+
+
+@register("d1_small_groups_holdout", _SMALL_GROUPS)
+def d1_small_groups_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D-1 over many tiny groups, some of one row or one class, and a NULL group key."""
+    from washline.operators.sampling import holdout_split
+    t = lambda n, *c: spark.read.parquet(f"{sf_dir}/{n}.parquet").select(*c)
+    rows = (t("orders", "o_orderkey", "o_custkey", "o_orderpriority")
+            .join(t("customer", "c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(t("nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")))
+    rows = rows.select(F.col("o_orderkey").alias("id"), F.when(F.col("n_nationkey") % 5 != 0, F.col("n_name")).alias("nation"),
+                       F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"),
+                       (F.col("o_orderkey") % 10 == 3).cast("int").alias("y"))
+    return holdout_split(rows, ["nation", "segment", "priority"], "y", "id")
+
+
 _P17_SQL = with_segments() + """
 SELECT segment_id, ROUND(Z_Min - Max_Height, 6) AS Rel_Elev_Min, ROUND(Z_Max - Max_Height, 6) AS Rel_Elev_Max,
   ROUND(Z_Min - 2.0 * CAST(0.3048 AS DOUBLE), 6) AS Z_Min_2ft, ROUND(TRY_CAST(Inundation_Duration_Min AS DOUBLE), 6) AS Inundation_Duration_Min

@@ -14,22 +14,11 @@ def round_doubles(df: DataFrame, decimals: int = 6) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the frame to the shared checkpoint folder and read it back.
+    """Cut lineage between the stages of a plan: one parquet write to the shared folder, read back.
 
-    Used between stages of multi-stage plans (holdout -> runs -> splits -> fits)
-    so that later stages neither re-plan nor recompute the upstream joins, and a
-    lost executor only recomputes from the checkpoint.
+    Later stages neither re-plan nor recompute the upstream joins, and prune columns.
     """
-    from pyspark import StorageLevel
-
-    from washline.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    # Persist first: the eager checkpoint runs one job to count and one to write
-    # the files; with the rows cached the second job does not recompute the plan.
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist(blocking=False)
-    return out
+    return write_table(df, "stage")
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -43,4 +32,4 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     from washline.session import shared_dir
     path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,9 +47,9 @@ def get_session(master: str | None = None, app_name: str = "washline",
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local runs and tests) a private folder is
-    created under the system temp dir. On a cluster the setting must point to
-    shared storage.
+    Only when the setting is absent and the master is local (tests) a private folder
+    is created under the system temp dir. On a cluster the setting must point to
+    shared storage; without it this raises.
     """
     try:
         sc = spark.sparkContext
@@ -60,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="washline-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -67,5 +69,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for tables written to cut lineage."""
-    base = ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="washline-tables-")
-    return os.path.join(base, name)
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{name}"
