@@ -296,9 +296,16 @@ def _ensemble_parts(spark: SparkSession, sf_dir: str):
         seg = segments(spark, sf_dir)
         holdout, runs = training_splits(seg, ENSEMBLE_STATE, _FEATS, ENSEMBLE_RUNS)
         _CACHE[key] = (seg, holdout, fit_tree_runs(runs, _FEATS, 2, 10))
+        _CACHE[("ensemble runs", *key)] = runs
     return _CACHE[key]
 
 
+def _ensemble_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The train and test rows of every ensemble run."""
+    _ensemble_parts(spark, sf_dir)
+    return _CACHE[("ensemble runs", _sid(spark), sf_dir)]
+
+
 def _ens_split_ctes() -> list[tuple[str, str]]:
     fcols = ", ".join(_FEATS)
     lab = (f"SELECT state, segment_id, {label_sql()} AS y, {fcols} FROM segments "
@@ -901,3 +908,6 @@ def m10_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         named = {p.name: v for p, v in pm.items()}
         rows.append((int(named["maxDepth"]), int(named["numTrees"]), float(score)))
     return spark.createDataFrame(rows, "maxDepth int, numTrees int, f1_mean double")
+
+
+from washline.plans import storage  # noqa: E402, F401  (registers its queries)
