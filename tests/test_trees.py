@@ -46,3 +46,33 @@ def test_root_split_matches_direct_search(spark):
     wide, runs = score_wide(df, trees)
     long = score_long(df.withColumn("rid", F.monotonically_increasing_id()), trees, ["rid", "f0", "f1"] and ["rid"], feats)
     assert long.count() == 150 and sorted(r.p for r in long.collect()) == sorted(r.p_0 for r in wide.collect())
+
+
+def test_wide_scores_of_large_forests(spark, monkeypatch):
+    """Above the inline limit trees travel as arrays; both ways and the average over a forest agree."""
+    import random
+    from washline.operators import trees as TR
+    rng = random.Random(0)
+    rows = []
+    for run in range(6):
+        for tree in range(5):
+            for node in range(15):
+                leaf = node >= 7 or (node == 5 and tree == 2)
+                rows.append((run, tree, node, leaf, None if leaf else rng.choice("abc"), None if leaf else rng.uniform(-1, 1), rng.random()))
+    forest = spark.createDataFrame([r for r in rows if not (r[1] == 2 and r[2] in (11, 12))],
+                                   "run int, tree int, node int, is_leaf boolean, feature string, threshold double, prob double")
+    df = spark.createDataFrame([(i, *(None if rng.random() < 0.1 else rng.uniform(-1, 1) for _ in "abc")) for i in range(500)],
+                               "id int, a double, b double, c double")
+    wide, groups = TR.score_wide(df, forest)
+    want = {r.id: r for r in wide.collect()}
+    monkeypatch.setattr(TR, "INLINE_NODE_LIMIT", 10)
+    for limit in (100, 10_000):
+        monkeypatch.setattr(TR, "ARRAY_NODE_LIMIT", limit)
+        got, again = TR.score_wide(df, forest)
+        assert again == groups == list(range(6)) and got.columns == wide.columns
+        for r in got.collect():
+            assert all(abs(r[f"p_{g}"] - want[r.id][f"p_{g}"]) < 1e-12 for g in groups)
+    one = forest.where("tree = 0").drop("tree")
+    a = {r.id: r.p_3 for r in TR.score_wide(df, one)[0].collect()}
+    monkeypatch.setattr(TR, "INLINE_NODE_LIMIT", 10_000)
+    assert a == {r.id: r.p_3 for r in TR.score_wide(df, one)[0].collect()}

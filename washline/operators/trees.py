@@ -24,6 +24,7 @@ from washline.operators.windows import DEFAULT_BUCKETS, _join_keys, next_value,
 
 NODE_COLUMNS = ["node", "depth", "is_leaf", "feature", "threshold", "n", "n_pos", "prob"]
 INLINE_NODE_LIMIT = 5000
+ARRAY_NODE_LIMIT = 1_000_000
 
 
 def _best_splits(cur: DataFrame, keys: list[str], features: list[str], label: str, min_leaf: int,
@@ -109,16 +110,75 @@ def compile_tree(nodes: list[dict]) -> Column:
 def score_wide(df: DataFrame, trees: DataFrame, group: str = "run", prefix: str = "p_") -> tuple[DataFrame, list]:
     """Add one probability column per tree group (map-only: no shuffle of the scored rows).
 
-    The tree table is model state bounded by (groups x nodes); it is brought to
-    the driver only when within ``INLINE_NODE_LIMIT`` rows.
+    A group is one tree, or a forest when ``trees`` has a ``tree`` column (the mean
+    over its trees). Small tables become Column expressions; larger ones travel as
+    broadcast arrays, ``ARRAY_NODE_LIMIT`` nodes at a time, and whole batches of rows
+    walk all their trees at once. Both give the same columns. A NULL feature goes right.
     """
-    n_nodes = trees.count()
-    if n_nodes > INLINE_NODE_LIMIT:
-        raise ValueError(f"tree table has {n_nodes} nodes; use score_long")
-    rows = [r.asDict() for r in trees.collect()]
-    groups = sorted({r[group] for r in rows})
-    cols = [compile_tree([r for r in rows if r[group] == g]).alias(f"{prefix}{g}") for g in groups]
-    return df.select("*", *cols), groups
+    rows = [r.asDict() for r in trees.select(group, *(["tree"] if "tree" in trees.columns else []), "node", "is_leaf",
+                                             "feature", "threshold", "prob").collect()]
+    forests: dict = {}
+    for r in rows:
+        forests.setdefault(r[group], {}).setdefault(r.get("tree"), []).append(r)
+    groups = sorted(forests)
+    if len(rows) <= INLINE_NODE_LIMIT:
+        cols = [reduce(lambda x, y: x + y, [compile_tree(t) for t in forests[g].values()]) / F.lit(float(len(forests[g]))) for g in groups]
+        return df.select("*", *[c.alias(f"{prefix}{g}") for c, g in zip(cols, groups)]), groups
+    out, block, size = df, [], 0
+    for g in groups:
+        block.append(g)
+        size += sum(len(t) for t in forests[g].values())
+        if size >= ARRAY_NODE_LIMIT or g == groups[-1]:
+            out = _score_arrays(out, {x: list(forests[x].values()) for x in block}, prefix)
+            block, size = [], 0
+    return out, groups
+
+
+def _score_arrays(df: DataFrame, forests: dict, prefix: str) -> DataFrame:
+    """Columns ``prefix<group>``: every row walks the dense node arrays of all trees of the block."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    features = sorted({r["feature"] for f in forests.values() for t in f for r in t if r["feature"] is not None})
+    at = {f: i for i, f in enumerate(features)}
+    all_trees = [t for f in forests.values() for t in f]
+    width = max(int(r["node"]) for t in all_trees for r in t) + 1
+    feature = np.full((len(all_trees), width), -1, np.int32)
+    threshold, prob = np.zeros(feature.shape), np.zeros(feature.shape)
+    for k, t in enumerate(all_trees):
+        for r in t:
+            n = int(r["node"])
+            prob[k, n] = r["prob"]
+            if not r["is_leaf"]:
+                feature[k, n], threshold[k, n] = at[r["feature"]], r["threshold"]
+    depth = width.bit_length()
+    cuts = np.cumsum([0, *(len(f) for f in forests.values())])[:-1]
+    counts = np.array([len(f) for f in forests.values()], float)
+    names = [f"{prefix}{g}" for g in forests]
+    model = df.sparkSession.sparkContext.broadcast((feature, threshold, prob))
+
+    def run(batches):
+        feature, threshold, prob = model.value
+        trees = np.arange(len(feature))
+        step = max(1, 2_000_000 // len(feature))
+        for b in batches:
+            x = np.stack([np.asarray(b.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False), float) for f in features], 1) \
+                if features else np.zeros((b.num_rows, 1))
+            parts = []
+            for lo in range(0, b.num_rows, step):
+                part = x[lo:lo + step]
+                node = np.zeros((len(part), len(feature)), np.int64)
+                for _ in range(depth):
+                    f = feature[trees, node]
+                    left = np.take_along_axis(part, np.maximum(f, 0), axis=1) <= threshold[trees, node]
+                    node = np.where(f < 0, node, np.where(left, 2 * node + 1, 2 * node + 2))
+                parts.append(np.add.reduceat(prob[trees, node], cuts, axis=1) / counts)
+            p = np.concatenate(parts) if parts else np.zeros((0, len(names)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, i]) for i in range(len(names)))], names=[*b.schema.names, *names])
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    return df.mapInArrow(run, schema)
 
 
 def score_long(df: DataFrame, trees: DataFrame, keep: list[str], features: list[str], group: str = "run") -> DataFrame:

@@ -32,6 +32,7 @@ from washline.plans.sqltext import (
     tree_score_ctes,
     with_segments,
 )
+from washline import schema as S
 from washline.sources.fixtures import inundation_edges_sql
 from washline.sources.fixtures import segments as _segments_view
 
@@ -175,7 +176,7 @@ def g10_linear_roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sampling: D-1 holdout, D-2/D-3/D-6/W-4 balanced runs + split, D-5 bounded sample, D-7 folds
 # ---------------------------------------------------------------------------
 
-SAMPLE_RUNS = 5               # runs drawn by the registered sampling queries (the method uses 100)
+SAMPLE_RUNS = 5               # runs listed row by row; k1_s3_d2_d3_all_runs digests all of the method's runs
 
 _LABELED = f"SELECT state, segment_id, {label_sql()} AS y FROM segments WHERE {label_sql()} IS NOT NULL"
 _HOLDOUT_CTES = (
@@ -283,7 +284,7 @@ def d7_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 ENSEMBLE_STATE = "EUROPE"     # stand-in for the training state of the ensembles
-ENSEMBLE_RUNS = 5             # runs of the registered ensemble queries (the method uses 100)
+ENSEMBLE_RUNS = S.N_RUNS      # runs of the registered ensemble queries
 PRIORS = {"AMERICA": 59 / 75}  # state-specific population prior (the method's TX rule), default 1/6
 _FEATS = ["Z_Min", "Distance_to_Coast_m", "Rel_Elev_Min"]
 
@@ -605,7 +606,7 @@ def r7_p16_probability_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 # X-4 feature ranking, X-5 top-k
 # ---------------------------------------------------------------------------
 
-SHAP_RUNS = 5
+SHAP_RUNS = S.N_RUNS
 _SCREEN_F = ["Distance_to_Coast_m", "Rel_Elev_Min", "Z_Min"]
 _PATTERN_SQL = ("(CASE WHEN Distance_to_Coast_m <= 48.06 THEN 1 ELSE 0 END + CASE WHEN Rel_Elev_Min <= 1.71 THEN 2 ELSE 0 END"
                 " + CASE WHEN Z_Min <= 3.03 THEN 4 ELSE 0 END)")
