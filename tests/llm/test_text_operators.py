@@ -257,8 +257,9 @@ def test_ftrl_separates_and_is_sparse():
         y = int(rng.random() < 0.5)
         slots = np.unique(np.append(rng.integers(10, 1000, 20), y))
         examples.append((y, slots.astype(np.int32), np.full(len(slots), 1 / len(slots))))
-    w, b = quality.ftrl(examples, 1024, l1=0.05)
-    assert w[1] > 0 > w[0] and (w == 0).mean() > 0.3
+    w, b = quality.ftrl(examples, 1024, l1=0.5)
+    dense, _ = quality.ftrl(examples, 1024, l1=0.0)
+    assert w[1] > 0 > w[0] and (w == 0).sum() > (dense == 0).sum() + 100
 
 
 def test_kernel_matches_definition():
@@ -295,6 +296,6 @@ def test_toxicity_tolerates_gaps_and_insertions(spark):
     assert auc(spark, scored, labels, "toxic") > 0.99
     clean = " ".join(stock[:40])
     tries = [(1, f"{clean} k-v-o-r-g {clean}"), (2, f"{clean} k v o r g {clean}"), (3, f"{clean} blazxpek {clean}"), (4, f"{clean} Drum.fid {clean}"),
-             (5, clean), (6, None), (7, ""), (8, "!!! 123"), (9, "z" * 5000), (10, "n" * 3000 + "blazpek" + "n" * 3000)]
+             (5, clean), (6, None), (7, ""), (8, "!!! 123"), (9, "z" * 5000), (10, f"{clean} " * 300 + "blazpek")]
     got = {r.doc_id: r.predicted for r in toxicity.transform(machine, frame(spark, tries)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 1}

@@ -11,7 +11,10 @@ or same document and earlier start) marks its bytes. Suffixes are not sorted who
    covers, then by (doc_id, start). Runs whose identifier occurred before are marked
    at once, over their whole stretch; the verdict of one sort settles all its windows.
 3. Recursion: only buckets that still hold different stretches (the rims of
-   repeats) are refined further, by the identifiers of the single windows in them.
+   repeats) are refined further. Their runs are cut, at fixed distances from the gram,
+   into blocks of up to ``BLOCK`` windows. The bytes that a block's windows have in
+   common name its next bucket; the few bytes around them tell the windows apart, so
+   this sort settles every single window.
 
 Copies inside one Arrow batch are settled before the shuffle, so a hot group sends
 one row per batch. Identifiers are 64-bit content hashes within a 64-bit bucket.
@@ -34,9 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from washline.llm import common as C
-from washline.llm.jaccard import small
 
-WIDTH, Q = 100, 24
+WIDTH, Q, BLOCK = 100, 24, 8
 LAST = (1 << 63) - 1
 _POS_BITS = 28
 
@@ -47,9 +49,9 @@ def _fingerprint(sums: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, off: np.ndarray, sums: np.ndarray, width: int, q: int):
-    """(bucket, identifier, text row, start, windows) of every run of windows of the texts."""
+    """(bucket, identifier, text row, start, gram's distance from it, windows) of every run of windows of the texts."""
     n, grams = len(buf), width - q + 1
-    empty = (np.zeros(0, C.U64), np.zeros(0, C.U64), *(np.zeros(0, np.int64) for _ in range(3)))
+    empty = (np.zeros(0, C.U64), np.zeros(0, C.U64), *(np.zeros(0, np.int64) for _ in range(4)))
     long_enough = np.flatnonzero(np.diff(off) >= width)
     if not len(long_enough):
         return empty
@@ -74,17 +76,19 @@ def runs(buf: np.ndarray, off: np.ndarray, sums: np.ndarray, width: int, q: int)
     stop = np.cumsum(valid)
     count = np.diff(np.append(stop[starts] - 1, stop[-1]))
     rows = np.searchsorted(off, starts, "right") - 1
-    return (gram[anchor[starts]], C.span_hashes(sums, starts, starts + count - 1 + width), rows, starts - off[rows], count)
+    return (gram[anchor[starts]], C.span_hashes(sums, starts, starts + count - 1 + width), rows, starts - off[rows],
+            anchor[starts] - starts, count)
 
 
-def _pack(start, count, fp):
-    return (start << 23) | (count << 16) | fp
+def _pack(start, gram, count, fp):
+    """start, distance to the gram, windows, fingerprint in one number that sorts by start."""
+    return (start << 30) | (gram << 23) | (count << 16) | fp
 
 
 def _settle(bucket, ident, doc, pack):
     """Sort by (bucket, identifier, doc, start); (order, is a later copy) of the rows."""
     order = np.lexsort((pack, doc, ident, bucket))
-    b, i, d, s = bucket[order], ident[order], doc[order], pack[order] >> 23
+    b, i, d, s = bucket[order], ident[order], doc[order], pack[order] >> 30
     new = np.ones(len(order), bool)
     new[1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
@@ -112,8 +116,8 @@ def _emit_runs(batches, width, q):
         for lo, hi in C.slices(off):
             o = off[lo:hi + 1] - off[lo]
             sums = C.prefix_sums(buf[off[lo]:off[hi]])
-            bucket, ident, rows, start, count = runs(buf[off[lo]:off[hi]], o, sums, width, q)
-            parts.append((bucket, ident, ids[lo:hi][rows], _pack(start, count, _fingerprint(sums, o)[rows])))
+            bucket, ident, rows, start, gram, count = runs(buf[off[lo]:off[hi]], o, sums, width, q)
+            parts.append((bucket, ident, ids[lo:hi][rows], _pack(start, gram, count, _fingerprint(sums, o)[rows])))
         if parts:
             yield _run_batch(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -154,28 +158,75 @@ def _refine(bucket, ident, doc, pack, settled):
                                       names=["doc", "pack", "open"])
 
 
-def _emit_windows(batches, width):
-    """Identifiers of the single windows of the open runs."""
+_BLOCK_SCHEMA = "bucket long, left long, right long, doc long, pack long, settled boolean"
+
+
+def _words_at(buf, at, n):
+    """The ``n`` (under 8) bytes from each position, as one number, first byte lowest; 0 beyond the buffer's ends."""
+    out = np.zeros(len(at), np.int64)
+    for k in range(n):
+        p = at + k
+        out |= np.where((p >= 0) & (p < len(buf)), buf[np.clip(p, 0, len(buf) - 1)], 0).astype(np.int64) << (8 * k)
+    return out
+
+
+def _emit_blocks(batches, width):
+    """Blocks of the open runs: common bytes (bucket), the bytes left and right of them, windows present (in pack)."""
+    edge = BLOCK - 1
     for b in batches:
         buf, off = C.utf8(b.column(1))
         ids, parts = _doc_ids(b.column(0)), []
         lists = b.column(2)
         flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         for lo, hi in C.slices(off):
-            o = off[lo:hi + 1] - off[lo]
-            sums = C.prefix_sums(buf[off[lo]:off[hi]])
+            piece, o = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
+            sums = C.prefix_sums(piece)
             fp = _fingerprint(sums, o)
             packs = flat[cuts[lo]:cuts[hi]]
             rows = np.repeat(np.arange(hi - lo), np.diff(cuts[lo:hi + 1]))
             own = (packs & 0xFFFF) == fp[rows]
             packs, rows = packs[own], rows[own]
-            count = (packs >> 16) & 0x7F
-            rows = np.repeat(rows, count)
-            start = np.repeat(packs >> 23, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-            at = o[rows] + start
-            parts.append((C.span_hashes(sums, at, at + width), np.zeros(len(at), C.U64), ids[lo:hi][rows], _pack(start, 1, fp[rows])))
+            # distances from window to gram run from far to near; blocks are multiples of BLOCK
+            far = (packs >> 23) & 0x7F
+            near = far - ((packs >> 16) & 0x7F) + 1
+            first, many = near // BLOCK, far // BLOCK - near // BLOCK + 1
+            k = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            packs, rows, far, near = (np.repeat(x, many) for x in (packs, rows, far, near))
+            core = (packs >> 30) + far - k * BLOCK                  # the block's last window starts here, in its text
+            present = np.zeros(len(k), np.int64)
+            for i in range(BLOCK):                                  # window i starts at core - edge + i
+                distance = k * BLOCK + edge - i
+                present |= ((distance <= far) & (distance >= near)).astype(np.int64) << i
+            at = o[rows] + core
+            parts.append((C.span_hashes(sums, at, at + width - edge), _words_at(piece, at - edge, edge),
+                          _words_at(piece, at + width - edge, edge), ids[lo:hi][rows], (core << 24) | (present << 16) | fp[rows]))
         if parts:
-            yield _run_batch(*(np.concatenate(x) for x in zip(*parts)))
+            bucket, left, right, doc, pack = (np.concatenate(x) for x in zip(*parts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket.view(np.int64)), *map(pa.array, (left, right, doc, pack)), pa.array(np.zeros(len(pack), bool))],
+                names=["bucket", "left", "right", "doc", "pack", "settled"])
+
+
+def _settle_windows(bucket, left, right, doc, pack, settled):
+    """Later copies among the single windows of blocks with common bytes."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    alone = np.ones(len(b), bool)
+    alone[1:] = b[1:] != b[:-1]
+    alone[:-1] &= alone[1:]
+    bucket, left, right, doc, pack = (x[order[~alone]] for x in (bucket, left, right, doc, pack))
+    docs, packs = [], []
+    for i in range(BLOCK):
+        have = (pack >> 16 >> i) & 1 == 1
+        # window i takes the last BLOCK-1-i bytes on the left and the first i on the right
+        rim = C.mix((left[have] >> (8 * i)).view(C.U64)) ^ (right[have] & ((1 << (8 * i)) - 1)).view(C.U64)
+        start = (pack[have] >> 24) - (BLOCK - 1) + i
+        own = _pack(start, 0, 1, pack[have] & 0xFFFF)
+        o, later = _settle(bucket[have].view(C.U64), C.mix(rim), doc[have], own)
+        docs.append(doc[have][o][later])
+        packs.append(own[o][later])
+    docs, packs = np.concatenate(docs), np.concatenate(packs)
+    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(packs), pa.array(np.zeros(len(docs), bool))], names=["doc", "pack", "open"])
 
 
 def marks(docs: DataFrame, width: int = WIDTH, q: int = Q) -> DataFrame:
@@ -191,19 +242,18 @@ def marks(docs: DataFrame, width: int = WIDTH, q: int = Q) -> DataFrame:
 
     emitted = docs.mapInArrow(lambda it: _emit_runs(it, width, q), _RUN_SCHEMA)
     first = C.store(by_bucket(emitted).mapInArrow(lambda it: _by_bucket(it, _refine), _MARK_SCHEMA), "marks")
-    wanted = C.store(first.where("open").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("pack").alias("packs")), "open")
-    texts = (docs.join(small(wanted, 500_000), F.coalesce(docs["doc_id"], F.lit(LAST)) == wanted["_doc"])
-             .select("doc_id", "text", "packs"))
-    windows = texts.mapInArrow(lambda it: _emit_windows(it, width), _RUN_SCHEMA)
-    second = by_bucket(windows).mapInArrow(lambda it: _by_bucket(it, _refine), _MARK_SCHEMA)
-    return first.where("not open").select("doc", "pack").unionByName(second.where("not open").select("doc", "pack"))
+    wanted = first.where("open").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("pack").alias("packs"))
+    texts = (docs.join(wanted, F.coalesce(docs["doc_id"], F.lit(LAST)) == wanted["_doc"]).select("doc_id", "text", "packs"))
+    blocks = texts.mapInArrow(lambda it: _emit_blocks(it, width), _BLOCK_SCHEMA)
+    second = by_bucket(blocks).mapInArrow(lambda it: _by_bucket(it, _settle_windows), _MARK_SCHEMA)
+    return first.where("not open").select("doc", "pack").unionByName(second.select("doc", "pack"))
 
 
 def spans(packs: np.ndarray, width: int) -> np.ndarray:
     """Maximal marked byte ranges (k, 2) of one text."""
     if not len(packs):
         return np.zeros((0, 2), np.int64)
-    lo = packs >> 23
+    lo = packs >> 30
     hi = lo + ((packs >> 16) & 0x7F) - 1 + width
     order = np.argsort(lo, kind="stable")
     lo, hi = lo[order], np.maximum.accumulate(hi[order])
