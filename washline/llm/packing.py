@@ -99,11 +99,9 @@ class CachedTokenizer:
             self.store[self.used:self.used + len(flat)] = flat
             place = self.used + np.cumsum(count) - count
             self.used += len(flat)
-            merged = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(merged, kind="stable")
-            self.keys = merged[order]
-            self.first = np.concatenate([self.first, place])[order]
-            self.count = np.concatenate([self.count, count])[order]
+            slot = np.searchsorted(self.keys, keys[new])
+            self.keys, self.first, self.count = (np.insert(x, slot, y) for x, y in (
+                (self.keys, keys[new]), (self.first, place), (self.count, count)))
             at = np.searchsorted(self.keys, keys)
         count = self.count[at][back]
         ends_at = np.cumsum(count)

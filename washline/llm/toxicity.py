@@ -311,9 +311,8 @@ class _Scorer:
                 [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[f], ends[f])], self.ready)
             if len(self.keys) + len(new) > CACHE_UNITS:
                 self.keys, self.values = np.zeros(0, C.U64), np.zeros(0)
-            keys_all = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(keys_all, kind="stable")
-            self.keys, self.values = keys_all[order], np.concatenate([self.values, scores[new]])[order]
+            place = np.searchsorted(self.keys, keys[new])
+            self.keys, self.values = np.insert(self.keys, place, keys[new]), np.insert(self.values, place, scores[new])
         has = counts > 0
         cuts = np.concatenate([[0], np.cumsum(counts)])[:-1][has]
         out[has] = np.maximum.reduceat(scores[back], cuts)
