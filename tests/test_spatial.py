@@ -55,3 +55,45 @@ def test_containment_and_distance_match_brute_force(spark):
         assert flags[i] == any(_inside(x, y, ring) for _, ring in rings)
         want = min(_seg_dist(x, y, *e[4:]) for e in edge_rows)
         assert dists[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_large_polygon_registers_what_it_crosses(spark):
+    """One polygon of 2,000 edges and 100 km: rows follow the cells crossed; far and inner points are right."""
+    from washline.operators.spatial import corner_ranges, edge_cells
+    rnd = random.Random(5)
+    ring = [(50_000 * (0.8 + 0.2 * rnd.random()) * math.cos(2 * math.pi * i / 2000), 50_000 * (0.8 + 0.2 * rnd.random()) * math.sin(2 * math.pi * i / 2000))
+            for i in range(2000)]
+    square = [(60_000.0, 0.0), (60_500.0, 0.0), (60_500.0, 500.0), (60_000.0, 500.0)]        # horizontal and vertical edges
+    rows = [("L", pid, 0, i, *a, *b) for pid, r in ((1, ring), (2, square)) for i, (a, b) in enumerate(zip(r, r[1:] + r[:1]))]
+    edges = spark.createDataFrame(rows, "layer string, poly_id int, ring_id int, edge_id int, x1 double, y1 double, x2 double, y2 double")
+    cell = 100.0
+    length = sum(abs(r[4] - r[6]) + abs(r[5] - r[7]) for r in rows)
+    assert edge_cells(edges, cell).count() <= len(rows) * 4 + 2 * length / cell
+    crossed = sum(abs(r[5] - r[7]) / cell + 1 for r in rows)
+    assert corner_ranges(edges, cell, ["layer"]).count() <= 24 * crossed
+    pts = [(rnd.uniform(-55_000, 55_000), rnd.uniform(-55_000, 55_000)) for _ in range(150)]
+    pts += [(60_250.0, 250.0), (60_500.5, 10.0), (70_500.0, 250.0), (60_250.0, -10_000.0), (0.0, 0.0), (200_000.0, 200_000.0)]
+    pdf = spark.createDataFrame([("L", i, x, y) for i, (x, y) in enumerate(pts)], "layer string, id int, x double, y double")
+    flags = {r.id: r.Inundated for r in point_in_polygons(pdf, edges, ["layer"], "id", band=cell).collect()}
+    dists = {r.id: r.distance for r in distance_to_polygons(pdf, edges, ["layer"], "id", cell=cell).collect()}
+    for i, (x, y) in enumerate(pts):
+        assert flags[i] == (_inside(x, y, ring) or _inside(x, y, square)), (i, x, y)
+        assert dists[i] == pytest.approx(min(_seg_dist(x, y, *e[4:]) for e in rows), abs=1e-6)
+
+
+def test_overlaps_holes_and_layers(spark):
+    """Overlapping polygons, a polygon inside a hole, other layers, points at round coordinates, a layer without polygons."""
+    box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    shapes = [("A", 1, [box(0, 0, 100), box(20, 20, 60)]), ("A", 2, [box(40, 40, 20)]), ("A", 3, [box(90, 90, 40)]), ("B", 1, [box(0, 0, 10)])]
+    rows = [(lay, pid, k, i, *map(float, a), *map(float, b)) for lay, pid, rings in shapes for k, r in enumerate(rings)
+            for i, (a, b) in enumerate(zip(r, r[1:] + r[:1]))]
+    edges = spark.createDataFrame(rows, "layer string, poly_id int, ring_id int, edge_id int, x1 double, y1 double, x2 double, y2 double")
+    pts = [(lay, i * 100 + j, i * 7.0 + 0.5, j * 7.0 + 0.25) for lay in "ABC" for i in range(20) for j in range(20)]
+    pts += [("A", 9000 + k, float(x), float(y)) for k, (x, y) in enumerate([(50, 50), (10, 10), (30, 30), (95, 95), (110, 110), (75, 50)])]
+    pdf = spark.createDataFrame(pts, "layer string, id int, x double, y double")
+    for band in (5.0, 30.0, 1000.0):
+        flags = {(r.layer, r.id): r.Inundated for r in point_in_polygons(pdf, edges, ["layer"], "id", band=band).collect()}
+        for lay, i, x, y in pts:
+            want = any(sum(_inside(x, y, [tuple(map(float, v)) for v in r]) for r in rings) % 2 for name, _, rings in shapes if name == lay)
+            assert flags[(lay, i)] == want, (band, lay, x, y)
+    assert {r.distance for r in distance_to_polygons(pdf.where("layer = 'C'"), edges, ["layer"]).collect()} == {None}

@@ -4,152 +4,190 @@ Polygons enter as an edge table ``(layer keys..., poly_id, ring_id, edge_id, x1,
 (see ``sources.roads.polygon_edges_from_wkt`` / ``ring_edges``). Points are
 ``(keys..., id, x, y)`` in the same planar units.
 
-Neither operator pairs every point with every edge:
-
-* containment buckets edges into horizontal bands; a point meets only the edges
-  of its own band (equi-join), and the even-odd count of crossings of a ray to
-  +x decides, per polygon, whether it is inside;
-* distance buckets edges into grid cells. For each occupied point cell a ring
-  search over neighbouring cells (a loop over ring radii on the small cell
-  table) finds a candidate set that provably contains the nearest edge of every
-  point of the cell; points then join their cell's candidates.
-
-Edge tables are model-sized (a few thousand rows); they are broadcast only
-after their row count is checked against ``BROADCAST_EDGE_LIMIT``.
+Neither operator pairs every point with every edge. Edges are registered in the grid
+cells they cross, so the tables grow with edges and cells crossed, not with areas:
+
+* containment knows for each polygon the parity of the cell corners on every grid
+  line (the sorted crossings of the line are inside intervals, stored as dyadic
+  ranges of cells). A point takes its corner's parity and flips it for every edge of
+  its own cell between corner and point; a cell that no edge of a polygon crosses
+  shares its corner's verdict;
+* distance searches a pyramid of cells that hold edges, from the top down: each
+  occupied point cell keeps the nodes that can hold a nearest edge, and replaces them
+  by their children, until the edges of the lowest level are left.
+
+The grid is shifted by an irrational fraction of a cell, so vertices at round
+coordinates do not fall on its lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from washline.functions import point_segment_distance
 
 BROADCAST_EDGE_LIMIT = 500_000
+SHIFT_X, SHIFT_Y = 0.38196601125010515, 0.2360679774997897
+PAD = 1e-6          # of a cell: edges this close to a cell are registered in it, too
 
 
 def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_EDGE_LIMIT) -> DataFrame:
     """Broadcast hint only for a side whose row count is within ``limit``."""
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-# --- J-2 -----------------------------------------------------------------------
+def _scaled(c, cell: float, shift: float) -> Column:
+    """Coordinate in cells of the shifted grid."""
+    return (F.col(c) if isinstance(c, str) else c) / F.lit(float(cell)) - F.lit(shift)
 
-def edge_bands(edges: DataFrame, band: float, layer: list[str] | None = None, xcell: float | None = None) -> DataFrame:
-    """Every non-horizontal edge once per horizontal band it spans.
 
-    With ``xcell`` the edge is also registered per x cell, from the cell of its
-    polygon's smallest x to the cell of its own largest x: a point left of that
-    range either lies left of the whole polygon (zero crossings, even) or cannot
-    reach the edge with its +x ray, so the point meets exactly the edges that can
-    change its parity.
-    """
-    lo = F.floor(F.least("y1", "y2") / F.lit(band))
-    hi = F.floor(F.greatest("y1", "y2") / F.lit(band))
-    out = edges.where(F.col("y1") != F.col("y2")).withColumn("_band", F.explode(F.sequence(lo, hi)))
-    if xcell is None:
-        return out
-    keys = [*(layer or []), "poly_id"]
-    pmin = edges.groupBy(*keys).agg(F.min(F.least("x1", "x2")).alias("_pminx"))
-    out = out.join(F.broadcast(pmin), keys)   # one row per polygon
-    xs = F.sequence(F.floor(F.col("_pminx") / F.lit(xcell)), F.floor(F.greatest("x1", "x2") / F.lit(xcell)))
-    return out.withColumn("_xc", F.explode(xs)).drop("_pminx")
+def _floor(c: Column) -> Column:
+    return F.floor(c).cast("long")
+
+
+def with_cells(points: DataFrame, cell: float) -> DataFrame:
+    """Add the cell (``_cx``, ``_cy``) of every point."""
+    return points.withColumn("_cx", _floor(_scaled("x", cell, SHIFT_X))).withColumn("_cy", _floor(_scaled("y", cell, SHIFT_Y)))
+
+
+def edge_cells(edges: DataFrame, cell: float) -> DataFrame:
+    """Every edge once per grid cell it crosses: row by row of the grid, the cells between its ends there."""
+    low, high = _scaled(F.least("y1", "y2"), cell, SHIFT_Y), _scaled(F.greatest("y1", "y2"), cell, SHIFT_Y)
+    e = edges.withColumn("_cy", F.explode(F.sequence(_floor(low - PAD), _floor(high + PAD))))
+    y1, y2 = _scaled("y1", cell, SHIFT_Y), _scaled("y2", cell, SHIFT_Y)
+    x1, x2 = _scaled("x1", cell, SHIFT_X), _scaled("x2", cell, SHIFT_X)
+    bottom = F.greatest(F.col("_cy") - F.lit(PAD), F.least(y1, y2))
+    top = F.least(F.col("_cy") + F.lit(1 + PAD), F.greatest(y1, y2))
+    rise = F.when(y2 != y1, (x2 - x1) / F.when(y2 != y1, y2 - y1).otherwise(F.lit(1.0)))
+    xa = F.coalesce(x1 + (bottom - y1) * rise, F.least(x1, x2))
+    xb = F.coalesce(x1 + (top - y1) * rise, F.greatest(x1, x2))
+    left = F.greatest(F.least(xa, xb), F.least(x1, x2)) - PAD
+    right = F.least(F.greatest(xa, xb), F.greatest(x1, x2)) + PAD
+    return e.withColumn("_cx", F.explode(F.sequence(_floor(F.least(left, right)), _floor(F.greatest(left, right)))))
+
+
+# --- J-2 -----------------------------------------------------------------------
+
+def _dyadic(lo: str, hi: str) -> Column:
+    """Array of (level, index): the whole range [lo, hi] of integers as maximal dyadic blocks."""
+    return F.expr(f"""aggregate(sequence(0, 62),
+        named_struct('a', {lo}, 'b', {hi}, 'out', cast(array() as array<struct<level: int, idx: bigint>>)),
+        (s, l) -> CASE WHEN s.a > s.b THEN s ELSE named_struct(
+            'a', shiftright(s.a + (s.a & 1L), 1), 'b', shiftright(s.b - (1L - (s.b & 1L)), 1),
+            'out', concat(s.out,
+                CASE WHEN s.a & 1L = 1L THEN array(named_struct('level', l, 'idx', s.a)) ELSE array() END,
+                CASE WHEN s.b & 1L = 0L AND s.b >= s.a + (s.a & 1L) THEN array(named_struct('level', l, 'idx', s.b)) ELSE array() END)) END,
+        s -> s.out)""")
+
+
+def corner_ranges(edges: DataFrame, cell: float, layer: list[str]) -> DataFrame:
+    """(layer, poly_id, _cy, level, idx): cells whose lower left corner lies inside the polygon, as dyadic ranges of a grid row."""
+    y1, y2 = _scaled("y1", cell, SHIFT_Y), _scaled("y2", cell, SHIFT_Y)
+    first, last = F.ceil(F.least(y1, y2)).cast("long"), _floor(F.greatest(y1, y2))
+    on_line = edges.where(first <= last).withColumn("_cy", F.explode(F.sequence(first, last)))
+    line = (F.col("_cy") + F.lit(SHIFT_Y)) * F.lit(float(cell))
+    on_line = on_line.where((F.col("y1") > line) != (F.col("y2") > line))
+    x_at = F.col("x1") + (line - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    rows = on_line.groupBy(*layer, "poly_id", "_cy").agg(F.sort_array(F.collect_list(_scaled(x_at, cell, SHIFT_X))).alias("_xs"))
+    pair = F.explode(F.expr("transform(sequence(0, size(_xs) div 2 - 1), k -> named_struct("
+                            "'a', cast(ceil(_xs[2 * k]) as bigint), 'b', cast(ceil(_xs[2 * k + 1]) as bigint) - 1L))"))
+    ranges = rows.where(F.size("_xs") > 1).select(*layer, "poly_id", "_cy", pair.alias("r")).where("r.a <= r.b")
+    blocks = ranges.select(*layer, "poly_id", "_cy", F.explode(_dyadic("r.a", "r.b")).alias("d"))
+    return blocks.select(*layer, "poly_id", "_cy", F.col("d.level").alias("level"), F.col("d.idx").alias("idx"))
 
 
 def point_in_polygons(points: DataFrame, edges: DataFrame, layer: list[str], id_col: str = "id",
-                      band: float = 20.0, out: str = "Inundated", keep_all: bool = True,
-                      xcell: float | None = 50.0) -> DataFrame:
-    """J-2: ``out`` = point lies inside any polygon of its layer (boundary excluded up to ray-rule ties).
+                      band: float = 25.0, out: str = "Inundated", keep_all: bool = True) -> DataFrame:
+    """J-2: ``out`` = point lies inside any polygon of its layer (even-odd; boundary up to ray-rule ties).
 
-    Returns ``points`` with the flag added (points meeting no edge get False), or,
-    with ``keep_all=False``, only the (layer, id) keys of points that are inside,
-    which saves the join back when the caller joins anyway.
+    ``band`` is the cell size. Returns ``points`` with the flag added (points meeting
+    no polygon get False), or, with ``keep_all=False``, only the (layer, id) keys of
+    points that are inside, which saves the join back when the caller joins anyway.
     """
     from washline.plans.common import materialize
 
-    cell_keys = ["_band"] if xcell is None else ["_band", "_xc"]
-    eb = edge_bands(edges, band, layer, xcell).select(*layer, "poly_id", *cell_keys, "x1", "y1", "x2", "y2")
-    eb = _maybe_broadcast(materialize(eb))
-    p = points.select(*layer, id_col, "x", "y").withColumn("_band", F.floor(F.col("y") / F.lit(band)))
-    if xcell is not None:
-        p = p.withColumn("_xc", F.floor(F.col("x") / F.lit(xcell)))
-    pairs = p.join(eb, [*layer, *cell_keys])
-    crosses = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    x_at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    hit = F.when(crosses, F.col("x") < x_at).otherwise(F.lit(False))
-    # Parity per polygon without grouping by polygon: polygons are packed 64 to a
-    # word (bit = id mod 64), each crossing flips its polygon's bit (bit_xor, combined
-    # map-side), and a point is inside some polygon when any word is non-zero.
-    flips = pairs.where(hit).select(*layer, id_col, F.floor(F.col("poly_id") / F.lit(64)).alias("_chunk"),
-                                    F.expr("shiftleft(CAST(1 AS BIGINT), CAST(pmod(poly_id, 64) AS INT))").alias("_bit"))
-    words = flips.groupBy(*layer, id_col, "_chunk").agg(F.bit_xor("_bit").alias("_w"))
-    inside = words.groupBy(*layer, id_col).agg(F.bool_or(F.col("_w") != 0).alias("_inside"))
+    cell, place = float(band), [*layer, "_cx", "_cy"]
+    p = with_cells(points.select(*layer, id_col, "x", "y"), cell)
+    occupied = materialize(p.select(*place).distinct())
+    ranges = materialize(corner_ranges(edges, cell, layer))
+    levels = sorted(r.level for r in ranges.select("level").distinct().collect())       # at most 63
+    probes = occupied.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+    probes = probes.withColumn("idx", F.expr("shiftright(_cx, level)"))
+    corners = materialize(probes.join(ranges, [*layer, "_cy", "level", "idx"]).select(*place, "poly_id").distinct())
+    ec = edge_cells(edges, cell).select(*place, "poly_id", "x1", "y1", "x2", "y2").join(occupied, place, "left_semi")
+    ec = materialize(ec.join(corners.withColumn("_corner", F.lit(1)), [*place, "poly_id"], "left").fillna(0, ["_corner"]))
+    # no edge of the polygon in the cell: all its points share the corner's side
+    full = corners.join(ec.select(*place, "poly_id").distinct(), [*place, "poly_id"], "left_anti").select(*place).distinct()
+    pairs = p.join(_maybe_broadcast(ec), place)
+    x0, y0 = (F.col("_cx") + F.lit(SHIFT_X)) * F.lit(cell), (F.col("_cy") + F.lit(SHIFT_Y)) * F.lit(cell)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    beside = (F.col("x1") > x0) != (F.col("x2") > x0)
+    y_at = F.col("y1") + (x0 - F.col("x1")) * dy / F.when(dx != 0, dx)
+    up = F.when(beside, (y_at > y0) & (y_at <= F.col("y"))).otherwise(F.lit(False))          # from the corner up to the point's height
+    beyond = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
+    x_at = F.col("x1") + (F.col("y") - F.col("y1")) * dx / F.when(dy != 0, dy)
+    across = F.when(beyond, (x_at > x0) & ~(F.col("x") < x_at)).otherwise(F.lit(False))      # and from there to the point
+    flips = up.cast("int") + across.cast("int")
+    sides = pairs.groupBy(*layer, id_col, "poly_id").agg((F.sum(flips) + F.max("_corner")).alias("_n")).where("_n % 2 = 1")
+    inside = sides.select(*layer, id_col).unionByName(p.join(_maybe_broadcast(materialize(full)), place, "left_semi").select(*layer, id_col)).distinct()
+    inside = inside.withColumn(out, F.lit(True))
     if not keep_all:
-        return inside.where("_inside").select(*layer, id_col, F.lit(True).alias(out))
-    return points.join(inside, [*layer, id_col], "left").withColumn(
-        out, F.coalesce(F.col("_inside"), F.lit(False))).drop("_inside")
+        return inside
+    return points.join(inside, [*layer, id_col], "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
 # --- J-3 -----------------------------------------------------------------------
 
-def _cell(col: str, size: float):
-    return F.floor(F.col(col) / F.lit(size)).cast("long")
-
-
-def edge_cells(edges: DataFrame, cell: float) -> DataFrame:
-    """Every edge once per grid cell its bounding box touches."""
-    cx = F.sequence(F.floor(F.least("x1", "x2") / cell).cast("long"), F.floor(F.greatest("x1", "x2") / cell).cast("long"))
-    cy = F.sequence(F.floor(F.least("y1", "y2") / cell).cast("long"), F.floor(F.greatest("y1", "y2") / cell).cast("long"))
-    return edges.withColumn("_cx", F.explode(cx)).withColumn("_cy", F.explode(cy))
+def _gaps(level: int) -> tuple[Column, Column]:
+    """Least and largest distance, in cells, between a point cell and a node of ``level``."""
+    size = 1 << level
+    near, far = [], []
+    for c, n in (("_cx", "_nx"), ("_cy", "_ny")):
+        begin = F.col(n) * F.lit(size)
+        near.append(F.greatest(F.lit(0), begin - F.col(c) - 1, F.col(c) - begin - size).cast("double"))
+        far.append(F.greatest(begin + size - F.col(c), F.col(c) + 1 - begin).cast("double"))
+    return F.sqrt(near[0] * near[0] + near[1] * near[1]), F.sqrt(far[0] * far[0] + far[1] * far[1]) * (1 + PAD) + PAD
 
 
-def nearest_edge_candidates(cells: DataFrame, edges: DataFrame, layer: list[str], cell: float,
-                            max_radius: int | None = None) -> DataFrame:
+def nearest_edge_candidates(cells: DataFrame, edges: DataFrame, layer: list[str], cell: float) -> DataFrame:
     """For each occupied cell, a set of edges that contains the nearest edge of every point in it.
 
-    Ring search with radii 1, 2, 4, ...: with the edges registered within
-    Chebyshev radius k of the cell, U = min over those edges of the largest
-    corner distance bounds the nearest distance of every point of the cell; if
-    U <= k * cell no unregistered edge can be nearer and the cell is resolved.
+    Top-down over a pyramid of the cells that hold edges: at each level the smallest
+    of the largest distances bounds the nearest distance of every point of the cell,
+    and nodes that are farther off than that go, before the rest is replaced by its children.
     """
     from washline.plans.common import materialize
 
-    ec = edge_cells(edges, cell).select(*layer, "_cx", "_cy", "poly_id", "ring_id", "edge_id", "x1", "y1", "x2", "y2")
-    ec = materialize(ec)
-    todo = cells.select(*layer, "_cx", "_cy").distinct()
-    layers_with_edges = edges.select(*layer).distinct()
-    todo = todo.join(layers_with_edges, layer, "left_semi")
-    found = []
-    k = 1
-    limit = max_radius if max_radius is not None else 1 << 20
-    while True:
-        offs = F.sequence(F.lit(-k), F.lit(k))
-        ring = (todo.withColumn("_dx", F.explode(offs)).withColumn("_dy", F.explode(offs))
-                .select(*layer, "_cx", "_cy", (F.col("_cx") + F.col("_dx")).alias("_ncx"), (F.col("_cy") + F.col("_dy")).alias("_ncy")))
-        cand = ring.join(ec.withColumnRenamed("_cx", "_ncx").withColumnRenamed("_cy", "_ncy"), [*layer, "_ncx", "_ncy"]) \
-            .select(*layer, "_cx", "_cy", "poly_id", "ring_id", "edge_id", "x1", "y1", "x2", "y2").distinct()
-        x0, y0 = F.col("_cx") * F.lit(cell), F.col("_cy") * F.lit(cell)
-        corners = [(x0, y0), (x0 + cell, y0), (x0, y0 + cell), (x0 + cell, y0 + cell)]
-        dmax = F.greatest(*[point_segment_distance(cx, cy, "x1", "y1", "x2", "y2") for cx, cy in corners])
-        bound = materialize(cand.groupBy(*layer, "_cx", "_cy").agg(F.min(dmax).alias("_u")))
-        resolved = bound.where(F.col("_u") <= F.lit(k * cell)).select(*layer, "_cx", "_cy")
-        # keep only edges whose bounding box can come closer to the cell than U
-        gap_x = F.greatest(F.lit(0.0), F.least("x1", "x2") - (x0 + cell), x0 - F.greatest("x1", "x2"))
-        gap_y = F.greatest(F.lit(0.0), F.least("y1", "y2") - (y0 + cell), y0 - F.greatest("y1", "y2"))
-        ok = bound.where(F.col("_u") <= F.lit(k * cell))
-        found.append(cand.join(ok, [*layer, "_cx", "_cy"]).where(F.sqrt(gap_x * gap_x + gap_y * gap_y) <= F.col("_u"))
-                     .drop("_u"))
-        todo = todo.join(resolved, [*layer, "_cx", "_cy"], "left_anti")
-        if bound.where(F.col("_u") > F.lit(k * cell)).count() == 0 and todo.count() == 0:
-            break
-        todo = materialize(todo)
-        if k >= limit:
-            raise RuntimeError("ring search did not resolve every cell")
-        k = 2 * k
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return materialize(out)
+    place = [*layer, "_cx", "_cy"]
+    ec = materialize(edge_cells(edges, cell).select(*place, "poly_id", "ring_id", "edge_id", "x1", "y1", "x2", "y2"))
+    nodes = {0: materialize(ec.select(*layer, F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny")).distinct())}
+    todo = cells.select(*place).distinct().join(edges.select(*layer).distinct(), layer, "left_semi")
+    size = nodes[0].agg(*[f(c).alias(f"{c}{i}") for c in ("_nx", "_ny") for i, f in enumerate((F.min, F.max))]).first()
+    span = max(1, (size["_nx1"] or 0) - (size["_nx0"] or 0), (size["_ny1"] or 0) - (size["_ny0"] or 0))
+    top = span.bit_length()             # at most two nodes on each axis
+    for level in range(1, top + 1):
+        nodes[level] = nodes[level - 1].select(*layer, F.shiftright("_nx", 1).alias("_nx"), F.shiftright("_ny", 1).alias("_ny")).distinct()
+    kept = todo.join(F.broadcast(nodes[top]), layer)          # at most four nodes a layer
+    for level in range(top, -1, -1):
+        near, far = _gaps(level)
+        kept = kept.withColumn("_near", near).withColumn("_far", far)
+        bound = kept.groupBy(*place).agg(F.min("_far").alias("_u"))
+        kept = materialize(kept.join(bound, place).where("_near <= _u").select(*place, "_nx", "_ny"))
+        if level:
+            child = nodes[level - 1].select(*layer, F.shiftright("_nx", 1).alias("_px"), F.shiftright("_ny", 1).alias("_py"), "_nx", "_ny")
+            kept = (kept.withColumnRenamed("_nx", "_px").withColumnRenamed("_ny", "_py")
+                    .join(_maybe_broadcast(child), [*layer, "_px", "_py"]).select(*place, "_nx", "_ny"))
+    found = kept.join(_maybe_broadcast(ec.withColumnRenamed("_cx", "_nx").withColumnRenamed("_cy", "_ny")), [*layer, "_nx", "_ny"])
+    cand = materialize(found.select(*place, "poly_id", "ring_id", "edge_id", "x1", "y1", "x2", "y2").distinct())
+    # keep only edges whose bounding box can come closer to the cell than its bound
+    x0, y0 = (F.col("_cx") + F.lit(SHIFT_X)) * F.lit(float(cell)), (F.col("_cy") + F.lit(SHIFT_Y)) * F.lit(float(cell))
+    corners = [(x0, y0), (x0 + cell, y0), (x0, y0 + cell), (x0 + cell, y0 + cell)]
+    dmax = F.greatest(*[point_segment_distance(cx, cy, "x1", "y1", "x2", "y2") for cx, cy in corners])
+    bound = cand.groupBy(*place).agg((F.min(dmax) * (1 + PAD)).alias("_u"))
+    gap_x = F.greatest(F.lit(0.0), F.least("x1", "x2") - (x0 + cell), x0 - F.greatest("x1", "x2"))
+    gap_y = F.greatest(F.lit(0.0), F.least("y1", "y2") - (y0 + cell), y0 - F.greatest("y1", "y2"))
+    return materialize(cand.join(bound, place).where(F.sqrt(gap_x * gap_x + gap_y * gap_y) <= F.col("_u")).drop("_u"))
 
 
 def distance_to_polygons(points: DataFrame, edges: DataFrame, layer: list[str], id_col: str = "id",
@@ -161,10 +199,9 @@ def distance_to_polygons(points: DataFrame, edges: DataFrame, layer: list[str],
     """
     from washline.plans.common import materialize
 
-    p = points.select(*layer, id_col, "x", "y").withColumn("_cx", _cell("x", cell)).withColumn("_cy", _cell("y", cell))
+    p = with_cells(points.select(*layer, id_col, "x", "y"), cell)
     cells = materialize(p.select(*layer, "_cx", "_cy").distinct())
-    cand = nearest_edge_candidates(cells, edges, layer, cell)
-    cand = _maybe_broadcast(cand)
+    cand = _maybe_broadcast(nearest_edge_candidates(cells, edges, layer, cell))
     pairs = p.join(cand, [*layer, "_cx", "_cy"])
     dist = pairs.groupBy(*layer, id_col).agg(F.min(point_segment_distance("x", "y", "x1", "y1", "x2", "y2")).alias(out))
     if not keep_all:
