@@ -107,7 +107,8 @@ def compile_tree(nodes: list[dict]) -> Column:
     return build(0)
 
 
-def score_wide(df: DataFrame, trees: DataFrame, group: str = "run", prefix: str = "p_") -> tuple[DataFrame, list]:
+def score_wide(df: DataFrame, trees: DataFrame, group: str = "run", prefix: str = "p_",
+               inline_limit: int | None = None) -> tuple[DataFrame, list]:
     """Add one probability column per tree group (map-only: no shuffle of the scored rows).
 
     A group is one tree, or a forest when ``trees`` has a ``tree`` column (the mean
@@ -121,7 +122,7 @@ def score_wide(df: DataFrame, trees: DataFrame, group: str = "run", prefix: str
     for r in rows:
         forests.setdefault(r[group], {}).setdefault(r.get("tree"), []).append(r)
     groups = sorted(forests)
-    if len(rows) <= INLINE_NODE_LIMIT:
+    if len(rows) <= (INLINE_NODE_LIMIT if inline_limit is None else inline_limit):
         cols = [reduce(lambda x, y: x + y, [compile_tree(t) for t in forests[g].values()]) / F.lit(float(len(forests[g]))) for g in groups]
         return df.select("*", *[c.alias(f"{prefix}{g}") for c, g in zip(cols, groups)]), groups
     out, block, size = df, [], 0

@@ -374,11 +374,14 @@ _CLASS_SUMMARY_SQL = with_segments(*_ENS_SCORE_CTES, *_RUN_METRIC_CTES) + " UNIO
         ROUND(avg(f1_{c}), 6) AS f1_mean, ROUND(stddev_pop(f1_{c}), 6) AS f1_std FROM rm GROUP BY state""" for c in (0, 1))
 
 
-def _run_metrics(spark: SparkSession, sf_dir: str):
+def _run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of every (state, run), written once per session."""
     from washline.plans.ensemble import evaluate_states
-    seg, _, trees = _ensemble_parts(spark, sf_dir)
-    pred, metrics = evaluate_states(seg, trees, _FEATS, priors=PRIORS)
-    return pred, metrics
+    key = ("run metrics", _sid(spark), sf_dir)
+    if key not in _CACHE:
+        seg, _, trees = _ensemble_parts(spark, sf_dir)
+        _CACHE[key] = materialize(evaluate_states(seg, trees, _FEATS))
+    return _CACHE[key]
 
 
 @register("m3_cart_tree_table", _CACHE_SQL)
@@ -388,7 +391,9 @@ def m3_cart_tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("j5_a1_a3_c4_ensemble_predictions", _ENS_PRED_SQL)
 def j5_a1_a3_c4_ensemble_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, _ = _run_metrics(spark, sf_dir)
+    from washline.plans.ensemble import predict_states
+    seg, _, trees = _ensemble_parts(spark, sf_dir)
+    pred = predict_states(seg, trees, _FEATS, PRIORS)
     return round_doubles(pred.select("state", "segment_id", "y", "p_mean_raw", "p_std", "p_vote", "p_mean_adj"))
 
 
@@ -400,20 +405,21 @@ SELECT state, segment_id, ROUND(avg(p), 6) AS p_mean_raw, ROUND(stddev_pop(p), 6
 
 @register("j5_a1_a3_tree_walk_long", _ENS_LONG_SQL)
 def j5_a1_a3_tree_walk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path for tree tables too large to inline: equi-join walk, long layout, grouped reduce."""
-    from washline.operators.ensemble import reduce_long
-    from washline.operators.trees import score_long
+    """The path for tree tables too large to inline: whole batches of rows walk broadcast node arrays."""
+    from washline.operators.ensemble import reduce_wide
+    from washline.operators.trees import score_wide
     from washline.plans.ensemble import labeled
     seg, _, trees = _ensemble_parts(spark, sf_dir)
-    long = score_long(labeled(seg, _FEATS), trees, ["state", "segment_id"], _FEATS)
-    return round_doubles(reduce_long(long, ["state", "segment_id"]))
+    wide, runs = score_wide(labeled(seg, _FEATS).select("state", "segment_id", *_FEATS), trees, inline_limit=0)
+    red = reduce_wide(wide, [f"p_{r}" for r in runs])
+    return round_doubles(red.select("state", "segment_id", "p_mean_raw", "p_std", "p_vote"))
 
 
 @register("g11_g12_g14_run_summary", _RUN_SUMMARY_SQL)
 def g11_g12_g14_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
     from washline.operators.metrics import confusion_summary, summarize_over_runs
-    _, metrics = _run_metrics(spark, sf_dir)
+    metrics = _run_metrics(spark, sf_dir)
     summ = summarize_over_runs(metrics, ["state"], std="pop")
     cm = confusion_summary(metrics, ["state"]).select("state", *[F.col(c).alias(f"{c}_cm") for c in
                                                                confusion_summary(metrics, ["state"]).columns if c != "state"])
@@ -423,14 +429,14 @@ def g11_g12_g14_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g13_metric_long_summary", _LONG_SUMMARY_SQL)
 def g13_metric_long_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from washline.operators.metrics import long_summary
-    _, metrics = _run_metrics(spark, sf_dir)
+    metrics = _run_metrics(spark, sf_dir)
     return round_doubles(long_summary(metrics, ["state"], std="samp"))
 
 
 @register("g15_per_class_summary", _CLASS_SUMMARY_SQL)
 def g15_per_class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from washline.operators.metrics import per_class_summary
-    _, metrics = _run_metrics(spark, sf_dir)
+    metrics = _run_metrics(spark, sf_dir)
     return round_doubles(per_class_summary(metrics, ["state"]))
 
 
@@ -452,10 +458,9 @@ FROM red r CROSS JOIN platt pl
 @register("m6_c1_platt_calibrated_predictions", _PLATT_SQL)
 def m6_c1_platt_calibrated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M-6 (Newton steps, one aggregation each; the oracle unrolls 30 steps), C-1, C-4, C-5."""
-    from washline.plans.ensemble import evaluate_states, fit_calibration
+    from washline.plans.ensemble import fit_calibration, predict_states
     seg, holdout, trees = _ensemble_parts(spark, sf_dir)
-    platt = fit_calibration(holdout, trees)
-    pred, _ = evaluate_states(seg, trees, _FEATS, priors=PRIORS, platt=platt)
+    pred = predict_states(seg, trees, _FEATS, PRIORS, fit_calibration(holdout, trees))
     return round_doubles(pred.select("state", "segment_id", "p_mean_raw", "p_mean_calib", "p_mean_adj"))
 
 
@@ -834,7 +839,7 @@ _K8_SQL = with_segments(*_ENS_SCORE_CTES, *_RUN_METRIC_CTES) + "SELECT state, "
 def k8_mean_std_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from washline.operators.metrics import summarize_over_runs
     from washline.sources.sinks import report_mean_std
-    _, metrics = _run_metrics(spark, sf_dir)
+    metrics = _run_metrics(spark, sf_dir)
     ms = ["accuracy", "balanced_accuracy", "kappa", "auc"]
     return report_mean_std(summarize_over_runs(metrics, ["state"], ms, std="pop"), ms, ["state"])
 
@@ -855,22 +860,20 @@ def _ml_runs(spark: SparkSession, sf_dir: str):
     if key not in _CACHE:
         seg = segments(spark, sf_dir)
         rows = seg.select("state", "segment_id", "Damage_Status", *_ML_NUM, *_ML_STR)
-        _, runs = training_splits(rows, ENSEMBLE_STATE, _ML_NUM, ML_RUNS)
-        # the split helper keeps numeric features; bring the string feature back by id
-        runs = runs.join(seg.select("state", "segment_id", *_ML_STR), ["state", "segment_id"])
+        _, runs = training_splits(rows, ENSEMBLE_STATE, _ML_NUM, ML_RUNS, _ML_STR)
         _CACHE[key] = (seg, runs)
     return _CACHE[key]
 
 
 def _ml_family_metrics(spark: SparkSession, sf_dir: str, spec, numeric, strings) -> DataFrame:
     from washline.operators.metrics import per_group_metrics
-    from washline.operators.models import fit_runs, predict_class, score_runs
+    from washline.operators.models import fit_runs, score_runs
     from washline.plans.ensemble import labeled
     seg, runs = _ml_runs(spark, sf_dir)
     models = fit_runs(runs.where("split = 'train'"), list(range(ML_RUNS)), numeric, strings, spec, "y")
-    rows = labeled(seg, numeric).join(seg.select("state", "segment_id", *strings), ["state", "segment_id"])
+    rows = labeled(seg, numeric, strings)
     long = score_runs(rows, models, ["state", "segment_id", "y"])
-    long = long.withColumn("y_pred", (F.col("p") >= 0.5).cast("int")).withColumn("argmax", predict_class("p"))
+    long = long.withColumn("y_pred", (F.col("p") >= 0.5).cast("int"))
     return round_doubles(per_group_metrics(long, ["state", "run"], "y", "y_pred", "p"))
 
 
@@ -911,4 +914,4 @@ def m10_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "maxDepth int, numTrees int, f1_mean double")
 
 
-from washline.plans import storage  # noqa: E402, F401  (registers its queries)
+from washline.plans import second_area, storage  # noqa: E402, F401  (they register their queries)

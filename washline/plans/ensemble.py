@@ -20,15 +20,16 @@ from washline.operators.trees import fit_cart, score_wide
 from washline.plans.common import materialize
 
 
-def labeled(seg: DataFrame, features: list[str]) -> DataFrame:
-    """P-2/P-3 rows with their features (features kept as they are; NULL allowed)."""
+def labeled(seg: DataFrame, features: list[str], strings: tuple | list = ()) -> DataFrame:
+    """P-2/P-3 rows with their numeric features and string columns (NULL allowed)."""
     return seg.select("state", "segment_id", label_to_binary(S.LABEL_COLUMN).alias("y"),
-                      *[F.col(f).cast("double").alias(f) for f in features]).where(F.col("y").isNotNull())
+                      *[F.col(f).cast("double").alias(f) for f in features], *strings).where(F.col("y").isNotNull())
 
 
-def training_splits(seg: DataFrame, train_state: str, features: list[str], n_runs: int) -> tuple[DataFrame, DataFrame]:
+def training_splits(seg: DataFrame, train_state: str, features: list[str], n_runs: int,
+                    strings: tuple | list = ()) -> tuple[DataFrame, DataFrame]:
     """(holdout rows, per-run split rows) of the training state; both checkpointed."""
-    rows = labeled(seg.where(F.col("state") == train_state), features)
+    rows = labeled(seg.where(F.col("state") == train_state), features, strings)
     split = materialize(holdout_split(rows, ["state"]))
     holdout = split.where(F.col("split") == "holdout").drop("split")
     pool = split.where(F.col("split") == "pool").drop("split")
@@ -50,16 +51,18 @@ def score_ensemble(df: DataFrame, trees: DataFrame) -> tuple[DataFrame, list[str
     return reduce_wide(wide, cols), cols, runs
 
 
-def evaluate_states(seg: DataFrame, trees: DataFrame, features: list[str], threshold: float = S.THRESHOLD,
-                    priors: dict | None = None, platt=None) -> tuple[DataFrame, DataFrame]:
-    """(per-road predictions, per (state, run) metrics)."""
-    rows = labeled(seg, features)
-    scored, cols, runs = score_ensemble(rows, trees)
-    pred = calibrate_and_shift(scored, platt, priors=priors)
-    long = wide_to_long(scored, ["state", "segment_id", "y"], cols, runs)
+def predict_states(seg: DataFrame, trees: DataFrame, features: list[str], priors: dict | None = None, platt=None) -> DataFrame:
+    """Per-road predictions of every state: mean, spread, vote, calibrated and shifted mean."""
+    scored, cols, _ = score_ensemble(labeled(seg, features), trees)
+    return calibrate_and_shift(scored, platt, priors=priors).drop(*cols)
+
+
+def evaluate_states(seg: DataFrame, trees: DataFrame, features: list[str], threshold: float = S.THRESHOLD) -> DataFrame:
+    """Metrics per (state, run)."""
+    wide, runs = score_wide(labeled(seg, features), trees, "run", "p_")
+    long = wide_to_long(wide, ["state", "segment_id", "y"], [f"p_{r}" for r in runs], runs)
     long = long.withColumn("y_pred", (F.col("p") >= F.lit(threshold)).cast("int"))
-    metrics = per_group_metrics(long, ["state", "run"], "y", "y_pred", "p")
-    return pred.drop(*cols), metrics
+    return per_group_metrics(long, ["state", "run"], "y", "y_pred", "p")
 
 
 def fit_calibration(holdout: DataFrame, trees: DataFrame):
