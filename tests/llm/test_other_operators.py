@@ -111,6 +111,14 @@ def test_warc_odd_rows(spark, tmp_path):
     assert all(bytes(r.payload) == ((dict((p, h) for p, _, h in rows)[r.page_id] or "").encode()) for r in got if r.record_type == "response")
     path = str(tmp_path / "none")
     warc.write_archives(df.where("false"), path)
+    assert warc.read_archives(spark, path).count() == 0
+    few, warc.BROADCAST_ROWS = warc.BROADCAST_ROWS, 0        # the way without a broadcast
+    try:
+        warc.write_archives(df, str(tmp_path / "shuffled"))
+    finally:
+        warc.BROADCAST_ROWS = few
+    got = warc.read_archives(spark, str(tmp_path / "shuffled")).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
 
 
 def test_reader_finds_damage():

@@ -117,17 +117,20 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     C.ship(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("payload"))
-    # a surrogate digest column is all that the search for equal payloads reads
+    # only digests travel in the search for equal payloads
     large = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= MIN_SHARED)
     shared = C.store(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k"))
                      .where("k > 1").select("digest", "first"), "shared-payloads")
     few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     rows = rows.join(F.broadcast(shared) if few else shared, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    if not few:     # a shuffle may bring rows in any order: sort, so that a task that runs again cuts the same archives
+        rows = rows.sortWithinPartitions("page_id", "digest", "url")
+    fs, root = _open(path)
+    fs.create_dir(root, recursive=True)
 
     def run(batches):
         fs, root = _open(path)
-        fs.create_dir(root, recursive=True)
         context = TaskContext.get()
         number, held, size, count, done = 0, [], 0, 0, []
 
