@@ -7,6 +7,7 @@ task follows the slice, not the partition; a single longer text is one slice.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLES: dict = {}
@@ -115,6 +116,16 @@ def slices(offsets: np.ndarray, budget: int = SLICE_BYTES):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + budget, "right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on, and share the executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):       # another C library
+        pass
 
 
 def mix(h: np.ndarray) -> np.ndarray:
