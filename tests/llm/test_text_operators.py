@@ -160,7 +160,7 @@ def test_alignment_agrees_with_full_edit_distance(spark):
     off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     row, *_ = items.align(np.concatenate(raw), off, *items.bands(np.concatenate(raw), off))
     for i, t in enumerate(texts):
-        best = min(brute.edit_distance_in(item[s:s + n].encode(), t.encode()) for _, s, n in items.segments.tolist())
+        best = min(brute.edit_distance_in(item[s:s + n].encode(), t.encode()) for s, n in [(k, 100) for k in (0, 20, 40)])
         assert (best <= 10) == (i in set(row.tolist())), (i, best)
 
 

@@ -8,9 +8,11 @@ L + 1 - q(e + 1) q-grams with it, all on e + 1 neighbouring diagonals. So:
 1. the q-grams of the items are held in a bit table; document positions that hit it
    are kept where a stretch of segment length has enough hits for any item;
 2. kept hits are placed on their diagonal (position in the document minus position
-   in the item) and counted in bands of 2(e + 1) diagonals that overlap by half;
-3. bands that reach the bound are verified: each segment is aligned with the
-   document inside the band (edit distance, free ends in the document).
+   in the item) and counted, per segment, in bands of 2(e + 1) diagonals that overlap
+   by half;
+3. bands that reach the bound are verified: the segment is aligned with the document
+   inside the band (edit distance, free ends in the document); alignments whose whole
+   row is over the budget stop early.
 
 Letters A-Z are lower-cased and white space counts as one blank sign; positions are
 bytes of the document. Items travel to the tasks in blocks of at most
@@ -60,26 +62,20 @@ class Items:
     """Lookup structures for one block of benchmark items."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.text = [], []
-        segments = []
+        self.ids: list = []
+        self.text: list = []
         for item, text in rows:
             raw = _FOLD[np.frombuffer((text or "").encode(), np.uint8)]
-            if len(raw) < GRAM:
-                continue
-            k = len(self.ids)
-            self.ids.append(item)
-            self.text.append(raw)
-            size = min(SEGMENT, len(raw))
-            first = list(range(0, len(raw) - size + 1, STEP))
-            if first[-1] != len(raw) - size:
-                first.append(len(raw) - size)
-            segments += [(k, s, size) for s in first]
-        self.segments = np.array(segments, np.int64).reshape(-1, 3)
+            if len(raw) >= GRAM:
+                self.ids.append(item)
+                self.text.append(raw)
         size = np.array([min(SEGMENT, len(t)) for t in self.text], np.int64)
         # the budget, cut for short items so that the lemma still asks for a shared q-gram
         self.edits = np.minimum(size // BUDGET, size // GRAM - 1)
         self.bound = size + 1 - GRAM * (self.edits + 1)
         self.size = size
+        self.length = np.array([len(t) for t in self.text], np.int64)
+        self.parts = -(-(self.length - size) // STEP) + 1         # segments start every STEP bytes, the last one at the end
         g = [grams(t) for t in self.text]
         values = np.concatenate(g) if g else np.zeros(0, C.U64)
         owner = np.repeat(np.arange(len(g)), [len(x) for x in g]).astype(np.int64)
@@ -90,8 +86,8 @@ class Items:
         self.table[_slot(self.values)] = True
 
     def bands(self, buf: np.ndarray, off: np.ndarray):
-        """(text row, item, first diagonal of the band relative to the text) that reach the bound."""
-        none = tuple(np.zeros(0, np.int64) for _ in range(3))
+        """(text row, item, segment, first diagonal of the band relative to the text) that reach the bound."""
+        none = tuple(np.zeros(0, np.int64) for _ in range(4))
         g = grams(buf)
         if not len(g) or not len(self.values):
             return none
@@ -113,76 +109,106 @@ class Items:
         if not many.sum():
             return none
         where = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pos, item = np.repeat(at, many), self.owner[where]
+        pos, item, place = np.repeat(at, many), self.owner[where], self.place[where]
         row = np.searchsorted(off, pos, "right") - 1
-        diagonal = pos - off[row] - self.place[where]
         width = self.edits[item] + 1
-        band = np.floor_divide(diagonal, width)
+        band = np.floor_divide(pos - off[row] - place, width)
         # a band holds diagonals [b * width, (b + 2) * width): each hit lies in two
-        row, item, band, pos = (np.concatenate([x, x]) for x in (row, item, band, pos))
-        band[len(band) // 2:] -= 1
-        order = np.lexsort((pos, band, item, row))
-        row, item, band, pos = row[order], item[order], band[order], pos[order]
+        row, item, place, pos = (np.concatenate([x, x]) for x in (row, item, place, pos))
+        band = np.concatenate([band, band - 1])
+        keep, group = self._rich(((row * len(self.ids) + item) << 26) + band + (1 << 25), pos, item)
+        row, item, band, pos, place, group = row[keep], item[keep], band[keep], pos[keep], place[keep], group[keep]
+        if not len(row):
+            return none
+        # the same count for every segment that a hit lies in
+        last = self.parts[item] - 1
+        lo = np.minimum(np.maximum(-(-(place + GRAM - self.size[item]) // STEP), 0), last)
+        hi = np.where(place >= self.length[item] - self.size[item], last, np.minimum(place // STEP, last - 1))
+        many = np.maximum(hi - lo + 1, 0)
+        part = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row, item, band, pos, group = (np.repeat(x, many) for x in (row, item, band, pos, group))
+        keep, _ = self._rich(group * int(self.parts.max()) + part, pos, item)
+        row, item, part, band = row[keep], item[keep], part[keep], band[keep]
+        order = np.lexsort((band, part, item, row))
+        row, item, part, band = row[order], item[order], part[order], band[order]
         new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+        same = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (part[1:] == part[:-1])
+        new[1:] = ~(same & (band[1:] == band[:-1]))
+        row, item, part, band = row[new], item[new], part[new], band[new]
+        # an alignment covers its band and the next one
+        follows = np.zeros(len(row), bool)
+        follows[1:] = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (part[1:] == part[:-1]) & (band[1:] == band[:-1] + 1)
+        begin = np.maximum.accumulate(np.where(follows, 0, np.arange(len(row))))
+        take = (np.arange(len(row)) - begin) % 2 == 0
+        row, item, part, band = row[take], item[take], part[take], band[take]
+        return row, item, part, band * (self.edits[item] + 1)
+
+    def _rich(self, key: np.ndarray, pos: np.ndarray, item: np.ndarray):
+        """(hits in groups of equal key with enough distinct positions, number of each hit's group)."""
+        order = np.lexsort((pos, key))
+        k, p = key[order], pos[order]
+        new = np.ones(len(order), bool)
+        new[1:] = k[1:] != k[:-1]
         fresh = new.copy()
-        fresh[1:] |= pos[1:] != pos[:-1]
-        starts = np.flatnonzero(new)
-        shared = np.add.reduceat(fresh.astype(np.int64), starts)
-        ok = shared >= self.bound[item[starts]]
-        starts = starts[ok]
-        return row[starts], item[starts], band[starts] * (self.edits[item[starts]] + 1)
-
-    def align(self, buf: np.ndarray, off: np.ndarray, row, item, diagonal):
-        """Best banded alignment of every segment of the candidates: (row, item, begin, end, edits) within budget."""
-        cand = [(c, s) for c, i in enumerate(item.tolist())
-                for s in np.flatnonzero(self.segments[:, 0] == i).tolist()] if len(item) < 64 else None
-        if cand is None:
-            by_item = np.searchsorted(self.segments[:, 0], [item, item + 1])
-            count = by_item[1] - by_item[0]
-            c = np.repeat(np.arange(len(item)), count)
-            s = np.repeat(by_item[0], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        else:
-            c, s = (np.array([x[k] for x in cand], np.int64) for k in (0, 1))
+        fresh[1:] |= p[1:] != p[:-1]
+        group = np.cumsum(new) - 1
+        shared = np.bincount(group, weights=fresh).astype(np.int64) if len(order) else np.zeros(0, np.int64)
+        number = np.empty(len(order), np.int64)
+        number[order] = group
+        return np.flatnonzero(shared[number] >= self.bound[item]), number
+
+    def align(self, buf: np.ndarray, off: np.ndarray, row, item, part, diagonal):
+        """Banded alignment of the candidates: (row, item, begin, end, edits) of those within budget."""
         out = []
-        for size in np.unique(self.segments[s, 2]) if len(s) else []:
-            of_size = np.flatnonzero(self.segments[s, 2] == size)
+        for size in np.unique(self.size[item]):
+            of_size = np.flatnonzero(self.size[item] == size)
             for lo in range(0, len(of_size), 4096):
-                part = of_size[lo:lo + 4096]
-                out.append(self._align(buf, off, row[c[part]], item[c[part]], diagonal[c[part]], self.segments[s[part], 1], int(size)))
+                c = of_size[lo:lo + 4096]
+                first = np.minimum(part[c] * STEP, self.length[item[c]] - size)
+                ok = self._distance(buf, off, row[c], item[c], diagonal[c], first, int(size), False)[0]
+                c, first = c[ok], first[ok]
+                if len(c):
+                    begin, end, edits = self._distance(buf, off, row[c], item[c], diagonal[c], first, int(size), True)
+                    out.append((row[c], item[c], begin, end, edits))
         return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
 
-    def _align(self, buf, off, row, item, diagonal, first, size):
+    def _distance(self, buf, off, row, item, diagonal, first, size, places):
+        """Which candidates stay within the budget or, if they all do, (begin, end, edits) of each."""
         e = int(self.edits[item[0]])
-        cols = 4 * (e + 1)                      # the band's diagonals and e + 1 more on either side
-        origin = off[row] + diagonal + first - (e + 1)
+        cols = 3 * (e + 1)                      # the diagonals of a band and of the next one
+        low, high = off[row], off[row + 1]
+        origin = low + diagonal + first
         text = np.stack([self.text[i][f:f + size] for i, f in zip(item, first)])
-        offsets = np.arange(cols)
+        offsets = np.arange(cols, dtype=np.int32)
         big = np.int32(1 << 20)
+        alive = np.arange(len(row))
         dist = np.zeros((len(row), cols), np.int32)
-        begin = np.broadcast_to(offsets, dist.shape).copy()
+        begin = np.broadcast_to(offsets, dist.shape).copy() if places else None
         for r in range(size):
             # cell j of row r is document position origin + r + j
-            at = origin[:, None] + r + offsets
-            inside = (at >= off[row][:, None]) & (at < off[row + 1][:, None])
-            same = inside & (buf[np.clip(at, 0, len(buf) - 1)] == text[:, r:r + 1])
-            diag = np.where(inside, dist + ~same, big)
-            skip = np.concatenate([dist[:, 1:] + 1, np.full((len(row), 1), big)], axis=1)     # item byte without partner
-            take = skip < diag
-            new = np.where(take, skip, diag)
-            src = np.where(take, np.concatenate([begin[:, 1:], begin[:, -1:]], axis=1), begin)
-            run = np.minimum.accumulate(((new - offsets) << 8) | offsets, axis=1)             # document bytes without partner
-            best = run & 255
-            dist = np.minimum(((run >> 8) + offsets), big)
-            begin = np.take_along_axis(src, best, axis=1)
+            at = origin[alive, None] + r + offsets
+            inside = (at >= low[alive, None]) & (at < high[alive, None])
+            same = inside & (buf[np.minimum(np.maximum(at, 0), len(buf) - 1)] == text[alive, r:r + 1])
+            new = np.where(inside, dist + ~same, big)
+            skip = np.concatenate([dist[:, 1:] + 1, np.full((len(alive), 1), big)], axis=1)    # item byte without partner
+            if places:
+                src = np.where(skip < new, np.concatenate([begin[:, 1:], begin[:, -1:]], axis=1), begin)
+            new = np.minimum(new, skip)
+            run = np.minimum.accumulate(((new - offsets) << 8) | offsets, axis=1)              # document bytes without partner
+            dist = np.minimum((run >> 8) + offsets, big)
+            if places:
+                begin = np.take_along_axis(src, run & 255, axis=1)
+            elif r % 8 == 7:
+                go = dist.min(1) <= e
+                if not go.all():
+                    alive, dist = alive[go], dist[go]
+                    if not len(alive):
+                        break
+        if not places:
+            return alive[dist.min(1) <= e] if len(alive) else alive, None, None
         j = dist.argmin(1)
         k = np.arange(len(row))
-        edits = dist[k, j]
-        ok = edits <= e
-        start = origin + begin[k, j]
-        stop = origin + size + j
-        low = off[row]
-        return (row[ok], item[ok], np.maximum(start - low, 0)[ok], np.minimum(stop, off[row + 1])[ok] - low[ok], edits[ok].astype(np.int64))
+        return (np.maximum(origin + begin[k, j] - low, 0), np.minimum(origin + size + j, high) - low, dist[k, j].astype(np.int64))
 
 
 def _blocks(benchmark: DataFrame) -> list[list]:
