@@ -1,18 +1,22 @@
 """Quality rules, run detection and the conversation trie against plain re-statements."""
 
+import hashlib
+import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tests.conftest import SF
-from washline.llm import catalog, rules
+from washline.llm import catalog, rules, runs
 
 INK = re.compile(r"[^\x20\x09-\x0d]+")
 
 
-@pytest.mark.parametrize("name", ["op13_quality_rules"])
+@pytest.mark.parametrize("name", ["op11_periodic_runs", "op13_quality_rules"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
@@ -70,3 +74,93 @@ def test_rules_table_is_compiled(spark):
 def test_rules_use_no_python(spark):
     plan = catalog.queries()["op13_quality_rules"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+# ---------------------------------------------------------------- runs
+
+def plain_runs(w):
+    """(start, length, period) by trying every period at every place."""
+    n, out = len(w), []
+    for q in range(1, n // 4 + 1):
+        j = q
+        while j < n:
+            if w[j] != w[j - q]:
+                j += 1
+                continue
+            s = j - q
+            while j < n and w[j] == w[j - q]:
+                j += 1
+            if j - s >= max(6, 4 * q) and not any(all(w[x] == w[x - p] for x in range(s + p, j)) for p in range(1, q)):
+                out.append((s, j - s, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def random_words(rng):
+    """Words over small alphabets with periodic stretches put in."""
+    k = rng.choice([1, 2, 2, 3, 5, 30])
+    w = [rng.randrange(k) for _ in range(rng.choice([0, 1, 5, 6, 7, 20, 60, 200]))]
+    for _ in range(rng.randrange(4)):
+        q = rng.randrange(1, 25)
+        root = [rng.randrange(k) for _ in range(q)]
+        at = rng.randrange(len(w) + 1)
+        w[at:at] = [root[i % q] for i in range(rng.randrange(0, q * 7))]
+    return w
+
+
+def test_runs_equal_brute_force():
+    rng, total = random.Random(3), 0
+    for _ in range(300):
+        texts = [random_words(rng) for _ in range(rng.randrange(1, 5))]
+        got = list(zip(*[x.tolist() for x in runs.runs_of(np.array(sum(texts, []), np.int64), np.array(list(map(len, texts))))]))
+        want, at = [], 0
+        for t in texts:
+            want += [(s + at, n, q) for s, n, q in plain_runs(t)]
+            at += len(t)
+        assert got == sorted(want, key=lambda r: (r[0], r[2]))
+        total += len(want)
+    assert total > 500
+
+
+def plain_collapse(w, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def test_runs_odd_rows(spark):
+    rng = random.Random(5)
+    texts = [None, "", " \n\t ", "one", "a a a a a", "a a a a a a", " é😀 é😀\té😀\nü ü ü ü ü ü  end ", "x " * 60_000, "y" * 300_000 + " z" * 9, "A a A a A a A a",
+             "\x0b".join("abcabcabcabcabc"), "p q\r\n" * 4, "nbsp\u00a0x " * 7]
+    texts += [" ".join(f"w{x}" for x in random_words(rng)) for _ in range(200)]
+    texts.append(" ".join(f"w{i % 5000}" for i in range(23_000)))
+    rows = [(i, t, "old", 1) for i, t in enumerate(texts)] + [(5, texts[5], "old", 1), (None, texts[5], "old", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, runs string, _runs int")
+    out = runs.periodic_runs(df)
+    assert out.columns == ["doc_id", "text", "_runs", "runs", "collapsed"]
+    got = Counter((r.doc_id, tuple(map(tuple, r.runs)), r.collapsed) for r in out.collect())
+    want = Counter()
+    for d, t, *_ in rows:
+        w = INK.findall(t or "")
+        if d == 7:
+            found = [(0, 60_000, 1)]
+        elif len(w) == 23_000:
+            found = [(0, 23_000, 5000)]
+        else:
+            found = plain_runs(w)
+        want[(d, tuple(found), plain_collapse(w, found))] += 1
+    assert got == want
+    assert runs.periodic_runs(df.where("false")).count() == 0
+
+
+def test_rebuilt_documents(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(9)}" for _ in range(rng.choice([0, 1, 2, 9, 50])))) for i in range(400)] + [(None, "a b c"), (3, None)]
+    got = runs.rebuild(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for (d, t), r in zip(rows, got):
+        w = INK.findall(t or "")
+        h = zlib.crc32(b"" if d is None else str(d).encode())
+        g, n = h // 10, len(w)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[a + (i - a) % p] if i >= a else x for i, x in enumerate(w)]
+        assert r.doc_id == d and INK.findall(r.text or "") == w

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from washline.llm import chat, rules, topk, urls, warc
+from washline.llm import chat, rules, runs, topk, urls, warc
 from washline.llm.chat import op1_chat_format
 from washline.llm.decontaminate import op2_decontamination
 from washline.llm.jaccard import op6_ngram_jaccard
@@ -10,6 +10,7 @@ from washline.llm.packing import op10_packing
 from washline.llm.quality import op9_quality
 from washline.llm.repeats import op4_suffix_dedup
 from washline.llm.rules import op13_quality_rules
+from washline.llm.runs import op11_periodic_runs
 from washline.llm.topk import op8_topk
 from washline.llm.toxicity import op5_toxicity
 from washline.llm.urls import op3_url_filter
@@ -28,10 +29,11 @@ def queries() -> dict:
         "op8_topk": op8_topk,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
+        "op11_periodic_runs": op11_periodic_runs,
         "op13_quality_rules": op13_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others learn, tokenize, or search in ways SQL cannot state at this size; tests use brute force."""
-    return {**chat.ORACLE, **urls.ORACLE, **warc.ORACLE, **topk.ORACLE, **rules.ORACLE}
+    return {**chat.ORACLE, **urls.ORACLE, **warc.ORACLE, **topk.ORACLE, **runs.ORACLE, **rules.ORACLE}
