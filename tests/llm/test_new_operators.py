@@ -11,12 +11,12 @@ import numpy as np
 import pytest
 
 from tests.conftest import SF
-from washline.llm import catalog, rules, runs
+from washline.llm import catalog, rules, runs, trie
 
 INK = re.compile(r"[^\x20\x09-\x0d]+")
 
 
-@pytest.mark.parametrize("name", ["op11_periodic_runs", "op13_quality_rules"])
+@pytest.mark.parametrize("name", ["op11_periodic_runs", "op12_prefix_trie", "op13_quality_rules"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
@@ -164,3 +164,99 @@ def test_rebuilt_documents(spark):
             p = 1 + (n - a) // (3 + g % 8)
             w = [w[a + (i - a) % p] if i >= a else x for i, x in enumerate(w)]
         assert r.doc_id == d and INK.findall(r.text or "") == w
+
+
+# ---------------------------------------------------------------- trie
+
+def plain_conversations(rows):
+    out = {}
+    for conv, turn, role, text in rows:
+        out.setdefault(conv, []).append((float("-inf") if turn is None else turn, role or "", text or ""))
+    return {c: [(r, t) for _, r, t in sorted(turns)] for c, turns in out.items()}
+
+
+def plain_rebuild(convs):
+    out = {}
+    for c, turns in convs.items():
+        h = 0 if c is None else zlib.crc32(str(c).encode()) % 9
+        base = None if c is None else c - c % 5 if c >= 0 else c + -c % 5       # % keeps the sign, as in SQL
+        out[c] = (convs.get(base, [])[:h] if c is not None else []) + turns[h:]
+    return out
+
+
+def plain_trie(convs):
+    """The contract's rows, from all prefixes of all conversations."""
+    nodes, parent, depth, size, members, ends = {}, [None], [0], [0], [[]], [[]]
+    for c in sorted(convs, key=lambda c: (c is None, c or 0)):
+        u = 0
+        members[0].append(c)
+        for turn in convs[c]:
+            if (u, turn) not in nodes:
+                nodes[u, turn] = len(parent)
+                parent.append(u)
+                depth.append(depth[u] + 1)
+                size.append(len(turn[1].encode()))
+                members.append([])
+                ends.append([])
+            u = nodes[u, turn]
+            members[u].append(c)
+        ends[u].append("" if c is None else str(c))
+    kids, leaves, saved = Counter(p for p in parent if p is not None), Counter(), Counter()
+    for v in range(len(parent)):
+        u = v
+        while u is not None:
+            leaves[u] += not kids[v]
+            saved[u] += (len(members[v]) - 1) * size[v]
+            u = parent[u]
+    least = [min((c for c in m if c is not None), default=None) for m in members]
+    return Counter((least[u], depth[u], None if parent[u] is None else least[parent[u]], len(members[u]), kids[u], leaves[u], saved[u],
+                    hashlib.sha256(",".join(ends[u]).encode()).hexdigest()) for u in range(len(parent)))
+
+
+TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def chat_rows():
+    rng = random.Random(8)
+    rows = []
+    for c in range(400):
+        kind = c % 4
+        if kind == 0:           # a third and more of the rows repeat one conversation
+            turns = [("user", "same question"), ("assistant", "same é answer")]
+        elif kind == 1:
+            turns = [("user", rng.choice(["a", "b"])) for _ in range(rng.randrange(1, 6))]
+        elif kind == 2:
+            turns = [(rng.choice(["user", "assistant"]), rng.choice(["", "x", "yy"])) for _ in range(rng.randrange(1, 12))]
+        else:
+            turns = [("user", "q" * c)] * (c % 3 + 1)
+        rows += [(c, i, r, t) for i, (r, t) in enumerate(turns)]
+    rows += [(None, 1, "user", "lost"), (None, None, "user", "a"), (1000, None, None, None), (1000, 3, "tool", None), (1001, 0, "user", "a"), (1001, 0, "user", "a"),
+             (-3, 0, "user", "neg"), (-1, 0, "user", "a"), (2**62, 0, "user", "big"), (1002, 0, "us", "era"), (1003, 0, "use", "ra")]
+    rows += [(1005, i, "user", str(i)) for i in range(3000)] + [(1006, i, "user", str(i)) for i in range(3000)]
+    rows += [(1010, 0, "user", "long " * 50_000)]
+    return rows
+
+
+@pytest.mark.parametrize("shards, sample, turns, piece", [(1, 20, 1 << 18, 4096), (7, 30, 1 << 18, 3), (25, 40, 1 << 18, 1), (9, 20, 160, 50)])
+def test_trie_equals_brute_force(spark, shards, sample, turns, piece):
+    rows = chat_rows()
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, path string")
+    convs = trie.rebuild(trie.conversations(df))
+    got = trie.prefix_trie(convs, shards, sample, turns, piece)
+    assert got.columns == TRIE
+    assert Counter(map(tuple, got.collect())) == plain_trie(plain_rebuild(plain_conversations(rows)))
+
+
+def test_trie_splitters_share_hot_paths(spark):
+    rows = [(c, 0, "user", "same") for c in range(600)] + [(c, 0, "user", f"t{c}") for c in range(600, 900)]
+    convs = trie.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    skeleton = trie.plant(convs, 9, sample=40)
+    assert len({p for p, _ in skeleton.splitters}) < len(skeleton.splitters) == 8        # the hot path is cut by conv_id
+    shard = Counter(skeleton.shard(bytes(r.path), r.conv_id) for r in convs.collect())
+    assert max(shard.values()) < 300 and sum(shard.values()) == 900
+    assert Counter(map(tuple, trie.prefix_trie(convs, 9, 40).collect())) == plain_trie(plain_conversations(rows))
+
+
+def test_trie_of_nothing(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert trie.prefix_trie(trie.rebuild(trie.conversations(df))).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from washline.llm import chat, rules, runs, topk, urls, warc
+from washline.llm import chat, rules, runs, topk, trie, urls, warc
 from washline.llm.chat import op1_chat_format
 from washline.llm.decontaminate import op2_decontamination
 from washline.llm.jaccard import op6_ngram_jaccard
@@ -13,6 +13,7 @@ from washline.llm.rules import op13_quality_rules
 from washline.llm.runs import op11_periodic_runs
 from washline.llm.topk import op8_topk
 from washline.llm.toxicity import op5_toxicity
+from washline.llm.trie import op12_prefix_trie
 from washline.llm.urls import op3_url_filter
 from washline.llm.warc import op7_warc
 
@@ -30,10 +31,11 @@ def queries() -> dict:
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_quality_rules": op13_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others learn, tokenize, or search in ways SQL cannot state at this size; tests use brute force."""
-    return {**chat.ORACLE, **urls.ORACLE, **warc.ORACLE, **topk.ORACLE, **runs.ORACLE, **rules.ORACLE}
+    return {**chat.ORACLE, **urls.ORACLE, **warc.ORACLE, **topk.ORACLE, **runs.ORACLE, **trie.ORACLE, **rules.ORACLE}
