@@ -192,3 +192,30 @@ def test_pipeline_stages(spark):
     assert {p.doc_id for p in pieces} == kept
     again = P.run(spark, SF).select("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     assert again.where("doc_id is not null").count() > 0
+
+
+def test_pipeline_keeps_texts_whose_id_is_shared(spark):
+    """Rows go, not ids: of (1,a) (2,a) (2,b) (null,a) (null,c) the texts a, b and c stay once each."""
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 0, 1), (2, a, 0, 2), (2, b, 0, 3), (None, a, 0, 4), (None, c, 0, 5), (3, "", 0, 6), (3, None, 0, 7), (4, b, 0, 8), (4, b, 0, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_number int, _place int")
+    got = P.keep_one_of_group(spark, df, SF)
+    assert got.columns == df.columns
+    assert Counter(map(tuple, got.collect())) == Counter([rows[0], rows[2], rows[4], rows[5], rows[6]])
+    unique = spark.createDataFrame([(5, a, 0, 1), (3, a, 0, 2), (9, b, 0, 3)], df.schema)
+    assert {r.doc_id for r in P.keep_one_of_group(spark, unique, SF).collect()} == {3, 9}
+    assert P.keep_one_of_group(spark, df.where("false"), SF).count() == 0
+
+
+def test_decontamination_drops_rows_not_ids(spark):
+    from washline.llm import decontaminate
+
+    item = " ".join(f"benchmark{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"see {item} here", 0), (1, "clean one", 1), (None, f"and {item}", 2), (None, "clean null", 3), (None, None, 4), (2, "clean", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bad_id int").withColumn("bad_text", F.lit("t"))
+    got = decontaminate.clean(df, bench)
+    assert got.columns == df.columns
+    assert sorted(r.bad_id for r in got.collect()) == [1, 3, 4, 5]

@@ -89,6 +89,33 @@ def test_repeats_odd_rows(spark):
     assert got == brute.repeat_digest(rows)
 
 
+@pytest.mark.parametrize("shared", [None, 77])
+def test_repeats_of_rows_that_share_an_id(spark, shared):
+    """2,000 rows without an id of their own: bytes go from the row that repeats them, not from others."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    pool = [" ".join(word() for _ in range(30)) for _ in range(40)]
+    rows = []
+    for i in range(3000):
+        text = " ".join(word() for _ in range(25))
+        if i % 9 == 0:
+            text = f"{text} {rng.choice(pool)} end"
+        rows.append((i if i % 3 == 0 else shared, text))
+    rows += [rows[1], rows[0], (shared, rows[4][1] + " again")]
+    got = Counter(map(tuple, repeats.removal_digest(frame(spark, rows)).collect()))
+    assert got == brute.repeat_digest(rows)
+
+
+def test_remove_repeats_with_clashing_columns(spark):
+    text = "a passage that is said twice, word for word, and is of course longer than one hundred bytes in all its parts"
+    df = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, "x " + text + " y", 5, 6, 7, 8)],
+                               "doc_id long, text string, packs int, _row int, _mark_doc int, _MARK_ROW int")
+    out = repeats.remove_repeats(df)
+    assert out.columns == [*df.columns, "n_removed"]
+    # the longer text keeps a space on either side: " passage" may start one byte earlier only where the first one does
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, text, 1, 2, 3, 4, 0), (2, "x  y", 5, 6, 7, 8, len(text))]
+
+
 def test_remove_repeats_keeps_columns_and_characters(spark):
     rows = odd_rows()
     out = {(r.doc_id, r.text): r for r in repeats.remove_repeats(frame(spark, rows)).collect()}

@@ -74,6 +74,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number of its own per row in ``name``; smaller doc_ids have smaller numbers, null ids the largest.
+
+    Where every doc_id is one row's and none is null, that is the doc_id; else the rows are
+    ranged by (doc_id, text hash), numbered and written, so the numbers stay as they are.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).collect()
+    if not odd:
+        return docs.withColumn(name, F.col("doc_id"))
+    place = fresh_name(docs, "_place")
+    ranged = (docs.withColumn(place, F.monotonically_increasing_id())
+              .orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), place).drop(place))
+    return store(ranged.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows whose crc32(doc_id as text) mod 4 is 2; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

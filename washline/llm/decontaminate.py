@@ -221,10 +221,11 @@ def _blocks(benchmark: DataFrame) -> list[list]:
         yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, begin, end (bytes of the document), segments, edits (of the best segment): one row per region."""
+def _regions(docs: DataFrame, benchmark: DataFrame, keys: str) -> DataFrame:
+    """The key columns of ``docs`` (all but the last; ``keys`` is their schema) and item_id, begin, end, segments, edits per region."""
     spark = docs.sparkSession
     C.ship(spark)
+    names = docs.columns[:-1]
     found = []
     for rows in _blocks(benchmark):
         block = spark.sparkContext.broadcast(rows)
@@ -232,7 +233,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, block=block):
             items = Items(block.value)
             for b in batches:
-                buf, off = C.utf8(b.column(1))
+                buf, off = C.utf8(b.column(len(names)))
                 for lo, hi in C.slices(off):
                     piece, o = _FOLD[buf[off[lo]:off[hi]]], off[lo:hi + 1] - off[lo]
                     row, item, begin, end, edits = items.align(piece, o, *items.bands(piece, o))
@@ -245,21 +246,34 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     reach = end + np.cumsum(new) * (int(o[-1]) + 1)       # running end within the pair
                     new[1:] |= begin[1:] + np.cumsum(new)[1:] * (int(o[-1]) + 1) > np.maximum.accumulate(reach)[:-1]
                     s = np.flatnonzero(new)
+                    at = pa.array(row[s] + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(row[s] + lo)), pa.array([items.ids[i] for i in item[s]], pa.int64()),
-                         pa.array(begin[s]), pa.array(np.maximum.reduceat(end, s)),
-                         pa.array(np.diff(np.append(s, len(row)))), pa.array(np.minimum.reduceat(edits, s))],
-                        names=["doc_id", "item_id", "begin", "end", "segments", "edits"])
+                        [b.column(k).take(at) for k in range(len(names))] + [
+                            pa.array([items.ids[i] for i in item[s]], pa.int64()),
+                            pa.array(begin[s]), pa.array(np.maximum.reduceat(end, s)),
+                            pa.array(np.diff(np.append(s, len(row)))), pa.array(np.minimum.reduceat(edits, s))],
+                        names=[*names, "item_id", "begin", "end", "segments", "edits"])
 
-        found.append(docs.select("doc_id", "text").mapInArrow(
-            run, "doc_id long, item_id long, begin long, end long, segments long, edits long"))
+        found.append(docs.mapInArrow(run, f"{keys}, item_id long, begin long, end long, segments long, edits long"))
     return reduce(DataFrame.unionByName, found)
 
 
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, begin, end (bytes of the document), segments, edits (of the best segment): one row per region."""
+    return _regions(docs.select("doc_id", "text"), benchmark, "doc_id long")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark passage."""
-    bad = small(C.store(matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents without any benchmark passage.
+
+    A contaminated row is known by its id and a hash of its text: rows that share an id, or have none, are judged by their own texts.
+    """
+    bad_id, bad_text = C.fresh_name(docs, "bad_id"), C.fresh_name(docs, "bad_text")
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    keyed = docs.select(docs["doc_id"].alias(bad_id), text_hash.alias(bad_text), docs["text"])
+    found = _regions(keyed, benchmark, f"`{bad_id}` long, `{bad_text}` long").select(bad_id, bad_text).distinct()
+    bad = small(C.store(found, "contaminated"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[bad_id]) & (text_hash == bad[bad_text]), "left_anti")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -19,10 +19,14 @@ or same document and earlier start) marks its bytes. Suffixes are not sorted who
 Copies inside one Arrow batch are settled before the shuffle, so a hot group sends
 one row per batch. Identifiers are 64-bit content hashes within a 64-bit bucket.
 
+A row is known by its doc_id; where ids repeat or are null, by doc_id and a 64-bit hash
+of its text (equal rows lose the same bytes, so they need not be told apart).
+
 Defined results: null text is empty; texts under WIDTH bytes lose nothing; rows
 with one doc_id are one document at equal starts (neither is earlier), and rows
-with a null doc_id come after all others; extra columns are kept by ``remove_repeats``.
-Texts may have up to 256 MB.
+with a null doc_id come after all others (as one document, which the largest possible
+id belongs to); extra columns are kept by ``remove_repeats``, one named ``n_removed`` is
+replaced. A text is worked on in one piece, at about 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -40,12 +44,13 @@ from washline.llm import common as C
 
 WIDTH, Q, BLOCK = 100, 24, 8
 LAST = (1 << 63) - 1
-_POS_BITS = 28
+_POS_BITS = 31              # a text has less than 2 GB
 
 
-def _fingerprint(sums: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """16 bits of each text's content hash: tells rows of one doc_id apart."""
-    return (C.span_hashes(sums, off[:-1], off[1:]) >> C.U64(48)).astype(np.int64)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``: 0 where every id is one row's, else a hash of the text."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).collect()
+    return docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))) if odd else F.lit(0).cast("long"))
 
 
 def runs(buf: np.ndarray, off: np.ndarray, sums: np.ndarray, width: int, q: int):
@@ -80,15 +85,15 @@ def runs(buf: np.ndarray, off: np.ndarray, sums: np.ndarray, width: int, q: int)
             anchor[starts] - starts, count)
 
 
-def _pack(start, gram, count, fp):
-    """start, distance to the gram, windows, fingerprint in one number that sorts by start."""
-    return (start << 30) | (gram << 23) | (count << 16) | fp
+def _pack(start, gram, count):
+    """start, distance to the gram, windows in one number that sorts by start."""
+    return (start << 14) | (gram << 7) | count
 
 
 def _settle(bucket, ident, doc, pack):
     """Sort by (bucket, identifier, doc, start); (order, is a later copy) of the rows."""
     order = np.lexsort((pack, doc, ident, bucket))
-    b, i, d, s = bucket[order], ident[order], doc[order], pack[order] >> 30
+    b, i, d, s = bucket[order], ident[order], doc[order], pack[order] >> 14
     new = np.ones(len(order), bool)
     new[1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
@@ -99,25 +104,25 @@ def _doc_ids(col) -> np.ndarray:
     return col.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-_RUN_SCHEMA = "bucket long, ident long, doc long, pack long, settled boolean"
+_RUN_SCHEMA = "bucket long, ident long, doc long, row long, pack long, settled boolean"
 
 
-def _run_batch(bucket, ident, doc, pack):
+def _run_batch(bucket, ident, doc, row, pack):
     order, later = _settle(bucket, ident, doc, pack)
     return pa.RecordBatch.from_arrays(
-        [pa.array(x[order].view(np.int64)) for x in (bucket, ident, doc, pack)] + [pa.array(later)],
-        names=["bucket", "ident", "doc", "pack", "settled"])
+        [pa.array(x[order].view(np.int64)) for x in (bucket, ident, doc, row, pack)] + [pa.array(later)],
+        names=["bucket", "ident", "doc", "row", "pack", "settled"])
 
 
 def _emit_runs(batches, width, q):
     for b in batches:
         buf, off = C.utf8(b.column(1))
-        ids, parts = _doc_ids(b.column(0)), []
+        ids, key, parts = _doc_ids(b.column(0)), _doc_ids(b.column(2)), []
         for lo, hi in C.slices(off):
             o = off[lo:hi + 1] - off[lo]
             sums = C.prefix_sums(buf[off[lo]:off[hi]])
             bucket, ident, rows, start, gram, count = runs(buf[off[lo]:off[hi]], o, sums, width, q)
-            parts.append((bucket, ident, ids[lo:hi][rows], _pack(start, gram, count, _fingerprint(sums, o)[rows])))
+            parts.append((bucket, ident, ids[lo:hi][rows], key[lo:hi][rows], _pack(start, gram, count)))
         if parts:
             yield _run_batch(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -139,10 +144,10 @@ def _by_bucket(batches, work):
         yield work(*left)
 
 
-_MARK_SCHEMA = "doc long, pack long, open boolean"
+_MARK_SCHEMA = "doc long, row long, pack long, open boolean"
 
 
-def _refine(bucket, ident, doc, pack, settled):
+def _refine(bucket, ident, doc, row, pack, settled):
     """One bucket pass: copies become marks, first runs of buckets with several stretches stay open."""
     order, later = _settle(bucket, ident, doc, pack)
     b, i = bucket[order], ident[order]
@@ -154,11 +159,11 @@ def _refine(bucket, ident, doc, pack, settled):
     group = np.cumsum(first) - 1
     several = np.bincount(group[kinds], minlength=group[-1] + 1)[group] > 1
     keep = later | several
-    return pa.RecordBatch.from_arrays([pa.array(doc[order][keep]), pa.array(pack[order][keep]), pa.array(~later[keep])],
-                                      names=["doc", "pack", "open"])
+    return pa.RecordBatch.from_arrays([pa.array(x[order][keep]) for x in (doc, row, pack)] + [pa.array(~later[keep])],
+                                      names=["doc", "row", "pack", "open"])
 
 
-_BLOCK_SCHEMA = "bucket long, left long, right long, doc long, pack long, settled boolean"
+_BLOCK_SCHEMA = "bucket long, left long, right long, doc long, row long, pack long, settled boolean"
 
 
 def _words_at(buf, at, n):
@@ -175,86 +180,87 @@ def _emit_blocks(batches, width):
     edge = BLOCK - 1
     for b in batches:
         buf, off = C.utf8(b.column(1))
-        ids, parts = _doc_ids(b.column(0)), []
-        lists = b.column(2)
+        ids, key, parts = _doc_ids(b.column(0)), _doc_ids(b.column(2)), []
+        lists = b.column(3)
         flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         for lo, hi in C.slices(off):
             piece, o = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
             sums = C.prefix_sums(piece)
-            fp = _fingerprint(sums, o)
             packs = flat[cuts[lo]:cuts[hi]]
             rows = np.repeat(np.arange(hi - lo), np.diff(cuts[lo:hi + 1]))
-            own = (packs & 0xFFFF) == fp[rows]
-            packs, rows = packs[own], rows[own]
             # distances from window to gram run from far to near; blocks are multiples of BLOCK
-            far = (packs >> 23) & 0x7F
-            near = far - ((packs >> 16) & 0x7F) + 1
+            far = (packs >> 7) & 0x7F
+            near = far - (packs & 0x7F) + 1
             first, many = near // BLOCK, far // BLOCK - near // BLOCK + 1
             k = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             packs, rows, far, near = (np.repeat(x, many) for x in (packs, rows, far, near))
-            core = (packs >> 30) + far - k * BLOCK                  # the block's last window starts here, in its text
+            core = (packs >> 14) + far - k * BLOCK                  # the block's last window starts here, in its text
             present = np.zeros(len(k), np.int64)
             for i in range(BLOCK):                                  # window i starts at core - edge + i
                 distance = k * BLOCK + edge - i
                 present |= ((distance <= far) & (distance >= near)).astype(np.int64) << i
             at = o[rows] + core
             parts.append((C.span_hashes(sums, at, at + width - edge), _words_at(piece, at - edge, edge),
-                          _words_at(piece, at + width - edge, edge), ids[lo:hi][rows], (core << 24) | (present << 16) | fp[rows]))
+                          _words_at(piece, at + width - edge, edge), ids[lo:hi][rows], key[lo:hi][rows], (core << 8) | present))
         if parts:
-            bucket, left, right, doc, pack = (np.concatenate(x) for x in zip(*parts))
+            bucket, left, right, doc, row, pack = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.view(np.int64)), *map(pa.array, (left, right, doc, pack)), pa.array(np.zeros(len(pack), bool))],
-                names=["bucket", "left", "right", "doc", "pack", "settled"])
+                [pa.array(bucket.view(np.int64)), *map(pa.array, (left, right, doc, row, pack)), pa.array(np.zeros(len(pack), bool))],
+                names=["bucket", "left", "right", "doc", "row", "pack", "settled"])
 
 
-def _settle_windows(bucket, left, right, doc, pack, settled):
+def _settle_windows(bucket, left, right, doc, row, pack, settled):
     """Later copies among the single windows of blocks with common bytes."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     alone = np.ones(len(b), bool)
     alone[1:] = b[1:] != b[:-1]
     alone[:-1] &= alone[1:]
-    bucket, left, right, doc, pack = (x[order[~alone]] for x in (bucket, left, right, doc, pack))
-    docs, packs = [], []
+    bucket, left, right, doc, row, pack = (x[order[~alone]] for x in (bucket, left, right, doc, row, pack))
+    found = []
     for i in range(BLOCK):
-        have = (pack >> 16 >> i) & 1 == 1
+        have = (pack >> i) & 1 == 1
         # window i takes the last BLOCK-1-i bytes on the left and the first i on the right
         rim = C.mix((left[have] >> (8 * i)).view(C.U64)) ^ (right[have] & ((1 << (8 * i)) - 1)).view(C.U64)
-        start = (pack[have] >> 24) - (BLOCK - 1) + i
-        own = _pack(start, 0, 1, pack[have] & 0xFFFF)
+        start = (pack[have] >> 8) - (BLOCK - 1) + i
+        own = _pack(start, 0, 1)
         o, later = _settle(bucket[have].view(C.U64), C.mix(rim), doc[have], own)
-        docs.append(doc[have][o][later])
-        packs.append(own[o][later])
-    docs, packs = np.concatenate(docs), np.concatenate(packs)
-    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(packs), pa.array(np.zeros(len(docs), bool))], names=["doc", "pack", "open"])
+        found.append((doc[have][o][later], row[have][o][later], own[o][later]))
+    cols = [np.concatenate(x) for x in zip(*found)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.zeros(len(cols[0]), bool))], names=["doc", "row", "pack", "open"])
 
 
 def marks(docs: DataFrame, width: int = WIDTH, q: int = Q) -> DataFrame:
-    """doc, pack (start, windows, fingerprint): stretches that only hold later copies."""
+    """doc, row, pack (start, windows) of ``docs(doc_id, text, _row)``: stretches that only hold later copies."""
     spark = docs.sparkSession
     C.ship(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", "_row")
 
     def by_bucket(df):
         # settled copies may go anywhere; only the open rows of a bucket must meet
-        to = F.when(F.col("settled"), F.xxhash64("doc", "pack")).otherwise(F.col("bucket"))
+        to = F.when(F.col("settled"), F.xxhash64("doc", "row", "pack")).otherwise(F.col("bucket"))
         return df.repartition(C.partitions(spark), to).sortWithinPartitions("bucket")
 
     emitted = docs.mapInArrow(lambda it: _emit_runs(it, width, q), _RUN_SCHEMA)
     first = C.store(by_bucket(emitted).mapInArrow(lambda it: _by_bucket(it, _refine), _MARK_SCHEMA), "marks")
-    wanted = first.where("open").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("pack").alias("packs"))
-    texts = (docs.join(wanted, F.coalesce(docs["doc_id"], F.lit(LAST)) == wanted["_doc"]).select("doc_id", "text", "packs"))
+    texts = _joined(docs, first.where("open")).where("packs is not null").select("doc_id", "text", "_row", "packs")
     blocks = texts.mapInArrow(lambda it: _emit_blocks(it, width), _BLOCK_SCHEMA)
     second = by_bucket(blocks).mapInArrow(lambda it: _by_bucket(it, _settle_windows), _MARK_SCHEMA)
-    return first.where("not open").select("doc", "pack").unionByName(second.select("doc", "pack"))
+    return first.where("not open").select("doc", "row", "pack").unionByName(second.select("doc", "row", "pack"))
+
+
+def _joined(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``docs`` with the packs of their rows (null: none); ``packs`` must not be a column of ``docs``."""
+    m = marked.groupBy(F.col("doc").alias("_mark_doc"), F.col("row").alias("_mark_row")).agg(F.collect_list("pack").alias("packs"))
+    return docs.join(m, (F.coalesce(docs["doc_id"], F.lit(LAST)) == m["_mark_doc"]) & (docs["_row"] == m["_mark_row"]), "left")
 
 
 def spans(packs: np.ndarray, width: int) -> np.ndarray:
     """Maximal marked byte ranges (k, 2) of one text."""
     if not len(packs):
         return np.zeros((0, 2), np.int64)
-    lo = packs >> 30
-    hi = lo + ((packs >> 16) & 0x7F) - 1 + width
+    lo = packs >> 14
+    hi = lo + (packs & 0x7F) - 1 + width
     order = np.argsort(lo, kind="stable")
     lo, hi = lo[order], np.maximum.accumulate(hi[order])
     new = np.ones(len(lo), bool)
@@ -263,11 +269,6 @@ def spans(packs: np.ndarray, width: int) -> np.ndarray:
     return np.stack([lo[first], hi[np.append(first[1:], len(lo)) - 1]], axis=1)
 
 
-def _with_marks(docs: DataFrame, width: int, q: int) -> DataFrame:
-    m = marks(docs, width, q).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("pack").alias("_packs"))
-    return docs.join(m, F.coalesce(docs["doc_id"], F.lit(LAST)) == m["_doc"], "left").drop("_doc")
-
-
 def _each_text(b, text_at, packs_at, width):
     """(bytes, marked ranges) of every row of a batch."""
     buf, off = C.utf8(b.column(text_at))
@@ -275,11 +276,8 @@ def _each_text(b, text_at, packs_at, width):
     lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
     flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
     for lo, hi in C.slices(off):
-        piece, o = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-        fp = _fingerprint(C.prefix_sums(piece), o) if lengths[lo:hi].any() else np.zeros(hi - lo, np.int64)
         for i in range(lo, hi):
-            packs = flat[cuts[i]:cuts[i + 1]]
-            yield piece[o[i - lo]:o[i - lo + 1]], spans(packs[(packs & 0xFFFF) == fp[i - lo]], width) if len(packs) else spans(packs, width)
+            yield buf[off[i]:off[i + 1]], spans(flat[cuts[i]:cuts[i + 1]], width)
 
 
 def removal_digest(docs: DataFrame, width: int = WIDTH, q: int = Q) -> DataFrame:
@@ -301,7 +299,8 @@ def removal_digest(docs: DataFrame, width: int = WIDTH, q: int = Q) -> DataFrame
                 [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_marks(docs.select("doc_id", "text"), width, q).mapInArrow(
+    keyed = _keyed(docs.select("doc_id", "text"))
+    return _joined(keyed, marks(keyed, width, q)).select("doc_id", "text", "packs").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -320,11 +319,13 @@ def _whole_characters(raw: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, q: int = Q) -> DataFrame:
     """``docs`` with later copies cut out of ``text`` (whole characters) and ``n_removed`` bytes."""
-    joined = _with_marks(docs, width, q)
-    cols = [f for f in docs.schema.fields if f.name != "n_removed"]
+    cols = [f for f in docs.schema.fields if f.name.lower() != "n_removed"]
     names = [f.name for f in cols]
     schema = T.StructType([*cols, T.StructField("n_removed", T.LongType())])
-    joined = joined.select(*[F.col(f"`{c}`") for c in names], "_packs")
+    # other columns travel under names of their own: they may clash with the join's
+    own = {n: n if n in ("doc_id", "text") else f"_own_{i}" for i, n in enumerate(names)}
+    keyed = _keyed(docs.select(*[F.col(f"`{n}`").alias(own[n]) for n in names]))
+    joined = _joined(keyed, marks(keyed, width, q)).select(*own.values(), "packs")
     text_at = names.index("text")
 
     def run(batches):
