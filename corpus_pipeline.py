@@ -25,15 +25,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the document with the smallest id of each group stays.
 
-    Texts without words belong to no group and stay; of repeated rows one stays.
+    Texts without words belong to no group and stay. Rows are told apart by a number of
+    their own: of rows with one id (or none) only those in a group with an earlier row go.
     """
-    groups = C.store(ngram_components(docs.select("doc_id", "text"), WORDS, SIMILAR, OF), "pipeline-groups")
-    gone = small(C.store(groups.where("n_shingles > 0 and not doc_id <=> component_id").select("doc_id"), "pipeline-copies")
-                 .select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).collect():
-        kept = kept.dropDuplicates()
-    return kept
+    row = C.fresh_name(docs, "row_number")
+    docs = C.numbered(docs, row)
+    groups = C.store(ngram_components(docs.select(F.col(row).alias("doc_id"), "text"), WORDS, SIMILAR, OF), "pipeline-groups")
+    gone = small(C.store(groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(row)), "pipeline-copies"))
+    return docs.join(gone, row, "left_anti").drop(row)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
