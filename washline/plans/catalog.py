@@ -845,8 +845,8 @@ def k8_mean_std_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# pyspark.ml model families (rows-only checks): M-1/M-2 forests, M-3 tree, M-7, M-8, M-10 grid search,
-# E-4/E-5 pipelines, K-7 persistence
+# pyspark.ml model families (rows-only checks): M-3 tree, M-7, M-8, M-10 grid search, K-7 persistence
+# (the forests are in plans/forests.py)
 # ---------------------------------------------------------------------------
 
 ML_RUNS = 2
@@ -877,20 +877,6 @@ def _ml_family_metrics(spark: SparkSession, sf_dir: str, spec, numeric, strings)
     return round_doubles(per_group_metrics(long, ["state", "run"], "y", "y_pred", "p"))
 
 
-@register("m1_full_forest_run_metrics")
-def m1_full_forest_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows-only: 400-tree depth-3 forests (sqrt features, bootstrap) on all fixture features."""
-    from washline.operators.models import FitSpec
-    return _ml_family_metrics(spark, sf_dir, FitSpec("forest", 400, 3), _ML_NUM, _ML_STR)
-
-
-@register("m2_three_feature_forest_run_metrics")
-def m2_three_feature_forest_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows-only: the same forest on the three-feature set."""
-    from washline.operators.models import FitSpec
-    return _ml_family_metrics(spark, sf_dir, FitSpec("forest", 400, 3), _FEATS, [])
-
-
 @register("m3_ml_decision_tree_run_metrics")
 def m3_ml_decision_tree_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows-only: pyspark.ml decision tree, depth 2, at least 10 rows per child."""
@@ -914,4 +900,4 @@ def m10_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "maxDepth int, numTrees int, f1_mean double")
 
 
-from washline.plans import preparation, second_area, storage  # noqa: E402, F401  (they register their queries)
+from washline.plans import forests, preparation, second_area, storage  # noqa: E402, F401  (they register their queries)

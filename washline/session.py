@@ -67,6 +67,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (once per application), for functions that run there in Python."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_washline_package", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="washline-package-"), "washline_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for base, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    z.write(full, os.path.join("washline", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._washline_package = True
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for tables written to cut lineage."""
     base = ensure_checkpoint_dir(spark)
