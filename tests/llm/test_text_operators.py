@@ -1,6 +1,7 @@
 """Operators on documents, against brute force and planted cases."""
 
 import random
+from itertools import combinations
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm import brute
+from washline.llm import common as C
 from washline.llm import catalog, decontaminate, jaccard, packing, quality, repeats, toxicity
 
 SCHEMA = "doc_id long, text string, score int, n_removed string"
@@ -326,3 +328,65 @@ def test_toxicity_tolerates_gaps_and_insertions(spark):
              (5, clean), (6, None), (7, ""), (8, "!!! 123"), (9, "z" * 5000), (10, f"{clean} " * 300 + "blazpek")]
     got = {r.doc_id: r.predicted for r in toxicity.transform(machine, frame(spark, tries)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 1}
+
+
+def toxic_table(spark, n, toxic, make, seed):
+    """Random prose over 300 words; ``make(rng, words, i)`` puts the insult into the toxic texts."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(15, 40))]
+        bad = i % (n // toxic) == 0
+        rows.append((i, " ".join(make(rng, w, i, bad))))
+        labels.append((i, 1, int(bad)))
+    return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def put(rng, words, *insult):
+    at = rng.randrange(len(words))
+    return [*words[:at], *insult, *words[at:]]
+
+
+@pytest.mark.parametrize("case", ["few rows", "insult in a clean text", "two harmless halves"])
+def test_toxicity_learns_from_any_labelled_set(spark, case):
+    if case == "few rows":
+        docs, labels = toxic_table(spark, 80, 20, lambda rng, w, i, bad: put(rng, w, "grobulak") if bad else w, 1)
+    elif case == "insult in a clean text":
+        docs, labels = toxic_table(spark, 600, 150, lambda rng, w, i, bad: put(rng, w, "grobulak") if bad or i == 3 else w, 2)
+    else:
+        def make(rng, w, i, bad):
+            if bad:
+                return put(rng, w, "grobulak", "wimzeth")
+            return put(rng, w, ("grobulak", "wimzeth")[i % 2]) if i % 3 else w
+        docs, labels = toxic_table(spark, 600, 150, make, 3)
+    machine = toxicity.fit(docs, labels.where(~C.held_out(F.col("doc_id"))))
+    scored = toxicity.transform(machine, docs).withColumn("held_out", C.held_out(F.col("doc_id")))
+    assert auc(spark, scored, labels, "toxic") > 0.9
+
+
+def test_toxicity_scores_follow_from_the_fitted_landmarks(spark):
+    """Scores recomputed one text at a time, from the subsequence sums of the kernel's definition."""
+    machine = toxicity.KernelMachine(["grobu", "zorkel"], np.array([1.5, 0.75]), -0.6, (3.0, -0.5),
+                                     [("stupi", "cabba")], np.array([0.9, 2.0, -0.8]))
+
+    def raw(s, t):
+        total = 0.0
+        for a in combinations(range(len(s)), toxicity.ORDER):
+            for b in combinations(range(len(t)), toxicity.ORDER):
+                if all(s[i] == t[j] for i, j in zip(a, b)):
+                    total += toxicity.DECAY ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
+        return total
+
+    def near(s, t):
+        d = raw(s, s) * raw(t, t)
+        return raw(s, t) / d ** 0.5 if raw(s, s) > 0 else 0.0
+
+    texts = ["a grobu here", "gro.bu and stupi cabba", "stupi\ncabba", "cabba stupi", "Z o r k e l !", "plain talk", "stup1i xcabba", ""]
+    got = {r.doc_id: r.score for r in toxicity.transform(machine, frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        u = ["".join(c for c in w if c.isalpha()) for w in t.lower().replace("z o r k e l", "zorkel").split()]
+        u = [w for w in u if w]
+        best = max([1.5 * near(w, "grobu") + 0.75 * near(w, "zorkel") - 0.6 for w in u], default=-0.6)
+        best = 0.9 * best + 2.0 * max([near(a, "stupi") * near(b, "cabba") for a, b in zip(u, u[1:])], default=0.0) - 0.8
+        assert abs(got[i] - 1 / (1 + np.exp(-(3.0 * best - 0.5)))) < 1e-4, t

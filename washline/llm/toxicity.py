@@ -10,19 +10,30 @@ probability by a logistic link. Units of more than ``WINDOW`` letters are read i
 overlapping windows, so whole texts are scored.
 
 Training is multiple-instance: labels are per text, so each toxic training text
-gives one witness unit (first by the likelihood ratio of its character 4-grams, then
-by the machine's own score), and units of clean training texts are the negatives, mined for the hard
-ones. The training rows are a bounded sample: the ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean
-labelled texts with the smallest hash of their id, from rows that are not held out.
+gives one witness unit (first by the likelihood ratio of its character 4-grams and of the unit
+itself, then by the machine's own score), and units of clean training texts are the negatives,
+mined for the hard ones. A unit that clean texts hold, too, only weighs less. In the first
+round texts whose witness has under ``FAINT`` of the strongest witness's evidence wait.
+The training rows are a bounded sample: the ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean
+labelled texts with the smallest hash of their id, from rows that are not held out (of
+several texts with one id the smallest); ``WITNESSES``, ``COMMON``, ``SPREAD`` and ``HARD``
+bound the units that one fit of the machine works on.
+
+Insults of two words whose halves are harmless leave training texts on the wrong side. If
+these are more than ``UNEXPLAINED`` of the toxic or of the clean ones, a second machine is
+fitted to word sequences: the kernel of two neighbouring units with a landmark pair is the
+product of their unit kernels, a text's feature is the largest product in it, and the
+machine weighs these features and the score of the text's most toxic unit.
 
 Defined results: null, empty and letterless texts score as a text without any
-toxic unit; without toxic training rows every score is 0; rows with a null label
-are not learned from; repeated rows are scored one by one; columns named ``score``
-or ``predicted`` are replaced, all others kept.
+toxic unit; without toxic or without clean training rows every score is 0 (with a warning);
+rows with a null label are not learned from; repeated rows are scored one by one; columns
+named ``score`` or ``predicted`` are replaced, all others kept.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -36,7 +47,8 @@ from washline.llm import common as C
 
 ORDER, DECAY, WINDOW, STRIDE = 3, 0.7, 24, 8
 MAX_TOXIC, MAX_CLEAN, LANDMARKS = 1500, 3000, 32
-EVIDENCE = 60.0
+FAINT, UNEXPLAINED, PAIRS = 0.1, 0.1, 16
+WITNESSES, COMMON, SPREAD, HARD = 400, 1000, 3000, 1500
 CACHE_UNITS = 2_000_000
 
 _LETTER = np.zeros(256, bool)
@@ -139,6 +151,29 @@ class KernelMachine:
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -1.0
     link: tuple[float, float] = (0.0, -35.0)
+    pairs: list[tuple[str, str]] = field(default_factory=list)
+    pair_beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def pair_marks(self):
+        marks = codes([a for a, _ in self.pairs] + [b for _, b in self.pairs], -2)
+        return marks, own_kernel(np.where(marks < 0, -1, marks))
+
+    def pair_features(self, words: list[str], at: np.ndarray, counts: np.ndarray, ready) -> np.ndarray:
+        """(texts, pairs): the largest product kernel over neighbouring units; ``at`` numbers the units' words in order."""
+        k, n = len(self.pairs), np.cumsum([0, *counts])
+        near = normalised([w[:WINDOW] for w in words], *ready)
+        out = np.zeros((len(counts), k), np.float32)
+        has = np.asarray(counts) > 0
+        if has.any():
+            product = np.zeros((len(at), k), np.float32)
+            product[:-1] = near[at[:-1], :k] * near[at[1:], k:]
+            product[n[1:][has] - 1] = 0         # a text's last unit has no neighbour
+            out[has] = np.maximum.reduceat(product, n[:-1][has])
+        return out
+
+    def text_scores(self, best: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """Scores from the most toxic unit and the pair features; ``pair_beta`` holds the weights of both, then the bias."""
+        return best * self.pair_beta[0] + features @ self.pair_beta[1:-1] + self.pair_beta[-1]
 
     def prepared(self):
         marks = codes(self.landmarks, -2)
@@ -185,6 +220,7 @@ def train(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS) -> Ker
     texts = [(y, list(u)) for y, u in sorted({(y, tuple(u)) for y, u in texts if u})]     # copies are no evidence
     toxic, clean = ([u for y, u in texts if y == k] for k in (1, 0))
     if not toxic or not clean:
+        warnings.warn("no toxicity machine: the training rows hold only one label", stacklevel=2)
         return KernelMachine()
     bad, good = Counter(), Counter()
     for target, group in ((bad, toxic), (good, clean)):
@@ -192,30 +228,28 @@ def train(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS) -> Ker
             target.update(set().union(*(_grams(w) for w in u)))
     share = len(toxic) / (len(toxic) + len(clean))
 
-    def evidence(g):    # log-likelihood ratio of a 4-gram that leans to the toxic texts
-        n, m = bad[g], good[g]
-        if n <= share * (n + m):
-            return 0.0
-        return 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0.0))
-
-    llr = {g: evidence(g) for g, n in bad.items() if n >= 3}
+    llr = {g: evidence(n, good[g], share) for g, n in bad.items()}
     in_clean = Counter(w for u in clean for w in u)
     in_toxic = Counter(w for u in toxic for w in u)
 
-    def first(u):   # the unit with the most telling 4-gram
-        return max(((max((llr.get(g, 0.0) for g in _grams(w))), in_toxic[w], w) for w in u if not in_clean[w]), default=(0.0, 0, ""))
+    whole = {w: evidence(n, in_clean[w], share) for w, n in in_toxic.items()}
+
+    def first(u):   # the unit with the most telling 4-gram, that itself leans to the toxic texts
+        return max((min(max(llr.get(g, 0.0) for g in _grams(w)), 4 * whole[w]), whole[w], w) for w in u)
 
-    firsts = [f[2] if (f := first(u))[0] > EVIDENCE else "" for u in toxic]
-    picks = firsts
+    told = [first(u) for u in toxic]
+    firsts = [w for _, _, w in told]
+    strongest = max(e for e, _, _ in told)
+    picks = [w if e > FAINT * strongest else "" for e, _, w in told]
     vocabulary = sorted(in_clean, key=lambda w: (-in_clean[w], w))
-    step = max(1, len(vocabulary) // 3000)
-    negative = list(dict.fromkeys([*vocabulary[:1000], *vocabulary[::step]]))
+    step = max(1, len(vocabulary) // SPREAD)
+    negative = list(dict.fromkeys([*vocabulary[:COMMON], *vocabulary[::step]]))
     machine = KernelMachine()
     for _ in range(2):
         positive = Counter(p for p in picks if p)
         if not positive:
             break
-        ranked = sorted(positive, key=lambda w: (-positive[w], w))[:400]
+        ranked = sorted(positive, key=lambda w: (-positive[w], w))[:WITNESSES]
         # farthest-first choice of landmarks among the witnesses
         marks = codes(ranked, -2)
         sim = normalised(ranked, marks, own_kernel(np.where(marks < 0, -1, marks)))
@@ -227,41 +261,83 @@ def train(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS) -> Ker
             chosen.append(i)
             near = np.maximum(near, sim[i])
         own = [ranked[i] for i in chosen]
-        hard = negative[-400:]
+        hard = negative[-WITNESSES:]
         marks = codes(own, -2)
         close = normalised(hard, marks, own_kernel(np.where(marks < 0, -1, marks))).max(1)
         own += [hard[i] for i in np.argsort(-close)[:landmarks - len(own)]]
         machine = _machine(positive, negative, list(dict.fromkeys(own)))
         found = list(in_clean)
         scores = machine.unit_scores(found)
-        worst = [found[i] for i in np.argsort(-scores)[:1500] if scores[i] > -1.0]
+        worst = [found[i] for i in np.argsort(-scores)[:HARD] if scores[i] > -1.0]
         negative = [w for w in negative if w not in set(worst)] + worst[::-1]
         pool = list(in_toxic)
         score = dict(zip(pool, machine.unit_scores(pool)))
         best = [max(u, key=lambda w: (score[w], w)) for u in toxic]
         picks = [w if score[w] > 0 else f for w, f in zip(best, firsts)]
     if not machine.landmarks:
+        warnings.warn("no toxicity machine: no unit leans to the toxic texts", stacklevel=2)
         return machine
     score.update(zip(found, machine.unit_scores(found)))
     x = np.array([max(score[w] for w in u) for u in [*toxic, *clean]])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    weight = np.ones(len(y))
+    machine.link = link(x, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
+    return machine
+
+
+def evidence(n: int, m: int, share: float) -> float:
+    """Log-likelihood ratio of something that ``n`` toxic and ``m`` clean texts hold, if it leans to the toxic ones."""
+    if n <= share * (n + m):
+        return 0.0
+    return 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0.0))
+
+
+def link(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Logistic link a*x+b by Newton steps, lightly regularised."""
     a, b = 1.0, 0.0
-    for _ in range(50):         # logistic link by Newton steps, lightly regularised
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
-        g = np.array([((p - y) * x * weight).sum() + 0.01 * a, ((p - y) * weight).sum()])
-        q = p * (1 - p) * weight
+        g = np.array([((p - y) * x).sum() + 0.01 * a, (p - y).sum()])
+        q = p * (1 - p)
         h = np.array([[(q * x * x).sum() + 0.01, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break
-    machine.link = (float(a), float(b))
+    return float(a), float(b)
+
+
+def train_pairs(machine: KernelMachine, texts: list[tuple[int, list[str]]]) -> KernelMachine:
+    """Add the machine for neighbouring units; ``texts`` holds (label, units in order)."""
+    texts = [(y, list(u)) for y, u in sorted({(y, tuple(u)) for y, u in texts if u})]
+    y = np.array([float(t[0]) for t in texts])
+    best = np.array([max(machine.unit_scores(list(dict.fromkeys(u)))) for _, u in texts])
+    toxic, clean = np.flatnonzero(y).tolist(), np.flatnonzero(y == 0).tolist()
+    held = [set(zip(u, u[1:])) for _, u in texts]
+    good, share = Counter(p for i in clean for p in held[i]), len(toxic) / len(texts)
+    chosen: list[tuple[str, str]] = []
+    left, strongest = toxic, 0.0
+    while left and len(chosen) < PAIRS:         # the strongest pair of the texts that no pair explains yet
+        bad = Counter(p for i in left for p in held[i])
+        strength, pair = max(((evidence(n, good[p], share), p) for p, n in bad.items()), default=(0.0, None))
+        strongest = max(strongest, strength)
+        if strength <= FAINT * strongest or bad[pair] < 2:      # a pair that one text holds says nothing about others
+            break
+        chosen.append(pair)
+        left = [i for i in left if pair not in held[i]]
+    if not chosen:
+        return machine
+    machine.pairs = chosen
+    words = sorted({w for _, u in texts for w in u})
+    number = {w: i for i, w in enumerate(words)}
+    at = np.array([number[w] for _, u in texts for w in u])
+    x = machine.pair_features(words, at, np.array([len(u) for _, u in texts]), machine.pair_marks()).astype(float)
+    weight = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean)) * len(texts)
+    machine.pair_beta = squared_hinge(np.column_stack([best, x]), 2 * y - 1, weight)
+    machine.link = link(machine.text_scores(best, x), y)
     return machine
 
 
-def _training_rows(batches):
-    """Distinct units of each training text."""
+def _training_rows(batches, in_order: bool = False):
+    """Distinct units of each training text, or all of them in order."""
     for b in batches:
         buf, off = C.utf8(b.column(1))
         for lo, hi in C.slices(off):
@@ -269,9 +345,8 @@ def _training_rows(batches):
             raw, cut = low.tobytes(), np.cumsum([0, *counts])
             got = []
             for i in range(hi - lo):
-                found = {w for k in range(cut[i], cut[i + 1])
-                         for w in windows(raw[starts[k]:ends[k]].decode("utf-8", "replace"))}
-                got.append("\n".join(sorted(found)))
+                own = [raw[starts[k]:ends[k]].decode("utf-8", "replace") for k in range(cut[i], cut[i + 1])]
+                got.append("\n".join([w[:WINDOW] for w in own] if in_order else sorted({p for w in own for p in windows(w)})))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(got, pa.string())], names=["label", "units"])
 
 
@@ -282,9 +357,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> KernelMachi
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = (known.where("label = 1").orderBy(*order).limit(MAX_TOXIC)
               .unionByName(known.where("label = 0").orderBy(*order).limit(MAX_CLEAN)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")
+    rows = (docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").where("text is not null")
+            .groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"))
     got = rows.mapInArrow(_training_rows, "label int, units string").collect()
-    return train(sorted((r.label, r.units.split("\n") if r.units else []) for r in got))
+    texts = sorted((r.label, r.units.split("\n") if r.units else []) for r in got)
+    machine = train(texts)
+    if not machine.landmarks:
+        return machine
+    known = sorted({w for _, u in texts for w in u})
+    score = dict(zip(known, machine.unit_scores(known)))
+    wrong = [[(max(score[w] for w in u) > 0) != bool(y) for y, u in texts if u and y == k] for k in (0, 1)]
+    if any(sum(w) > UNEXPLAINED * len(w) for w in wrong):
+        got = rows.mapInArrow(lambda it: _training_rows(it, in_order=True), "label int, units string").collect()
+        machine = train_pairs(machine, sorted((r.label, r.units.split("\n") if r.units else []) for r in got))
+    return machine
 
 
 class _Scorer:
@@ -293,6 +379,7 @@ class _Scorer:
     def __init__(self, machine: KernelMachine):
         self.machine, self.ready = machine, machine.prepared() if machine.landmarks else None
         self.keys, self.values = np.zeros(0, C.U64), np.zeros(0)
+        self.marks = machine.pair_marks() if machine.pairs else None
 
     def best(self, buf, offsets) -> np.ndarray:
         low, starts, ends, counts = units(buf, offsets)
@@ -316,6 +403,11 @@ class _Scorer:
         has = counts > 0
         cuts = np.concatenate([[0], np.cumsum(counts)])[:-1][has]
         out[has] = np.maximum.reduceat(scores[back], cuts)
+        if self.machine.pairs:
+            raw = low.tobytes()
+            words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first], ends[first])]
+            found = self.machine.pair_features(words, back, counts, self.marks)
+            out[has] = self.machine.text_scores(out[has], found[has])
         return out
 
 
@@ -339,7 +431,8 @@ def transform(machine: KernelMachine, docs: DataFrame, threshold: float = 0.3, t
             buf, off = C.utf8(b.column(text))
             parts = [scorer.best(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]) for lo, hi in C.slices(off)]
             best = np.concatenate(parts) if parts else np.zeros(0)
-            s = model.value.probability(np.where(best < -1e8, model.value.bias, best))
+            none = model.value.text_scores(model.value.bias, np.zeros(len(model.value.pairs))) if model.value.pairs else model.value.bias
+            s = model.value.probability(np.where(best < -1e8, none, best))
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                 names=[*keep, "score", "predicted"])
