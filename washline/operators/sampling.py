@@ -170,16 +170,3 @@ def stratified_folds(df: DataFrame, keys: list[str], k: int = 5, label: str = "y
     d = df.withColumn("_mk", md5_key(id_col, seed))
     ranked = exact_rank(d, [*keys, label], ["_mk"], md5_bucket("_mk"), "_rk")
     return ranked.withColumn(out, ((F.col("_rk") - 1) % k).cast("int")).drop("_rk", "_mk")
-
-
-def poisson_weights(df: DataFrame, seed: int, out: str = "weight") -> Column:
-    """D-8: bootstrap as Poisson(1) row weights (what tree ensembles use internally)."""
-    # Inverse-CDF of Poisson(1) on a per-row uniform; exact to the 6th term.
-    u = F.rand(seed)
-    cdf, p, expr = 0.0, 0.36787944117144233, None
-    for k in range(8):
-        cdf += p
-        cond = u < F.lit(cdf)
-        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-        p = p / (k + 1)
-    return expr.otherwise(F.lit(8)).cast("double").alias(out)

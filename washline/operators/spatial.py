@@ -168,7 +168,7 @@ def nearest_edge_candidates(cells: DataFrame, edges: DataFrame, layer: list[str]
     top = span.bit_length()             # at most two nodes on each axis
     for level in range(1, top + 1):
         nodes[level] = nodes[level - 1].select(*layer, F.shiftright("_nx", 1).alias("_nx"), F.shiftright("_ny", 1).alias("_ny")).distinct()
-    kept = todo.join(F.broadcast(nodes[top]), layer)          # at most four nodes a layer
+    kept = todo.join(_maybe_broadcast(nodes[top]), layer)     # at most four nodes a layer, but any number of layers
     for level in range(top, -1, -1):
         near, far = _gaps(level)
         kept = kept.withColumn("_near", near).withColumn("_far", far)

@@ -182,6 +182,19 @@ def _score_arrays(df: DataFrame, forests: dict, prefix: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def score_own(df: DataFrame, trees: DataFrame, keep: list[str], features: list[str], group: str = "run") -> DataFrame:
+    """Every row scored by the one tree of its own ``group`` (e.g. a run's test split): an equi-join on (group, node) per level."""
+    internal = small_side(trees.where(~F.col("is_leaf")).select(group, "node", "feature", "threshold"))
+    leaves = small_side(trees.where(F.col("is_leaf")).select(group, "node", "prob"))
+    fmap = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))])
+    cur = df.select(group, *keep, *features).withColumn("node", F.lit(0))
+    for _ in range(trees.agg(F.max("depth")).first()[0] or 0):
+        step = F.when(F.col("feature").isNull(), F.col("node")).when(
+            F.element_at(fmap, F.col("feature")) <= F.col("threshold"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
+        cur = cur.join(internal, [group, "node"], "left").select(group, *keep, *features, step.alias("node"))
+    return cur.join(leaves, [group, "node"]).select(group, *keep, F.col("prob").alias("p"))
+
+
 def score_long(df: DataFrame, trees: DataFrame, keep: list[str], features: list[str], group: str = "run") -> DataFrame:
     """J-5 + M-8 for any tree-table size: every row x every tree group, walked by equi-joins.
 

@@ -900,4 +900,4 @@ def m10_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "maxDepth int, numTrees int, f1_mean double")
 
 
-from washline.plans import forests, preparation, second_area, storage  # noqa: E402, F401  (they register their queries)
+from washline.plans import attribution, forests, preparation, second_area, storage  # noqa: E402, F401  (they register their queries)
