@@ -59,11 +59,14 @@ def test_nearest_of_nothing(spark):
     assert [(r.id, r.rank, r.target_id) for r in one] == [(1, 1, 902)]
 
 
-@pytest.mark.parametrize("m, most, side", [(1, 3.0, 6), (2, 50.0, 9)])
+@pytest.mark.parametrize("m, most, side", [(2, 4.0, 9)])
 def test_choice_equals_taking_pairs_in_order(spark, m, most, side):
     rng = random.Random(m)
     damaged = [(f"d{i:03}", float(rng.randrange(side)), float(rng.randrange(side))) for i in range(30)]
     spared = [(f"s{i:03}", float(rng.randrange(side)), float(rng.randrange(side))) for i in range(55)]
+    # a crowd around one candidate far from the rest: only its lists must grow, the others keep theirs
+    damaged += [(f"e{i:03}", 100.0 + i % 3, 100.0) for i in range(14)] + [("f0", 200.0, 200.0)]
+    spared += [(f"t{i:03}", 100.0 + i % 5, 101.0) for i in range(30)] + [(f"u{i}", 200.0, 201.0 + i / 4) for i in range(9)]
     pairs = sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), d, s) for d, x, y in damaged for s, u, v in spared)
     used, have, want = set(), Counter(), set()
     for dist, d, s in pairs:
