@@ -174,7 +174,9 @@ def test_planted_leaks(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(frame(spark, rows), bench).collect()}
     assert got == want | {(d, 93) for d, i in want if i == 0}
     left = decontaminate.clean(frame(spark, rows), bench)
-    assert Counter(r.doc_id for r in left.collect()) == Counter(d for d, _ in rows if d not in {x for x, _ in want})
+    # rows go, not ids: the odd rows 3 and 4 share their ids with contaminated texts and stay
+    gone = {x for x, _ in want}
+    assert Counter(r.doc_id for r in left.collect()) == Counter(d for k, (d, _) in enumerate(rows) if k >= 120 or d not in gone)
 
 
 def test_alignment_agrees_with_full_edit_distance(spark):
