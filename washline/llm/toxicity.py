@@ -89,18 +89,24 @@ def codes(words: list[str], fill: int) -> np.ndarray:
 def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Gap-weighted subsequence kernel of order ORDER: ``s`` (V, L) against ``t`` (V or 1, m, l) -> (V, m)."""
     lam = np.float32(DECAY)
-    same = (s.T[:, None, :, None] == np.moveaxis(t, 2, 0)[None]).astype(np.float32) * lam * lam     # (L, l, V, m)
-    rows, cols = same.shape[:2]
-    prev = np.ones_like(same)
-    for _ in range(ORDER - 1):
-        hit = same * prev
-        for k in range(1, cols):
-            hit[:, k] += lam * hit[:, k - 1]
-        for j in range(1, rows):
-            hit[j] += lam * hit[j - 1]
-        prev = np.zeros_like(same)
-        prev[1:, 1:] = hit[:-1, :-1]
-    return (same * prev).sum((0, 1))
+    cols = np.moveaxis(t, 2, 0)
+    shape = (len(cols), len(s), cols.shape[2])
+    # by order: the decayed sums over the prefixes read so far; one character of ``s`` at a time, so these stay in the processor's cache
+    sums = [np.zeros(shape, np.float32) for _ in range(ORDER - 1)]
+    total = np.zeros(shape[1:], np.float32)
+    for c in s.T:
+        same = (c[None, :, None] == cols) * (lam * lam)
+        total += (same[1:] * sums[-1][:-1]).sum(0)
+        for p in range(ORDER - 2, -1, -1):
+            hit = same.copy()
+            if p:
+                hit[0] = 0
+                hit[1:] *= sums[p - 1][:-1]
+            for k in range(1, len(hit)):
+                hit[k] += lam * hit[k - 1]
+            sums[p] *= lam
+            sums[p] += hit
+    return total
 
 
 def own_kernel(s: np.ndarray) -> np.ndarray:
@@ -217,11 +223,16 @@ def _machine(positive: Counter, negative: list[str], landmarks: list[str]) -> Ke
 
 def train(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS) -> KernelMachine:
     """Fit on (label, distinct units) pairs of the training texts."""
+    return learn(texts, landmarks)[0]
+
+
+def learn(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS) -> tuple[KernelMachine, dict[str, float]]:
+    """The machine of ``train`` and its score of each training unit."""
     texts = [(y, list(u)) for y, u in sorted({(y, tuple(u)) for y, u in texts if u})]     # copies are no evidence
     toxic, clean = ([u for y, u in texts if y == k] for k in (1, 0))
     if not toxic or not clean:
-        warnings.warn("no toxicity machine: the training rows hold only one label", stacklevel=2)
-        return KernelMachine()
+        warnings.warn("no toxicity machine: the training rows hold only one label", stacklevel=3)
+        return KernelMachine(), {}
     bad, good = Counter(), Counter()
     for target, group in ((bad, toxic), (good, clean)):
         for u in group:
@@ -232,18 +243,19 @@ def train(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS) -> Ker
     in_clean = Counter(w for u in clean for w in u)
     in_toxic = Counter(w for u in toxic for w in u)
 
-    whole = {w: evidence(n, in_clean[w], share) for w, n in in_toxic.items()}
-
-    def first(u):   # the unit with the most telling 4-gram, that itself leans to the toxic texts
-        return max((min(max(llr.get(g, 0.0) for g in _grams(w)), 4 * whole[w]), whole[w], w) for w in u)
-
-    told = [first(u) for u in toxic]
+    told_by = {}
+    for w, n in in_toxic.items():
+        whole = evidence(n, in_clean[w], share)
+        told_by[w] = (min(max(llr.get(g, 0.0) for g in _grams(w)), 4 * whole), whole, w)
+    # the unit with the most telling 4-gram, that itself leans to the toxic texts
+    told = [max(told_by[w] for w in u) for u in toxic]
     firsts = [w for _, _, w in told]
     strongest = max(e for e, _, _ in told)
     picks = [w if e > FAINT * strongest else "" for e, _, w in told]
     vocabulary = sorted(in_clean, key=lambda w: (-in_clean[w], w))
     step = max(1, len(vocabulary) // SPREAD)
     negative = list(dict.fromkeys([*vocabulary[:COMMON], *vocabulary[::step]]))
+    found, pool = list(in_clean), list(in_clean | in_toxic)
     machine = KernelMachine()
     for _ in range(2):
         positive = Counter(p for p in picks if p)
@@ -266,21 +278,19 @@ def train(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS) -> Ker
         close = normalised(hard, marks, own_kernel(np.where(marks < 0, -1, marks))).max(1)
         own += [hard[i] for i in np.argsort(-close)[:landmarks - len(own)]]
         machine = _machine(positive, negative, list(dict.fromkeys(own)))
-        found = list(in_clean)
-        scores = machine.unit_scores(found)
-        worst = [found[i] for i in np.argsort(-scores)[:HARD] if scores[i] > -1.0]
-        negative = [w for w in negative if w not in set(worst)] + worst[::-1]
-        pool = list(in_toxic)
         score = dict(zip(pool, machine.unit_scores(pool)))
+        scores = np.array([score[w] for w in found])
+        worst = [found[i] for i in np.argsort(-scores)[:HARD] if scores[i] > -1.0]
+        mined = set(worst)
+        negative = [w for w in negative if w not in mined] + worst[::-1]
         best = [max(u, key=lambda w: (score[w], w)) for u in toxic]
         picks = [w if score[w] > 0 else f for w, f in zip(best, firsts)]
     if not machine.landmarks:
-        warnings.warn("no toxicity machine: no unit leans to the toxic texts", stacklevel=2)
-        return machine
-    score.update(zip(found, machine.unit_scores(found)))
+        warnings.warn("no toxicity machine: no unit leans to the toxic texts", stacklevel=3)
+        return machine, {}
     x = np.array([max(score[w] for w in u) for u in [*toxic, *clean]])
     machine.link = link(x, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
-    return machine
+    return machine, score
 
 
 def evidence(n: int, m: int, share: float) -> float:
@@ -361,11 +371,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> KernelMachi
             .groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"))
     got = rows.mapInArrow(_training_rows, "label int, units string").collect()
     texts = sorted((r.label, r.units.split("\n") if r.units else []) for r in got)
-    machine = train(texts)
+    machine, score = learn(texts)
     if not machine.landmarks:
         return machine
-    known = sorted({w for _, u in texts for w in u})
-    score = dict(zip(known, machine.unit_scores(known)))
     wrong = [[(max(score[w] for w in u) > 0) != bool(y) for y, u in texts if u and y == k] for k in (0, 1)]
     if any(sum(w) > UNEXPLAINED * len(w) for w in wrong):
         got = rows.mapInArrow(lambda it: _training_rows(it, in_order=True), "label int, units string").collect()
