@@ -886,18 +886,11 @@ def m3_ml_decision_tree_run_metrics(spark: SparkSession, sf_dir: str) -> DataFra
 
 @register("m10_grid_search")
 def m10_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows-only: grid x 5 folds (D-7 fold column), F1 of the damage class per grid point."""
-    from washline.operators.models import grid_search
+    """All 288 points of the decision tree grid x 5 folds on one balanced training sample: mean F1 of the damage class, and the best point."""
+    from washline.operators.grid import grid_search
     from washline.operators.sampling import stratified_folds
-    _, runs = _ml_runs(spark, sf_dir)
-    train = stratified_folds(runs.where("run = 0 AND split = 'train'"), [], 5)
-    grid = {"maxDepth": [2, 3], "numTrees": [10, 50]}
-    cv = grid_search(train, _FEATS, [], grid, folds=5)
-    rows = []
-    for pm, score in zip(cv.getEstimatorParamMaps(), cv.avgMetrics):
-        named = {p.name: v for p, v in pm.items()}
-        rows.append((int(named["maxDepth"]), int(named["numTrees"]), float(score)))
-    return spark.createDataFrame(rows, "maxDepth int, numTrees int, f1_mean double")
+    train = stratified_folds(_ensemble_runs(spark, sf_dir).where("run = 0 AND split = 'train'"), [], 5)
+    return round_doubles(grid_search(train, _FEATS), 9)
 
 
 from washline.plans import attribution, forests, preparation, second_area, storage  # noqa: E402, F401  (they register their queries)

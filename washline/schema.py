@@ -51,6 +51,13 @@ N_RUNS = 100
 FOREST_TREES = 400
 FOREST_DEPTH = 3
 TREE_DEPTH = 2
+TREE_GRID = {
+    "class_weight": [None, "balanced"],
+    "criterion": ["gini", "entropy"],
+    "max_depth": [2, 3, 4, 5, 6, None],
+    "min_samples_leaf": [1, 2, 5, 10],
+    "min_samples_split": [2, 5, 10],
+}
 TREE_MIN_LEAF = 10
 HOLDOUT_FRACTION = 0.1
 TEST_FRACTION = 0.2
