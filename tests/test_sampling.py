@@ -95,3 +95,27 @@ def test_null_groups_and_edge_quotas(spark):
     runs = balanced_runs(df, ["state"], 2)
     assert {(r.state, r.run, r.y): r["count"] for r in runs.groupBy("state", "run", "y").count().collect()} == {
         (s, k, y): 40 for s in ("A", None) for k in (0, 1) for y in (0, 1)}
+
+
+def test_first_n_computes_every_md5_once_and_exactly(spark, tmp_path):
+    """Odd cases of the cut: equal ids around it, far more equal ids than even spreading allows, quotas of 0, NULL, and all."""
+    from pyspark.sql import functions as F
+    from washline.operators.sampling import first_n, first_n_flag, md5_key
+
+    rows = [("even", i, 40) for i in range(100)] + [("same", i // 30, 45) for i in range(90)] + [("none", i, 0) for i in range(5)]
+    rows += [("all", i, 9) for i in range(7)] + [(None, i, 2) for i in range(4)] + [("null", i, None) for i in range(3)]
+    rows += [("lump", 1 if i < 9000 else i, 8000) for i in range(9500)]
+    df = spark.createDataFrame(rows, "g string, segment_id int, q int").withColumn("_mk", md5_key("segment_id", 5))
+    want = {"even": 40, "same": 45, "all": 7, None: 2, "lump": 8000}
+    order = {(r.g, r.segment_id): r._mk for r in df.distinct().collect()}
+    picked = first_n(df, ["g"], "_mk", "q").collect()
+    assert {g: sum(r.g == g for r in picked) for g in {r.g for r in picked}} == want
+    flagged = first_n_flag(df, ["g"], "_mk", "q", "f").collect()
+    assert len(flagged) == len(rows)
+    for g, n in want.items():
+        keys = sorted(order[g, i] for h, i, _ in rows if h == g)
+        assert sorted(order[g, r.segment_id] for r in picked if r.g == g) == keys[:n]
+        assert sorted(order[g, r.segment_id] for r in flagged if r.g == g and r.f) == keys[:n]
+    # rows are not shuffled for it: the selection reads back what one pass over the md5s wrote
+    plan = first_n_flag(df.where("g = 'even'").withColumn("q", F.lit(3)), ["g"], "_mk", "q")._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and "Window" not in plan
