@@ -97,3 +97,25 @@ def test_overlaps_holes_and_layers(spark):
             want = any(sum(_inside(x, y, [tuple(map(float, v)) for v in r]) for r in rings) % 2 for name, _, rings in shapes if name == lay)
             assert flags[(lay, i)] == want, (band, lay, x, y)
     assert {r.distance for r in distance_to_polygons(pdf.where("layer = 'C'"), edges, ["layer"]).collect()} == {None}
+
+
+def test_points_are_not_shuffled_by_id_and_repeated_ids_are_one_point(spark):
+    from washline.operators.spatial import distance_to_polygons, point_in_polygons
+
+    ring = [(10.0, 10.0), (90.0, 10.0), (90.0, 90.0), (10.0, 90.0)]
+    edges = spark.createDataFrame([("a", 1, 0, i, *p, *q) for i, (p, q) in enumerate(zip(ring, ring[1:] + ring[:1]))],
+                                  "layer string, poly_id int, ring_id int, edge_id int, x1 double, y1 double, x2 double, y2 double")
+    schema = "layer string, id string, x double, y double"
+    own = spark.createDataFrame([("a", "in", 50.0, 50.0), ("a", "edge cell", 12.0, 40.0), ("a", "out", 5.0, 40.0), ("b", "no layer", 50.0, 50.0),
+                                 ("a", "no place", None, 1.0)], schema)
+    flag = point_in_polygons(own, edges, ["layer"])
+    dist = distance_to_polygons(own, edges, ["layer"])
+    assert {r.id: r.Inundated for r in flag.collect()} == {"in": True, "edge cell": True, "out": False, "no layer": False, "no place": False}
+    assert {r.id: r.distance for r in dist.collect()} == {"in": 40.0, "edge cell": 2.0, "out": 5.0, "no layer": None, "no place": None}
+    for df in (flag, dist):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    # places that share an id are one point: inside if one is, as near as the nearest
+    both = spark.createDataFrame([("a", "two", 50.0, 50.0), ("a", "two", 5.0, 40.0), ("a", "in", 30.0, 50.0)], schema)
+    assert sorted((r.id, r.x, r.Inundated) for r in point_in_polygons(both, edges, ["layer"]).collect()) == [("in", 30.0, True), ("two", 5.0, True), ("two", 50.0, True)]
+    assert sorted((r.id, r.x, r.distance) for r in distance_to_polygons(both, edges, ["layer"]).collect()) == [("in", 30.0, 20.0), ("two", 5.0, 5.0), ("two", 50.0, 5.0)]
