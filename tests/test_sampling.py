@@ -119,3 +119,25 @@ def test_first_n_computes_every_md5_once_and_exactly(spark, tmp_path):
     # rows are not shuffled for it: the selection reads back what one pass over the md5s wrote
     plan = first_n_flag(df.where("g = 'even'").withColumn("q", F.lit(3)), ["g"], "_mk", "q")._jdf.queryExecution().executedPlan().toString()
     assert "md5" not in plan and "Window" not in plan
+
+
+def test_packed_runs_are_the_run_splits(spark):
+    """All runs as one row per pool row: the same draws, also with repeated ids, NULL groups and one class only."""
+    from collections import Counter
+    from washline.operators.sampling import packed_runs, unpacked
+
+    rows = [("A", f"s{i}", int(i % 3 == 0)) for i in range(600)] + [(None, f"n{i}", int(i % 4 != 0)) for i in range(80)]
+    rows += [("few", f"f{i}", int(i > 2)) for i in range(9)] + [("no", f"q{i}", 0) for i in range(6)] + [("yes", f"y{i}", 1) for i in range(6)]
+    rows += [("twice", f"t{i // 2}", int(i // 2 % 3 == 0)) for i in range(300)] + [("lump", "same" if i < 3000 else f"l{i}", int(i % 50 == 0)) for i in range(4000)]
+    pool = spark.createDataFrame(rows, "state string, segment_id string, y int")
+    names = ["state", "segment_id", "y", "run", "split"]
+    want = Counter(map(tuple, run_splits(balanced_runs(pool, ["state"], 4), ["state"]).select(names).collect()))
+    packed = packed_runs(pool, ["state"], 4)
+    got = Counter(map(tuple, unpacked(packed).select(names).collect()))
+    assert packed.count() <= len(rows)
+    exact = {None, "A", "few", "no", "yes"}       # where equal ids straddle a cut, any of them may be taken
+    assert {k: n for k, n in got.items() if k[0] in exact} == {k: n for k, n in want.items() if k[0] in exact}
+    ids = lambda c: Counter({(s, i, run, split): 0 for s, i, _, run, split in c}) + sum((Counter({(s, i, run, split): n}) for (s, i, y, run, split), n in c.items() if s == "twice"), Counter())
+    assert ids(got) == ids(want)
+    sizes = lambda c: sum((Counter({(s, y, run, split): n}) for (s, _, y, run, split), n in c.items()), Counter())
+    assert sizes(got) == sizes(want)
