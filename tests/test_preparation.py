@@ -51,6 +51,31 @@ def test_nearest_equals_brute_force(spark, k, most, leaf):
     assert Counter(map(tuple, got.collect())) == plain_nearest(points, lines, k, most or float("inf"))
 
 
+def test_nearest_over_several_groups_of_a_cell(spark, monkeypatch):
+    """Points and targets of one cell dealt to many groups, repeated rows among them, text ids."""
+    monkeypatch.setattr(N, "BLOCK", 64)
+    points, lines = scene(7)
+    lines = [(f"t{line[0]}", *line[1:]) for line in lines]
+    p = spark.createDataFrame(points + points[:50], "id long, x double, y double")
+    t = spark.createDataFrame(lines + lines[:90], LINES.replace("long", "string"))
+    assert Counter(map(tuple, N.nearest(p, t, 1, 40.0, 4096).collect())) == plain_nearest(points, lines, 1, 40.0)
+
+
+def test_few_pairs_of_long_crossing_lines_are_measured(monkeypatch):
+    """Lines that all cross the points' area: each point meets few of them, whatever their midpoints."""
+    import numpy as np
+    rng = random.Random(3)
+    lines = [(i, rng.uniform(0, 100), 0.0, rng.uniform(0, 100), 100.0) for i in range(1500)]
+    points = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(1500)]
+    met, measure = [], N._distances
+    monkeypatch.setattr(N, "PAIRS", 256)
+    monkeypatch.setattr(N, "_distances", lambda *of: met.append(measure(*of).size) or measure(*of))
+    place, line, distance = N._solve(np.array([p[1:] for p in points]), np.array([t[1:] for t in lines]).T, 2, float("inf"), 1e-7)
+    got = {(int(i), int(j)): float(d) for i, j, d in zip(place, line, distance)}
+    assert got == {(i, t): d for i, _, t, d in plain_nearest(points, lines, 2)}
+    assert sum(met) < len(points) * len(lines) / 5
+
+
 def test_nearest_of_nothing(spark):
     points, lines = scene(1)
     p, t = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(lines, LINES)
