@@ -98,3 +98,27 @@ def test_one_class_and_equal_rows(spark):
         got = grid_search(df, ["a", "b"], GRID).collect()
         assert len(got) == 48 and {r.f1_mean for r in got} == {f1}
         assert [r.place for r in got if r.is_best] == [1]
+
+
+def test_the_searched_sample_is_run_0_and_needs_no_ensemble(spark, monkeypatch):
+    """The grid query draws the very rows of run 0 of many runs, without the other runs and their trees."""
+    from collections import Counter
+
+    from washline.operators import grid
+    from washline.plans import catalog as K
+    from washline.plans.ensemble import training_splits
+
+    rng = random.Random(5)
+    rows = [(K.ENSEMBLE_STATE if i % 4 else "ASIA", f"s{i}", rng.choice(["Damage", "No Damage", "No Damage", None]), float(i % 7), float(i), None if i % 9 == 0 else i / 2) for i in range(400)]
+    seg = spark.createDataFrame(rows, "state string, segment_id string, Damage_Status string, Z_Min double, Distance_to_Coast_m double, Rel_Elev_Min double")
+    drawn = training_splits(seg, K.ENSEMBLE_STATE, K._FEATS, 3)[1].where("run = 0 and split = 'train'")
+
+    def unwanted(*_):
+        raise AssertionError("the ensemble is not part of the grid search")
+
+    monkeypatch.setattr(K, "_ensemble_parts", unwanted)
+    monkeypatch.setattr(K, "segments", lambda *_: seg)
+    monkeypatch.setattr(grid, "grid_search", lambda train, features: train)
+    got = K.m10_grid_search(spark, "none")
+    assert set(got.columns) - {"fold"} == set(drawn.columns)
+    assert Counter(map(tuple, got.select(*drawn.columns).collect())) == Counter(map(tuple, drawn.collect())) and drawn.count() > 50
