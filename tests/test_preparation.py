@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from washline.operators import neighbors as N
 from washline.operators import timeline as L
+from washline.operators import windows as W
 
 LINES = "target_id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -176,3 +177,35 @@ def test_asof_takes_the_last_value_over_bucket_borders(spark):
     right = spark.createDataFrame([(1, 3, "a"), (1, 1999, "b"), (2, 0, "no")], "k int, t long, v string")
     got = L.asof(left, right, ["k"], "t", ["v"]).collect()
     assert all(r.v == (None if r.t < 3 else "a" if r.t < 1999 else "b") for r in got) and len(got) == 2000
+
+
+@pytest.mark.parametrize("whole", [0, 5, 50])
+def test_water_of_cut_gauges(spark, monkeypatch, whole):
+    """The same answers when all gauges, or the larger ones only, are cut into buckets."""
+    monkeypatch.setattr(W, "WHOLE_ROWS", whole)
+    test_time_under_water(spark)
+    test_level_at_a_time(spark)
+    test_asof_takes_the_last_value_over_bucket_borders(spark)
+
+
+def test_small_gauges_need_no_bucket_tables(spark, monkeypatch):
+    """Tables beside the readings and roads do not grow with the number of small gauges (but for one row of each with its peak)."""
+    sizes, small = [], W.small_side
+    for module in (W, L):
+        monkeypatch.setattr(module, "small_side", lambda df, *a: sizes.append(df.count()) or small(df, *a))
+    rows = [(f"g{i % 300}", i * 1_000_000, i * 7 % 40 / 4) for i in range(1500)]
+    parts = L.reading_intervals(spark.createDataFrame(rows, "gauge string, t long, level double"))
+    assert parts.count() == 1200
+    roads = spark.createDataFrame([(i, f"g{i}", 3.0, 600_000_000) for i in range(300)], "road_id long, gauge string, elevation double, t long")
+    assert sizes and not any(sizes)
+    assert L.time_under_water(roads.drop("t"), parts).where("seconds is not null").count() == 300
+    assert sum(sizes) <= 300
+
+
+def test_large_keys_are_cut_and_others_stay_whole(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit("a")).when(F.col("id") > 2900, F.col("id").cast("string")).alias("k"), "id")
+    got = {r.k: r for r in W.large_bucket(df, ["k"], "id", 8, 500).groupBy("k").agg(
+        F.countDistinct("_bucket").alias("n"), F.count("_bucket").alias("cut"), F.count(F.lit(1)).alias("rows")).collect()}
+    assert (got["a"].n, got["a"].cut, got[None].n, got[None].cut) == (8, 2000, 8, got[None].rows)
+    assert all((r.n, r.cut) == (0, 0) for k, r in got.items() if k not in ("a", None)) and len(got) > 30
+    assert W.large_bucket(df.select("id"), [], "id", 8, 500).select("_bucket").distinct().count() == 8

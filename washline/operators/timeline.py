@@ -6,9 +6,9 @@ gauge spends above a level z is a piecewise linear function of z, with a break a
 reading's level. Its breaks and the roads' elevations are sorted together, per gauge,
 and running sums of the breaks give each road its answer, with n log n work.
 
-No step needs a whole gauge in one task: orders are cut into buckets (``windows``), and
-what must cross a border (the next reading, the last reading, sums so far) travels in a
-table of one row per bucket.
+No step needs a whole large gauge in one task: the order of a gauge with many rows is cut into
+buckets (``windows.large_bucket``), and what must cross a border (the next reading, the last reading,
+sums so far) travels in a table of one row per bucket. Smaller gauges stay whole and need no such row.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from washline.operators.windows import _join_keys, next_value, range_bucket, running_totals, small_side
+from washline.operators.windows import CUT, _join_keys, large_bucket, next_value, range_bucket, running_totals, small_side
 
 _EXACT = "decimal(32,12)"       # slopes and offsets are rounded once; what is added leaves without a trace when it is subtracted
 
@@ -26,9 +26,9 @@ def reading_intervals(readings: DataFrame, max_gap: float | None = None) -> Data
 
     Of readings at one time the highest counts; NULLs are left out. An interval longer than ``max_gap`` seconds is not usable.
     """
-    one = readings.dropna(subset=["gauge", "t", "level"]).groupBy("gauge", "t").agg(F.max("level").alias("level"))
-    one = range_bucket(one, ["gauge"], "t").withColumn("_r", F.struct("t", "level"))
-    both = next_value(one, ["gauge"], "_r", "_bucket", "_next").where(F.col("_next").isNotNull())
+    rows = large_bucket(readings.select("gauge", "t", "level").dropna(), ["gauge"], "t")
+    one = rows.groupBy("gauge", "_bucket", "t").agg(F.max("level").alias("level")).withColumn("_r", F.struct("t", "level"))
+    both = next_value(one, ["gauge"], "_r", "_bucket", "_next", CUT).where(F.col("_next").isNotNull())
     gap = (F.col("_next.t") - F.col("t")) / F.lit(1e6)
     return both.select("gauge", F.col("t").alias("t0"), F.col("level").alias("l0"), F.col("_next.t").alias("t1"), F.col("_next.level").alias("l1"),
                        (F.lit(True) if max_gap is None else gap <= F.lit(float(max_gap))).alias("usable"))
@@ -90,16 +90,16 @@ def _breaks(intervals: DataFrame) -> DataFrame:
 def time_under_water(roads: DataFrame, intervals: DataFrame) -> DataFrame:
     """``roads(road_id, gauge, elevation)`` with ``seconds`` under water, ``floods`` (times the water rises above the road,
     a series that begins above counts) and the gauge's ``peak``; all NULL where the gauge has no interval or a value is missing."""
-    peak = intervals.groupBy("gauge").agg(F.max(F.greatest("l0", "l1")).alias("peak"))
+    peak = small_side(intervals.groupBy("gauge").agg(F.max(F.greatest("l0", "l1")).alias("peak")))
     zero = F.lit(0).cast(_EXACT)
     asked = roads.select("gauge", F.col("elevation").alias("z"), zero.alias("slope"), zero.alias("offset"), F.lit(0).cast("long").alias("rises"),
                          F.lit(0).alias("kind"), "road_id")
     rows = asked.dropna(subset=["gauge", "z"]).unionByName(
         _breaks(intervals).withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn("down", -F.col("z"))
-    rows = range_bucket(rows, ["gauge"], "down")
+    rows = large_bucket(rows, ["gauge"], "down")
     # from the highest level down; a road's row comes before the breaks at its own level
     sums = running_totals(rows, ["gauge"], ["down", "kind", "road_id", "rises", "offset"],
-                          {"sum_slope": "slope", "sum_offset": "offset", "floods": "rises"}, "_bucket")
+                          {"sum_slope": "slope", "sum_offset": "offset", "floods": "rises"}, "_bucket", cut=CUT)
     seconds = F.col("sum_offset").cast("double") + F.col("sum_slope").cast("double") * F.col("z")
     found = sums.where("kind = 0").select("road_id", "gauge", seconds.alias("seconds"), F.col("floods").cast("long").alias("floods"))
     out = roads.select("road_id", "gauge", "elevation").join(found, ["road_id", "gauge"], "left").join(peak, "gauge", "left")
