@@ -197,6 +197,7 @@ def test_small_gauges_need_no_bucket_tables(spark, monkeypatch):
     parts = L.reading_intervals(spark.createDataFrame(rows, "gauge string, t long, level double"))
     assert parts.count() == 1200
     roads = spark.createDataFrame([(i, f"g{i}", 3.0, 600_000_000) for i in range(300)], "road_id long, gauge string, elevation double, t long")
+    assert L.level_at(roads.select("gauge", "t"), parts).where("level is not null").count() == 300
     assert sizes and not any(sizes)
     assert L.time_under_water(roads.drop("t"), parts).where("seconds is not null").count() == 300
     assert sum(sizes) <= 300

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from washline.operators.windows import CUT, _join_keys, large_bucket, next_value, range_bucket, running_totals, small_side
+from washline.operators.windows import CUT, _join_keys, large_bucket, next_value, running_totals, small_side
 
 _EXACT = "decimal(32,12)"       # slopes and offsets are rounded once; what is added leaves without a trace when it is subtracted
 
@@ -43,13 +43,15 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values:
     own = F.struct(*[F.col(f"`{c}`") for c in left.columns])
     rows = (left.select(*keys, F.col(time).alias("_a_t"), F.lit(1).alias("_a_kind"), own.alias("_a_own"))
             .unionByName(right.select(*keys, F.col(time).alias("_a_t"), F.lit(0).alias("_a_kind"), payload.alias("_a_value")), allowMissingColumns=True))
-    rows = range_bucket(rows, keys, "_a_t").withColumnRenamed("_bucket", "_a_b")
-    ends = rows.where("_a_kind = 0").groupBy(*keys, "_a_b").agg(F.max_by("_a_value", "_a_t").alias("_a_last"))
-    # every bucket of the rows needs the last value before it, also where it holds no value itself
-    ends = rows.select(*keys, "_a_b").distinct().join(ends, [*keys, "_a_b"], "left")
+    rows = large_bucket(rows, keys, "_a_t")
+    several = rows.where(CUT).withColumnRenamed("_bucket", "_a_b")
+    rows = rows.withColumnRenamed("_bucket", "_a_b")
+    ends = several.where("_a_kind = 0").groupBy(*keys, "_a_b").agg(F.max_by("_a_value", "_a_t").alias("_a_last"))
+    # every bucket of a cut key needs the last value before it, also where it holds no value itself
+    ends = several.select(*keys, "_a_b").distinct().join(ends, [*keys, "_a_b"], "left")
     before = Window.partitionBy(*keys).orderBy("_a_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, "_a_b", F.last("_a_last", ignorenulls=True).over(before).alias("_a_carry"))
-    rows = _join_keys(rows, small_side(carried), [*keys, "_a_b"])
+    rows = _join_keys(rows, small_side(carried), [*keys, "_a_b"], "left")
     inside = Window.partitionBy(*keys, "_a_b").orderBy("_a_t", "_a_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = F.coalesce(F.last("_a_value", ignorenulls=True).over(inside), F.col("_a_carry"))
     out = rows.withColumn("_a_found", found).where("_a_kind = 1")
