@@ -44,9 +44,8 @@ SELECT scenario_ft AS Scenario_ft, {_BINNED}, ROUND(scenario_ft * CAST({S.FEET_T
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from washline.operators.ensemble import reduce_wide
     from washline.operators.scenario import mark_inundated
-    from washline.operators.trees import score_wide
+    from washline.operators.trees import score_reduced
     from washline.plans.ensemble import fit_tree_runs
     from washline.plans.slr import scenario_features
     key = ("second area", K._sid(spark), sf_dir)
@@ -55,8 +54,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         points = K.segments(spark, sf_dir).select("segment_id", "x", "y", "Z_Min", F.lit(None).cast("double").alias("Distance_to_Coast_m"))
         edges = materialize(inundation_edges(spark, sf_dir, SCENARIOS))
         feats = materialize(scenario_features(points, edges, SCENARIOS, shifted="Z_Min", inundated_distance="zero", base="coast"))
-        wide, runs = score_wide(feats, trees)
-        red = reduce_wide(wide, [f"p_{r}" for r in runs], mean="_avg", std="_std", vote="_vote")
+        red = score_reduced(feats, trees, S.THRESHOLD, mean="_avg", std="_std", vote="_vote")
         K._CACHE[key] = materialize(red.select("scenario_ft", "segment_id", "Inundated", "Distance_to_Coast_m", "Z_Min_original", "Z_Min",
                                                mark_inundated("_avg", "Inundated").alias("Washout_Probability")))
     return K._CACHE[key]
