@@ -50,7 +50,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from washline.plans.slr import scenario_features
     key = ("second area", K._sid(spark), sf_dir)
     if key not in K._CACHE:
-        trees = fit_tree_runs(K._ensemble_runs(spark, sf_dir), FEATURES)
+        trees = fit_tree_runs(K._ensemble_splits(spark, sf_dir)[1], FEATURES)
         points = K.segments(spark, sf_dir).select("segment_id", "x", "y", "Z_Min", F.lit(None).cast("double").alias("Distance_to_Coast_m"))
         edges = materialize(inundation_edges(spark, sf_dir, SCENARIOS))
         feats = materialize(scenario_features(points, edges, SCENARIOS, shifted="Z_Min", inundated_distance="zero", base="coast"))
